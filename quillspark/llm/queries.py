@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import langid, pieces, simhash, tokencount
+from quillspark.llm import chat, langid, pieces, simhash, tokencount, vectors
 from quillspark.llm.graph import spark_tables
 
 
@@ -16,6 +16,10 @@ def piece_model() -> str:
     return importlib.import_module("public_tokenizers").path("piece_bpe_32k.model")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.link_vectors(spark_tables(spark, sf_dir, "embeddings").select("vec_id", "embedding"), cosine=0.95)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark_tables(spark, sf_dir, "documents").select("doc_id", "text")
     return tokencount.count_documents(docs, piece_model()).select("doc_id", "token_counts.*")
@@ -38,5 +42,13 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", pieces.piece_digest(F.col("text"), piece_model()).alias("d")).select("doc_id", "d.*")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_language_id, op5_simhash, op8_sentencepiece)}
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark_tables(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text")
+    says = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], "conv_id bigint, turn bigint, role string, text string")
+    found = chat.digest_formatted(chat.format_branches(chat.conversation_messages(turns.unionByName(extra))))
+    return found.select(F.col("tree").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_token_counts, op3_language_id, op5_simhash, op8_sentencepiece, op9_chat_format)}
 ORACLE: dict[str, str] = {}
