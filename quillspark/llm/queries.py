@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat, langid, pieces, simhash, tokencount, vectors
+from quillspark.llm import chat, langid, mixing, pieces, simhash, tokencount, vectors
 from quillspark.llm.graph import spark_tables
 
 
@@ -50,5 +50,14 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("tree").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_token_counts, op3_language_id, op5_simhash, op8_sentencepiece, op9_chat_format)}
-ORACLE: dict[str, str] = {}
+#: Production parameters of the mixing query.
+WEIGHTS = {"domain": {"domain0": 4, "domain1": 3, "domain2": 2, "domain3": 1}, "language": {"de": 2, "en": 5, "es": 1, "fr": 2}}
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark_tables(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixing.mix(docs, WEIGHTS, 0.6, max_epochs=2, seed=42)
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_token_counts, op3_language_id, op5_simhash, op8_sentencepiece, op9_chat_format, op10_mixing)}
+ORACLE = {"op10_mixing": mixing.mix_sql(WEIGHTS, "0.6", 2, 42)}
