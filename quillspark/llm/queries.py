@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat, langid, mixing, pieces, simhash, tokencount, vectors
+from quillspark.llm import chat, langid, licences, mixing, pieces, simhash, sketch, tokencount, vectors
 from quillspark.llm.graph import spark_tables
 
 
@@ -31,12 +31,32 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "language.lang_pred", "language.score")
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark_tables(spark, sf_dir, "documents").select("doc_id", "text")
+    made = sketch.fingerprint_documents(docs)
+    own, edited, after = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return made.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        sketch.fingerprint(own).alias("fingerprint"),
+        sketch.fingerprint(edited).alias("edited_fingerprint"),
+        sketch.resemblance(own, edited).alias("near_edited"),
+        sketch.resemblance(own, after).alias("near_next"),
+        sketch.distinct_shingles(own).alias("n_shingles"),
+    )
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark_tables(spark, sf_dir, "documents").select("doc_id", "text")
     found = simhash.simhash_documents(docs)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(spark_tables(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark_tables(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.select("doc_id", pieces.piece_digest(F.col("text"), piece_model()).alias("d")).select("doc_id", "d.*")
@@ -59,5 +79,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, WEIGHTS, 0.6, max_epochs=2, seed=42)
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_token_counts, op3_language_id, op5_simhash, op8_sentencepiece, op9_chat_format, op10_mixing)}
-ORACLE = {"op10_mixing": mixing.mix_sql(WEIGHTS, "0.6", 2, 42)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_token_counts, op3_language_id, op4_fingerprints, op5_simhash, op6_licences, op8_sentencepiece, op9_chat_format, op10_mixing)}
+ORACLE = {"op6_licences": licences.scan_sql(), "op10_mixing": mixing.mix_sql(WEIGHTS, "0.6", 2, 42)}
