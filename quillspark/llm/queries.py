@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat, langid, licences, mixing, pieces, simhash, sketch, tokencount, vectors
+from quillspark.llm import chat, langid, licences, lines, mixing, pieces, simhash, sketch, tokencount, vectors
 from quillspark.llm.graph import spark_tables
 
 
@@ -57,6 +57,13 @@ def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(spark_tables(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark_tables(spark, sf_dir, "documents").select("doc_id", "text")
+    out = lines.dedup_lines(docs)
+    gone = F.coalesce(F.array_join(F.col("gone").cast("array<string>"), ","), F.lit(""))
+    return out.select("doc_id", F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("bigint").alias("n_dropped"), gone.alias("dropped_lines"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark_tables(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.select("doc_id", pieces.piece_digest(F.col("text"), piece_model()).alias("d")).select("doc_id", "d.*")
@@ -79,5 +86,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, WEIGHTS, 0.6, max_epochs=2, seed=42)
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_token_counts, op3_language_id, op4_fingerprints, op5_simhash, op6_licences, op8_sentencepiece, op9_chat_format, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_token_counts, op3_language_id, op4_fingerprints, op5_simhash, op6_licences, op7_line_dedup, op8_sentencepiece, op9_chat_format, op10_mixing)}
 ORACLE = {"op6_licences": licences.scan_sql(), "op10_mixing": mixing.mix_sql(WEIGHTS, "0.6", 2, 42)}
