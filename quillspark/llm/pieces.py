@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Words remembered by one Python worker; only a speed matter.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 
 class PieceCoder:
@@ -57,7 +57,18 @@ class PieceCoder:
         self.byte_id = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == kind.BYTE}
         if any(MARK in p.lstrip(MARK) for p in self.score):
             raise ValueError("a piece holds a word mark after other characters")
-        whole = [p for p in self.score if len(p) == 1 or self.merge(p) == [p]]
+        whole = [p for p in self.score if len(p) == 1]
+        #: the last merge of each longer piece: its two parts and its score
+        self.last: dict[str, tuple[str, str, float]] = {}
+        for p in sorted(self.score, key=len):
+            if len(p) > 1 and len(two := self.merge(p, 2)) == 2 and self.score.get(two[0] + two[1]) is not None:
+                whole.append(p)
+                self.last[p] = (*two, self.score[p])
+        #: pieces made by a merge that scores above one of its parts', or that hold such a piece
+        self.odd: set[str] = set()
+        for p, (left, right, score) in self.last.items():
+            if any(x in self.odd or (x in self.last and self.last[x][2] < score) for x in (left, right)):
+                self.odd.add(p)
         self.shorter: dict[str, str] = {}
         known = set(whole)
         for p in whole:
@@ -66,15 +77,19 @@ class PieceCoder:
         self.automaton = ahocorasick.Automaton()
         for p in whole:
             if len(p) > 1:
-                self.automaton.add_word(p, p)
+                self.automaton.add_word(p, len(p))
         self.automaton.make_automaton()
         self.fits: dict[tuple[str, str], bool] = {}
+        #: ids, ids as text and decoded text of each piece, and of unknown characters as they come
+        self.known = {p: ((i,), str(i), p.replace(MARK, " ")) for p, i in self.ids.items()}
+        #: words seen lately and before that: a full cache becomes the older one
         self.words: dict[str, tuple[tuple[int, ...], str, str]] = {}
+        self.older: dict[str, tuple[tuple[int, ...], str, str]] = {}
 
-    def merge(self, text: str) -> list[str]:
-        """Merge the characters of a short string: best score first, leftmost of equals."""
+    def merge(self, text: str, stop: int = 1) -> list[str]:
+        """Merge the characters of a short string down to ``stop`` parts: best score first, leftmost of equals."""
         parts = list(text)
-        while len(parts) > 1:
+        while len(parts) > stop:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 score = self.score.get(parts[i] + parts[i + 1])
@@ -86,61 +101,98 @@ class PieceCoder:
         return parts
 
     def follows(self, first: str, second: str) -> bool:
-        """Whether the two pieces stay as they are when their characters are merged anew."""
+        """Whether the two pieces stay as they are when their characters are merged anew.
+
+        The merges are taken back, latest first, while the pair that meets at
+        the border is watched: it must never have been the better merge.
+        """
         pair = (first, second)
         known = self.fits.get(pair)
         if known is None:
-            if len(self.fits) > CACHE_WORDS:
+            if len(self.fits) > 4 * CACHE_WORDS:
                 self.fits.clear()
-            known = self.fits[pair] = self.merge(first + second) == [first, second]
+            if first in self.odd or second in self.odd:
+                known = self.merge(first + second) == [first, second]
+            else:
+                known = self._unmerged(first, second)
+            self.fits[pair] = known
         return known
 
+    def _unmerged(self, left: str, right: str) -> bool:
+        score, last = self.score, self.last
+        if left + right in score:
+            return False
+        a, b = last.get(left), last.get(right)
+        while a is not None or b is not None:
+            if b is None or (a is not None and a[2] < b[2]):
+                # the border pair stood to the right of this merge: it wins only by a better score
+                limit, left = a[2], a[1]
+                a = last.get(left)
+                if score.get(left + right, limit) > limit:
+                    return False
+            else:
+                # the border pair stood to the left: it wins by an equal score, too
+                limit, right = b[2], b[0]
+                b = last.get(right)
+                if (met := score.get(left + right)) is not None and met >= limit:
+                    return False
+        return True
+
     def split(self, word: str) -> list[str]:
         """The pieces (and unknown single characters) of one stretch of normalised text."""
-        longest = list(word)
-        for end, piece in self.automaton.iter(word):
-            start = end + 1 - len(piece)
-            if len(piece) > len(longest[start]):
-                longest[start] = piece
-        failed = bytearray(len(word) // 8 + 1)
+        size = len(word)
+        longest = [1] * size
+        for end, n in self.automaton.iter(word):  # by ascending end: the last one is the longest
+            longest[end + 1 - n] = n
+        failed: bytearray | None = None
+        fits = self.fits
         out: list[str] = []
-        at, piece = 0, longest[0]
+        at, piece, last = 0, word[: longest[0]], None
         while True:
             end = at + len(piece)
-            if not failed[end >> 3] >> (end & 7) & 1 and (not out or self.follows(out[-1], piece)):
+            if (failed is None or not failed[end >> 3] >> (end & 7) & 1) and (
+                last is None or (known if (known := fits.get((last, piece))) is not None else self.follows(last, piece))
+            ):
                 out.append(piece)
-                at = end
-                if at == len(word):
+                if end == size:
                     return out
-                piece = longest[at]
+                at, last = end, piece
+                piece = word[at : at + longest[at]]
                 continue
             while (shorter := self.shorter.get(piece)) is None:
+                if failed is None:
+                    failed = bytearray(size // 8 + 1)
                 failed[at >> 3] |= 1 << (at & 7)
                 piece = out.pop()
                 at -= len(piece)
+                last = out[-1] if out else None
             piece = shorter
 
     def word(self, word: str) -> tuple[tuple[int, ...], str, str]:
         """Ids of a word, the same as text, and what they decode to."""
-        ids: list[int] = []
-        for piece in self.split(word):
-            known = self.ids.get(piece)
-            if known is not None:
-                ids.append(known)
-            else:
-                ids.extend(self.byte_id[b] for b in piece.encode("utf-8"))
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        made = self.words[word] = (tuple(ids), ",".join(map(str, ids)), self.surface(ids))
+        made = self.older.get(word)
+        if made is None:
+            known = self.known
+            pieces = [known.get(p) or self.spelled(p) for p in self.split(word)]
+            ids = tuple([i for p in pieces for i in p[0]])
+            made = (ids, ",".join([p[1] for p in pieces]), "".join([p[2] for p in pieces]))
+        if len(self.words) >= CACHE_WORDS:
+            self.older, self.words = self.words, {}
+        self.words[word] = made
         return made
 
+    def spelled(self, char: str) -> tuple[tuple[int, ...], str, str]:
+        """An unknown character as byte pieces."""
+        ids = tuple(self.byte_id[b] for b in char.encode("utf-8"))
+        return ids, ",".join(map(str, ids)), self.surface(ids)
+
     def parts(self, text: str) -> list[tuple[tuple[int, ...], str, str]]:
         """For each word of a text: ids, ids as text, decoded text."""
         if not text:
             return []
-        get, words = self.word, self.words
+        get = self.word
         found = _WORD.findall(self.prefix + text.replace(" ", MARK))
-        return [words.get(w) or get(w) for w in found]
+        return [self.words.get(w) or get(w) for w in found]
 
     def encode(self, text: str) -> list[int]:
         return [i for ids, _, _ in self.parts(text) for i in ids]
