@@ -9,8 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import langid, pieces, simhash
-from quillspark.llm.queries import piece_model
+from quillspark.llm import langid, lines, mixing, pieces, simhash
+from quillspark.llm.queries import WEIGHTS, piece_model
+
+#: Share of the tokens that reach the mixing stage which it hands on.
+TOKEN_SHARE = 0.9
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,18 +21,28 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_identified(docs)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without their copied lines; those of which nothing stays go."""
+    return lines.dedup_documents(docs)
+
+
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of near copies."""
     return simhash.drop_near_copies(docs)
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents selected so that domains, languages and sources meet their weights; none twice."""
+    return mixing.mix_documents(docs, WEIGHTS, TOKEN_SHARE, max_epochs=1, seed=42)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, with their number."""
     coded = pieces.encode_documents(docs, piece_model())
     return coded.select("doc_id", "lang", "source", F.size("piece_ids").cast("bigint").alias("n_tokens"), "piece_ids")
 
 
-STAGES = [("language_id", language_id), ("simhash_dedup", simhash_dedup), ("encode", encode)]
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("simhash_dedup", simhash_dedup), ("mix_sources", mix_sources), ("encode", encode)]
 #: The stages learn a model, link near copies and encode: not expressible in SQL.
 ORACLE_SQL = None
 
