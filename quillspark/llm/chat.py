@@ -68,10 +68,13 @@ def branches(messages: DataFrame, best: int = 1, max_rounds: int = 40) -> DataFr
     for _ in range(max_rounds):
         if reach.where("up is not null").isEmpty():
             break
+        # messages that have reached past their root are done and move no more
+        going = reach.where("up is not null")
         above = reach.select(F.col("tree").alias("tree2"), F.col("msg").alias("msg2"), F.col("up").alias("up2"), F.col("steps").alias("steps2"), F.col("total").alias("total2"))
-        joined = reach.join(above, F.col("tree").eqNullSafe(F.col("tree2")) & (F.col("up") == F.col("msg2")), "left")
-        reach = cut(joined.select("tree", "msg", F.col("up2").alias("up"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total")))
-        jumps.append(reach.select("tree", "msg", "up"))
+        joined = going.join(above, F.col("tree").eqNullSafe(F.col("tree2")) & (F.col("up") == F.col("msg2")))
+        further = joined.select("tree", "msg", F.col("up2").alias("up"), (F.col("steps") + F.col("steps2")).alias("steps"), (F.col("total") + F.col("total2")).alias("total"))
+        reach = cut(further.unionByName(reach.where("up is null")))
+        jumps.append(reach.select("tree", "msg", "up").where("up is not null"))
     else:
         raise ValueError("the replies hold a cycle")
     parents = nodes.where("parent is not null").select(F.col("tree").alias("tree2"), F.col("parent").alias("msg2")).distinct()

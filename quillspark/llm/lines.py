@@ -1,19 +1,21 @@
 """Fuzzy line dedup: MinHash over character shingles, exact check, union-find.
 
-Lines are compared lower-cased and trimmed.  Equal lines are one class; a
-class has a signature of one-permutation MinHash: its shingle hashes fall into
-32 bins by their leading bits, each bin keeps its smallest, and eight bands of
-four bins are the keys under which classes meet.  Classes that meet are linked
-if the exact Jaccard similarity of their sets of eight-character shingles is
-0.8 or more; one line of each component stays, the first by document and line.
-
-For the signature, shingles are taken where a run of ASCII letters begins and
-at every other character: positions fixed by the content, about one in six of
-a prose line.  Lines with few of those use the shingles at all positions, and
-lines near the border use both, so a pair across it still meets.
-
-All of it is DataFrame functions.  A band key first links its members to its
-smallest one; only keys whose members are not in one component after that
+Lines are compared lower-cased and trimmed.  Equal lines are one class; classes
+meet under the keys of a MinHash signature and are linked if the exact Jaccard
+similarity of their sets of eight-character shingles is 0.8 or more; one line
+of each component stays, the first by document and line.
+
+Signature: shingle hashes lie on a ring, and for each of ten fixed points the
+four hashes that follow it are a band (the four smallest under the permutation
+that turns the ring to that point).  For lines of prose the shingles are those
+that begin where a run of ASCII letters begins or at any other character:
+places fixed by the content, about one in six.  Lines with few of those use
+the shingles at all places, and lines near the border use both, so a pair
+across it still meets.  Sets of 10 to 19 hashes have bands of three; smaller
+ones the set itself and the set without each one of its hashes as keys.
+
+All of it is DataFrame functions.  A band key first links its members to the
+one of them that meets most other lines; only keys whose members are not in one component after that
 compare members across components, so a key of thousands of copies makes
 links in proportion to its members.
 """
@@ -28,15 +30,16 @@ from pyspark.sql import functions as F
 from quillspark.llm.graph import connected_components, cut
 
 CHARS = 8
-BINS_BITS, BAND_BITS = 5, 3
-BANDS = 1 << BAND_BITS
-#: With at least FEW anchored shingles a line has keys of those, with fewer than MANY keys of all positions.
-FEW, MANY = 16, 20
+POINTS = 10
+#: From so many anchored shingles on a line has keys of those, below MANY keys of all places.
+FEW, MANY = 20, 25
 SIMILARITY = 0.8
 #: Sets of classes or documents up to this many rows are broadcast, larger ones joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 _ANCHORED = r"(?s)(?<![a-z])(?=(.{1,8}))"
 _EVERYWHERE = r"(?s)(?=(.{8}))"
+#: Keys of anchored and of all shingles.
+_KEYS = [f"k{i}" for i in range(POINTS + 15)]
 
 
 def normal_line(line: Column) -> Column:
@@ -56,37 +59,54 @@ def shingle_set(line: Column) -> Column:
     return F.array_distinct(_all_shingles(line))
 
 
-def _band_keys(shingles: Column, salt: int) -> Column:
-    """Eight keys (null where a band's bins are empty) of a set of shingles."""
+def _hashes(shingles: Column) -> Column:
+    """Sorted distinct hashes of an array of shingles."""
+    return F.sort_array(F.array_distinct(F.transform(shingles, lambda s: F.xxhash64(s))))
 
-    def bands(hashes: Column) -> Column:
-        bin_of = lambda x: F.shiftrightunsigned(x, 64 - BINS_BITS)
-        least = F.filter(hashes, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(hashes, i - 1))))
 
-        def keys(mins: Column) -> Column:
-            def key(band: Column) -> Column:
-                own = F.filter(mins, lambda x: F.shiftrightunsigned(x, 64 - BAND_BITS) == band)
-                return _let(own, lambda o: F.when(F.size(o) > 0, F.xxhash64(o, F.lit(salt))))
+def _ring(hashes: Column, points: range, width: int, salt: int) -> Column:
+    """Keys of the ``width`` hashes that follow each of the points on the ring."""
+    place = [-(2**63) + 987654321 + i * (2**64 // POINTS) for i in range(POINTS)]
+    marked = F.sort_array(F.concat(hashes, F.array(*[F.lit(p) for p in place])))
+    round_ = F.concat(hashes, F.slice(hashes, 1, width))
 
-            return F.transform(F.array(*[F.lit(b).cast("bigint") for b in range(BANDS)]), key)
+    def keys(both: Column) -> Column:
+        start = lambda i: (F.array_position(both["marked"], F.lit(place[i])) - i).cast("int")
+        return F.array(*[F.xxhash64(F.slice(both["round"], start(i), F.lit(width)), F.lit(salt + i)) for i in points])
 
-        return _let(least, keys)
+    return _let(F.struct(marked.alias("marked"), round_.alias("round")), keys)
 
-    return _let(F.sort_array(F.array_distinct(F.transform(shingles, lambda s: F.xxhash64(s)))), bands)
+
+def _set_keys(hashes: Column) -> Column:
+    """Keys of a set by its size; sets whose partner may be in the next range have keys of both.
+
+    Of two similar sets of at most 9 hashes, one is the other without one
+    hash, or both are the same without one each, or they are equal.
+    """
+    n = F.size(hashes)
+    less = F.transform(hashes, lambda x: F.xxhash64(F.array_remove(hashes, x), F.lit(300)))
+    small = F.when(n >= 5, F.concat(F.array(F.xxhash64(hashes, F.lit(300))), less)).otherwise(F.array(F.xxhash64(hashes, F.lit(300))))
+    even, every = range(0, POINTS, 2), range(POINTS)
+    return (
+        F.when(n >= 20, _ring(hashes, every, 4, 200))
+        .when(n >= 16, F.concat(_ring(hashes, every, 3, 220), _ring(hashes, even, 4, 200)))
+        .when(n >= 10, _ring(hashes, every, 3, 220))
+        .when(n >= 8, F.concat(small, _ring(hashes, even, 3, 220)))
+        .otherwise(small)
+    )
 
 
 def signature(line: Column) -> Column:
-    """Array of sixteen band keys, null where a line has none."""
-    none = F.array_repeat(F.lit(None).cast("bigint"), BANDS)
+    """Array of 25 band keys, null where a line has none."""
+    none = F.array_repeat(F.lit(None).cast("bigint"), len(_KEYS))
 
     def both(anchored: Column) -> Column:
-        distinct = F.size(F.array_distinct(anchored))
-        return F.concat(
-            F.when(distinct >= FEW, _band_keys(anchored, 1)).otherwise(none),
-            F.when(distinct < MANY, _band_keys(_all_shingles(line), 2)).otherwise(none),
-        )
+        n = F.size(anchored)
+        first = F.when(n >= FEW, _ring(anchored, range(POINTS), 4, 100)).otherwise(F.slice(none, 1, POINTS))
+        every = F.when(n < MANY, _let(_hashes(_all_shingles(line)), _set_keys)).otherwise(F.slice(none, 1, 1))
+        return F.concat(first, every)
 
-    return _let(F.regexp_extract_all(line, F.lit(_ANCHORED), F.lit(1)), both)
+    return _let(_hashes(F.regexp_extract_all(line, F.lit(_ANCHORED), F.lit(1))), both)
 
 
 def _scratch(df: DataFrame) -> DataFrame:
@@ -134,35 +154,37 @@ def line_components(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     """
     docs = docs.where(F.col(id).isNotNull())
     lines = _lines(docs, id, text).select("id", "pos", F.xxhash64("line").alias("h"), signature(F.col("line")).alias("keys"))
-    lines = _scratch(lines.select("id", "pos", "h", *[F.get("keys", F.lit(i)).alias(f"k{i}") for i in range(2 * BANDS)]))
-    at = F.col("id").cast("decimal(20,0)") * F.lit(2**32).cast("decimal(11,0)") + F.col("pos")
-    classes = lines.groupBy("h").agg(F.min(at).alias("at"), F.count("*").alias("n"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(2 * BANDS)])
-    classes = _scratch(classes)
+    lines = _scratch(lines.select("id", "pos", "h", *[F.get("keys", F.lit(i)).alias(k) for i, k in enumerate(_KEYS)]))
 
-    listed = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.col(f"k{i}").alias("key")) for i in range(2 * BANDS)]))
-    postings = classes.select("h", listed.alias("e")).where("e.key is not null").select("h", "e.band", "e.key")
-    postings = postings.repartition("band", "key")
-    leads = postings.groupBy("band", "key").agg(F.min("h").alias("lead"), F.max("h").alias("last")).where("lead < last").drop("last")
-    shared = cut(postings.join(leads, ["band", "key"]))
+    # repeated lines are one class before the keys are dealt out
+    keyed = lines.groupBy("h").agg(*[F.min(k).alias(k) for k in _KEYS])
+    postings = keyed.select("h", F.explode(F.array(*_KEYS)).alias("key")).where("key is not null").repartition("key")
+    several = postings.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
+    shared = cut(postings.join(several, "key"))
 
     met = shared.select("h").distinct()
     again = _lines(docs, id, text).select(F.xxhash64("line").alias("h"), "line")
     texts = again.join(F.broadcast(met) if _small(met) else met, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
     texts = cut(texts)
 
-    star = shared.where("h <> lead").select(F.col("h").alias("a"), F.col("lead").alias("b")).distinct()
+    # the member that meets most others leads: in a group of edited copies, the text they were made from
+    weight = shared.groupBy("h").agg(F.sum("n").alias("weight"))
+    leads = shared.join(weight, "h").groupBy("key").agg(F.max(F.struct("weight", "h")).alias("top"))
+    star = cut(shared.join(leads, "key").where(F.col("h") != F.col("top.h")).select(F.col("h").alias("a"), F.col("top.h").alias("b")).distinct())
     label = cut(connected_components(_verified(star, texts)))
-    member = shared.select("band", "key", "h").join(label.withColumnRenamed("node", "h"), "h", "left").select("band", "key", "h", F.coalesce("component", "h").alias("label"))
-    mixed = member.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band", "key")
-    left = member.join(mixed, ["band", "key"])
-    right = left.select("band", "key", F.col("h").alias("h2"), F.col("label").alias("label2"))
-    across = left.join(right, ["band", "key"]).where("label < label2").select(F.col("h").alias("a"), F.col("h2").alias("b")).distinct()
+    member = shared.select("key", "h").join(label.withColumnRenamed("node", "h"), "h", "left").select("key", "h", F.coalesce("component", "h").alias("label"))
+    mixed = member.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    left = member.join(mixed, "key")
+    right = left.select("key", F.col("h").alias("h2"), F.col("label").alias("label2"))
+    across = left.join(right, "key").where("label < label2").select(F.col("h").alias("a"), F.col("h2").alias("b")).distinct()
     across = across.join(star, ["a", "b"], "left_anti").join(star.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
     links = label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_verified(across, texts))
     label = cut(connected_components(links))
 
     # classes with a copy: more than one line, or in a component with another class
-    named = classes.select("h", "at", "n").join(label.withColumnRenamed("node", "h"), "h", "left")
+    at = F.col("id").cast("decimal(20,0)") * F.lit(2**32).cast("decimal(11,0)") + F.col("pos")
+    classes = lines.groupBy("h").agg(F.min(at).alias("at"), F.count("*").alias("n"))
+    named = classes.join(label.withColumnRenamed("node", "h"), "h", "left")
     named = named.where("n > 1 or component is not null").select("h", "at", F.coalesce("component", "h").alias("component"))
     first = named.groupBy("component").agg(F.min("at").alias("first"))
     copied = cut(named.join(first, "component").select("h", "first"))
