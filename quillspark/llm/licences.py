@@ -12,7 +12,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Known sentences of public licences and licence notices, by identifier.
+#: Known sentences of public licences and licence notices, by identifier, each as a text is cut:
+#: "v. 2.0" is cut after the first mark.
 SENTENCES = {
     "MIT-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
     "MIT-notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
@@ -41,7 +42,7 @@ SENTENCES = {
     "GPL-work-v3": "This work is licensed under the GNU General Public License, version 3.",
     "LGPL-licensed": "This library is licensed under the GNU Lesser General Public License, version 3.",
     "AGPL-licensed": "This work is licensed under the GNU Affero General Public License, version 3.",
-    "MPL-subject": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "MPL-subject": "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
     "CC-BY-work": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-work": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC-BY": "Licensed under CC BY 4.0.",

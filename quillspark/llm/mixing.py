@@ -136,7 +136,8 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]], budget_share: float
     """One row per selected row of ``docs``: ``id``, levels, ``n_tokens``, ``quota``, ``copies``.
 
     Rows with the same id share their place in an epoch and are selected
-    together.  Null texts have no tokens.  Empty tables give no rows.
+    together.  Null texts have no tokens, a leaf without any token has no
+    share and gives no rows.  Empty tables give no rows.
     """
     narrow = cut(docs.select(*leaves_of(docs, id, text, lang, source), word_tokens(F.col(text)).alias("n_tokens")))
     plan = leaf_plan(narrow, weights, budget_share, max_epochs, seed)
