@@ -130,18 +130,43 @@ def _lines(docs: DataFrame, id: str, text: str) -> DataFrame:
     return cut_up.select("id", "pos", normal_line(F.col("raw")).alias("line")).where("line <> ''")
 
 
-def _similar(a: str, b: str) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    return both >= SIMILARITY * (F.size(a) + F.size(b) - both) - 1e-9
+def _parity(hashes: Column, quarter: int) -> Column:
+    """64 bits: whether an odd number of the hashes falls on each of a quarter of 256 places."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(F.lit(63)).cast("int"))
+    own = lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(3)) == quarter
+    return F.aggregate(hashes, F.lit(0).cast("bigint"), lambda acc, h: F.when(own(h), acc.bitwiseXOR(bit(h))).otherwise(acc))
+
+
+def parity_sketch(line: Column) -> Column:
+    """Struct of the size of a line's shingle set and four words of parities."""
+    words = lambda s: F.struct(F.size(s).alias("n"), *[_parity(s, q).alias(f"p{q}") for q in range(4)])
+    return _let(_hashes(_all_shingles(line)), words)
+
+
+def may_be_similar(a: str, b: str) -> Column:
+    """False only for sketches of sets that are surely not similar.
+
+    Sets that differ in d shingles differ in at most d parities, and similar
+    ones differ in at most (1 - s) / (1 + s) of the sum of their sizes.
+    """
+    differs = sum((F.bit_count(F.col(f"{a}.p{q}").bitwiseXOR(F.col(f"{b}.p{q}"))) for q in range(4)), F.lit(0))
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return (F.least(n, m) >= SIMILARITY * F.greatest(n, m) - 1e-9) & (differs <= (n + m) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-9)
+
+
+def similar_lines(a: Column, b: Column) -> Column:
+    """Exact test of two normalised lines; each set is built once."""
+    enough = lambda s: _let(F.size(F.array_intersect(s["a"], s["b"])), lambda both: both >= SIMILARITY * (F.size(s["a"]) + F.size(s["b"]) - both) - 1e-9)
+    return _let(F.struct(shingle_set(a).alias("a"), shingle_set(b).alias("b")), enough)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (``a``, ``b``) whose lines are similar; sizes are compared before the sets are."""
-    left = texts.select(F.col("h").alias("a"), F.col("line").alias("line_a"))
-    right = texts.select(F.col("h").alias("b"), F.col("line").alias("line_b"))
-    rows = pairs.join(left, "a").join(right, "b")
-    sized = rows.withColumn("set_a", shingle_set(F.col("line_a"))).withColumn("set_b", shingle_set(F.col("line_b")))
-    return sized.where(_similar("set_a", "set_b")).select("a", "b")
+    """The pairs (``a``, ``b``) whose lines are similar; sketches are compared before the sets are."""
+    sketches = texts.select("h", "sketch")
+    near = pairs.join(sketches.select(F.col("h").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(sketches.select(F.col("h").alias("b"), F.col("sketch").alias("sketch_b")), "b")
+    near = near.where(may_be_similar("sketch_a", "sketch_b")).select("a", "b")
+    rows = near.join(texts.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b")
+    return rows.where(similar_lines(F.col("line_a"), F.col("line_b"))).select("a", "b")
 
 
 def line_components(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -165,7 +190,7 @@ def line_components(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     met = shared.select("h").distinct()
     again = _lines(docs, id, text).select(F.xxhash64("line").alias("h"), "line")
     texts = again.join(F.broadcast(met) if _small(met) else met, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
-    texts = cut(texts)
+    texts = cut(texts.select("h", "line", parity_sketch(F.col("line")).alias("sketch")))
 
     # the member that meets most others leads: in a group of edited copies, the text they were made from
     weight = shared.groupBy("h").agg(F.sum("n").alias("weight"))
