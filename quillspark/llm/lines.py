@@ -199,9 +199,11 @@ def line_components(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     label = cut(connected_components(_verified(star, texts)))
     member = shared.select("key", "h").join(label.withColumnRenamed("node", "h"), "h", "left").select("key", "h", F.coalesce("component", "h").alias("label"))
     mixed = member.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    left = member.join(mixed, "key")
-    right = left.select("key", F.col("h").alias("h2"), F.col("label").alias("label2"))
-    across = left.join(right, "key").where("label < label2").select(F.col("h").alias("a"), F.col("h2").alias("b")).distinct()
+    # sketches are compared within the join, so only pairs that may be similar leave it
+    left = cut(member.join(mixed, "key").join(texts.select("h", "sketch"), "h"))
+    right = left.select("key", F.col("h").alias("h2"), F.col("label").alias("label2"), F.col("sketch").alias("sketch2"))
+    meets = (F.col("label") < F.col("label2")) & may_be_similar("sketch", "sketch2")
+    across = left.join(right.withColumnRenamed("key", "key2"), (F.col("key") == F.col("key2")) & meets).select(F.col("h").alias("a"), F.col("h2").alias("b")).distinct()
     across = across.join(star, ["a", "b"], "left_anti").join(star.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
     links = label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_verified(across, texts))
     label = cut(connected_components(links))
