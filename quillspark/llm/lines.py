@@ -34,6 +34,8 @@ POINTS = 10
 #: From so many anchored shingles on a line has keys of those, below MANY keys of all places.
 FEW, MANY = 20, 25
 SIMILARITY = 0.8
+#: Words of a fine sketch; a power of two.
+FINE = 16
 #: Sets of classes or documents up to this many rows are broadcast, larger ones joined by shuffle.
 BROADCAST_ROWS = 2_000_000
 _ANCHORED = r"(?s)(?<![a-z])(?=(.{1,8}))"
@@ -143,13 +145,24 @@ def parity_sketch(line: Column) -> Column:
     return _let(_hashes(_all_shingles(line)), words)
 
 
-def may_be_similar(a: str, b: str) -> Column:
+def fine_sketches(texts: DataFrame) -> DataFrame:
+    """``h``, ``sketch`` of each row (``h``, ``line``): the size of its shingle set and sixteen words of parities."""
+    hashes = F.array_distinct(F.transform(_all_shingles(F.col("line")), lambda s: F.xxhash64(s)))
+    rows = texts.select("h", F.explode(hashes).alias("x"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("x").bitwiseAND(F.lit(63)).cast("int"))
+    word = F.shiftrightunsigned("x", 6).bitwiseAND(F.lit(FINE - 1))
+    words = [F.coalesce(F.bit_xor(F.when(word == w, bit)), F.lit(0).cast("bigint")).alias(f"p{w}") for w in range(FINE)]
+    made = rows.groupBy("h").agg(F.count("*").alias("n"), *words)
+    return made.select("h", F.struct("n", *[f"p{w}" for w in range(FINE)]).alias("sketch"))
+
+
+def may_be_similar(a: str, b: str, words: int = 4) -> Column:
     """False only for sketches of sets that are surely not similar.
 
     Sets that differ in d shingles differ in at most d parities, and similar
     ones differ in at most (1 - s) / (1 + s) of the sum of their sizes.
     """
-    differs = sum((F.bit_count(F.col(f"{a}.p{q}").bitwiseXOR(F.col(f"{b}.p{q}"))) for q in range(4)), F.lit(0))
+    differs = sum((F.bit_count(F.col(f"{a}.p{q}").bitwiseXOR(F.col(f"{b}.p{q}"))) for q in range(words)), F.lit(0))
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     return (F.least(n, m) >= SIMILARITY * F.greatest(n, m) - 1e-9) & (differs <= (n + m) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-9)
 
@@ -161,14 +174,22 @@ def similar_lines(a: Column, b: Column) -> Column:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (``a``, ``b``) whose lines are similar; sketches are compared before the sets are."""
-    sketches = texts.select("h", "sketch")
-    near = pairs.join(sketches.select(F.col("h").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(sketches.select(F.col("h").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-    near = near.where(may_be_similar("sketch_a", "sketch_b")).select("a", "b")
-    rows = near.join(texts.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b")
+    """The pairs (``a``, ``b``) whose lines are similar.
+
+    Many pairs may have the same ``b``, so ``a`` is joined last: the sets are
+    built in the tasks that the pairs are dealt to by ``a``.
+    """
+    rows = pairs.join(texts.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b").join(texts.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a")
     return rows.where(similar_lines(F.col("line_a"), F.col("line_b"))).select("a", "b")
 
 
+def _plausible(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (``a``, ``b``) that the sketches of their lines don't refuse."""
+    sketches = texts.select("h", "sketch")
+    near = pairs.join(sketches.select(F.col("h").alias("b"), F.col("sketch").alias("sketch_b")), "b").join(sketches.select(F.col("h").alias("a"), F.col("sketch").alias("sketch_a")), "a")
+    return near.where(may_be_similar("sketch_a", "sketch_b")).select("a", "b")
+
+
 def line_components(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id``, ``pos``, ``h`` (class of the line), ``keeper`` of every line that has a copy.
 
@@ -196,14 +217,16 @@ def line_components(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     weight = shared.groupBy("h").agg(F.sum("n").alias("weight"))
     leads = shared.join(weight, "h").groupBy("key").agg(F.max(F.struct("weight", "h")).alias("top"))
     star = cut(shared.join(leads, "key").where(F.col("h") != F.col("top.h")).select(F.col("h").alias("a"), F.col("top.h").alias("b")).distinct())
-    label = cut(connected_components(_verified(star, texts)))
+    label = cut(connected_components(_verified(_plausible(star, texts), texts)))
     member = shared.select("key", "h").join(label.withColumnRenamed("node", "h"), "h", "left").select("key", "h", F.coalesce("component", "h").alias("label"))
     mixed = member.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    # sketches are compared within the join, so only pairs that may be similar leave it
-    left = cut(member.join(mixed, "key").join(texts.select("h", "sketch"), "h"))
-    right = left.select("key", F.col("h").alias("h2"), F.col("label").alias("label2"), F.col("sketch").alias("sketch2"))
-    meets = (F.col("label") < F.col("label2")) & may_be_similar("sketch", "sketch2")
-    across = left.join(right.withColumnRenamed("key", "key2"), (F.col("key") == F.col("key2")) & meets).select(F.col("h").alias("a"), F.col("h2").alias("b")).distinct()
+    # finer sketches are compared within the join, so only pairs that may be similar leave it
+    member = cut(member.join(mixed, "key"))
+    fine = cut(fine_sketches(texts.join(member.select("h").distinct(), "h", "left_semi")))
+    left = member.join(fine, "h")
+    right = left.select(F.col("key").alias("key2"), F.col("h").alias("h2"), F.col("label").alias("label2"), F.col("sketch").alias("sketch2"))
+    meets = (F.col("key") == F.col("key2")) & (F.col("label") < F.col("label2")) & may_be_similar("sketch", "sketch2", FINE)
+    across = left.join(right, meets).select(F.col("h").alias("a"), F.col("h2").alias("b")).distinct()
     across = across.join(star, ["a", "b"], "left_anti").join(star.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
     links = label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_verified(across, texts))
     label = cut(connected_components(links))
