@@ -177,9 +177,12 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (``a``, ``b``) whose lines are similar.
 
     Many pairs may have the same ``b``, so ``a`` is joined last: the sets are
-    built in the tasks that the pairs are dealt to by ``a``.
+    built in the tasks that the pairs are dealt to by ``a``.  These are few
+    bytes with much work, so their number is fixed, not fitted to the bytes.
     """
-    rows = pairs.join(texts.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b").join(texts.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a")
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = pairs.join(texts.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b").repartition(parts, "a")
+    rows = rows.join(texts.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a")
     return rows.where(similar_lines(F.col("line_a"), F.col("line_b"))).select("a", "b")
 
 

@@ -67,6 +67,18 @@ def test_sketches_refuse_no_similar_pair(spark):
     assert not all(r["may"] for r in rows)
 
 
+def test_fine_sketches_refuse_no_similar_pair(spark):
+    base = "the meeting of the harbour council was moved to the second week of october because of rain"
+    texts = [base[:k] + "zq" + base[k + n :] for k in range(0, 80, 3) for n in (0, 2, 5, 9)] + [base, "short", "shorts", "x" * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "h bigint, line string")
+    s = {r["h"]: r["sketch"] for r in lines.fine_sketches(df).collect()}
+    assert {h: x["n"] for h, x in s.items()} == {h: len(shingles(t)) for h, t in enumerate(texts)}
+    rows = spark.createDataFrame([(a, b, s[a], s[b]) for a in s for b in s], "a bigint, b bigint, sa " + (kind := df.transform(lines.fine_sketches).schema["sketch"].dataType.simpleString()) + ", sb " + kind)
+    may = {(r["a"], r["b"]): r["may"] for r in rows.select("a", "b", lines.may_be_similar("sa", "sb", lines.FINE).alias("may")).collect()}
+    same = {(a, b) for a in s for b in s if (n := len(shingles(texts[a]) & shingles(texts[b]))) >= 0.8 * (len(shingles(texts[a])) + len(shingles(texts[b])) - n) - 1e-9}
+    assert all(may[p] for p in same) and not all(may.values())
+
+
 def test_edited_lines_and_places(spark):
     long = "All visitors are asked to leave their umbrellas at the entrance of the museum before two."
     rows = [(1, f"{long}\nunique line one here"), (2, f"first\n\n{long.upper()}  \nend of two"), (3, long.replace("two", "ten") + "\n"), (4, "first"), (5, "\n \n\t\n"), (6, None)]
