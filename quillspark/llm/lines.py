@@ -5,14 +5,12 @@ meet under the keys of a MinHash signature and are linked if the exact Jaccard
 similarity of their sets of eight-character shingles is 0.8 or more; one line
 of each component stays, the first by document and line.
 
-Signature: shingle hashes lie on a ring, and for each of ten fixed points the
-four hashes that follow it are a band (the four smallest under the permutation
-that turns the ring to that point).  For lines of prose the shingles are those
-that begin where a run of ASCII letters begins or at any other character:
-places fixed by the content, about one in six.  Lines with few of those use
-the shingles at all places, and lines near the border use both, so a pair
-across it still meets.  Sets of 10 to 19 hashes have bands of three; smaller
-ones the set itself and the set without each one of its hashes as keys.
+Signature: the hashes of all distinct shingles of a line lie on a ring, and for
+each of ten fixed points the four hashes that follow it are a band (the four
+smallest under the permutation that turns the ring to that point).  Sets of 10
+to 19 hashes have bands of three; smaller ones the set itself and the set
+without each one of its hashes as keys.  Sets of a size that may be similar to
+one of the next range have all keys of both ranges.
 
 All of it is DataFrame functions.  A band key first links its members to the
 one of them that meets most other lines; only keys whose members are not in one component after that
@@ -31,17 +29,14 @@ from quillspark.llm.graph import connected_components, cut
 
 CHARS = 8
 POINTS = 10
-#: From so many anchored shingles on a line has keys of those, below MANY keys of all places.
-FEW, MANY = 20, 25
 SIMILARITY = 0.8
 #: Words of a fine sketch; a power of two.
 FINE = 16
 #: Sets of classes or documents up to this many rows are broadcast, larger ones joined by shuffle.
 BROADCAST_ROWS = 2_000_000
-_ANCHORED = r"(?s)(?<![a-z])(?=(.{1,8}))"
 _EVERYWHERE = r"(?s)(?=(.{8}))"
-#: Keys of anchored and of all shingles.
-_KEYS = [f"k{i}" for i in range(POINTS + 15)]
+#: As many keys as a line has at most.
+_KEYS = [f"k{i}" for i in range(2 * POINTS)]
 
 
 def normal_line(line: Column) -> Column:
@@ -66,7 +61,7 @@ def _hashes(shingles: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(shingles, lambda s: F.xxhash64(s))))
 
 
-def _ring(hashes: Column, points: range, width: int, salt: int) -> Column:
+def _ring(hashes: Column, width: int, salt: int) -> Column:
     """Keys of the ``width`` hashes that follow each of the points on the ring."""
     place = [-(2**63) + 987654321 + i * (2**64 // POINTS) for i in range(POINTS)]
     marked = F.sort_array(F.concat(hashes, F.array(*[F.lit(p) for p in place])))
@@ -74,7 +69,7 @@ def _ring(hashes: Column, points: range, width: int, salt: int) -> Column:
 
     def keys(both: Column) -> Column:
         start = lambda i: (F.array_position(both["marked"], F.lit(place[i])) - i).cast("int")
-        return F.array(*[F.xxhash64(F.slice(both["round"], start(i), F.lit(width)), F.lit(salt + i)) for i in points])
+        return F.array(*[F.xxhash64(F.slice(both["round"], start(i), F.lit(width)), F.lit(salt + i)) for i in range(POINTS)])
 
     return _let(F.struct(marked.alias("marked"), round_.alias("round")), keys)
 
@@ -88,27 +83,19 @@ def _set_keys(hashes: Column) -> Column:
     n = F.size(hashes)
     less = F.transform(hashes, lambda x: F.xxhash64(F.array_remove(hashes, x), F.lit(300)))
     small = F.when(n >= 5, F.concat(F.array(F.xxhash64(hashes, F.lit(300))), less)).otherwise(F.array(F.xxhash64(hashes, F.lit(300))))
-    even, every = range(0, POINTS, 2), range(POINTS)
+    fours, threes = _ring(hashes, 4, 200), _ring(hashes, 3, 220)
     return (
-        F.when(n >= 20, _ring(hashes, every, 4, 200))
-        .when(n >= 16, F.concat(_ring(hashes, every, 3, 220), _ring(hashes, even, 4, 200)))
-        .when(n >= 10, _ring(hashes, every, 3, 220))
-        .when(n >= 8, F.concat(small, _ring(hashes, even, 3, 220)))
+        F.when(n >= 20, fours)
+        .when(n >= 16, F.concat(threes, fours))
+        .when(n >= 10, threes)
+        .when(n >= 8, F.concat(small, threes))
         .otherwise(small)
     )
 
 
 def signature(line: Column) -> Column:
-    """Array of 25 band keys, null where a line has none."""
-    none = F.array_repeat(F.lit(None).cast("bigint"), len(_KEYS))
-
-    def both(anchored: Column) -> Column:
-        n = F.size(anchored)
-        first = F.when(n >= FEW, _ring(anchored, range(POINTS), 4, 100)).otherwise(F.slice(none, 1, POINTS))
-        every = F.when(n < MANY, _let(_hashes(_all_shingles(line)), _set_keys)).otherwise(F.slice(none, 1, 1))
-        return F.concat(first, every)
-
-    return _let(_hashes(F.regexp_extract_all(line, F.lit(_ANCHORED), F.lit(1))), both)
+    """Array of the band keys of a normalised line, 20 at most, from all of its shingles."""
+    return _let(_hashes(_all_shingles(line)), _set_keys)
 
 
 def _scratch(df: DataFrame) -> DataFrame:

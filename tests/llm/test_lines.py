@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -88,6 +89,28 @@ def test_edited_lines_and_places(spark):
     }
 
 
+def test_lines_that_differ_by_a_date_number_or_suffix(spark):
+    draw = random.Random(5)
+    words = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randint(2, 9))) for _ in range(3000)]
+    pairs = []
+    for n in range(3, 40):
+        for _ in range(8):
+            line = " ".join(draw.sample(words, n))
+            for edited in (line + " (2023-11-04)", "12:30 " + line, line + " [1, 2, 3]", line + ".", line[: len(line) // 2] + "7" + line[len(line) // 2 :], line[:-3]):
+                a, b = shingles(line), shingles(edited)
+                if len(a & b) >= 0.8 * len(a | b):
+                    pairs.append((len(pairs), line, edited))
+    # each pair alone, so that no third line links it
+    df = spark.createDataFrame(pairs, "i bigint, a string, b string")
+    met = df.where(F.size(F.array_intersect(lines.signature(F.col("a")), lines.signature(F.col("b")))) > 0)
+    missed = sorted({r[0] for r in df.select("i").collect()} - {r[0] for r in met.select("i").collect()})
+    assert len(pairs) > 1000
+    assert len(missed) <= 0.01 * len(pairs), [pairs[i] for i in missed[:5]]
+    sentence = "the members of the city council have agreed on a second hearing about the new bridge across the river before winter comes"
+    out = lines.dedup_lines(spark.createDataFrame([(1, f"{sentence}\n{sentence} (2023-11-04)")], "doc_id bigint, text string"))
+    assert [r["gone"] for r in out.collect()] == [[1]]
+
+
 def test_odd_documents(odd_docs, no_docs):
     out = lines.dedup_documents(odd_docs)
     assert out.columns == odd_docs.columns
