@@ -84,6 +84,8 @@ RULES = [
 #: A sentence ends after these marks before white space or the end.
 _END = r"([.!?;:]+)(\s+|$)"
 _BREAK = "\x01"
+#: Number of all ways together, after those of the single ways.
+_ALL = 3
 
 
 def normal(sentence: str) -> str:
@@ -103,16 +105,26 @@ def cues(sentences: dict[str, str]) -> list[str]:
     return chosen
 
 
-def _sentences(text: Column, lines_end: bool) -> Column:
-    """Normalised sentences in order; ``lines_end``: a line break ends one, too."""
-    text = F.regexp_replace(text, _END, f"$1{_BREAK}")
-    parts = F.split(text, f"[{_BREAK}\n\r]+" if lines_end else _BREAK)
-    return F.transform(parts, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
+#: A blank line, with or without comment marks.
+_BLANK = r"(\r\n?|\n)([ \t\f\x0b]|[*#/;>|-])*(\r\n?|\n)\s*"
+
+
+def _sentences(segment: Column) -> Column:
+    """Array of the sentences of a text between marks: ``way``, ``part``, ``row``, ``said`` (normalised).
+
+    ``part`` and ``row`` count the blank lines and the line breaks before it.
+    """
+    said = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
+    one = lambda way, part, row, s: F.struct(F.lit(way).alias("way"), part.alias("part"), row.alias("row"), said(s).alias("said"))
+    parts = F.split(segment, _BLANK)
+    rows = F.flatten(F.transform(parts, lambda p, j: F.transform(F.split(p, "[\n\r]+"), lambda r, k: one(0, j, k, r))))
+    return F.concat(rows, F.array(one(1, F.lit(0), F.lit(0), segment)), F.transform(parts, lambda p, j: one(2, j, F.lit(0), p)))
 
 
 def known_sentences(docs: DataFrame, id: str = "doc_id", text: str = "text", sentences: dict[str, str] | None = None) -> DataFrame:
-    """``id``, ``way`` (0: by marks and lines, 1: by marks alone), ``at``, ``sentence`` of each known sentence.
+    """``id``, ``way`` (0: by marks and lines, 1: by marks alone, 2: by marks and blank lines), ``at``, ``sentence`` of each known sentence.
 
+    ``at`` (marks, blank lines and line breaks before it) has the same order in all ways.
     Texts without any cue word hold no known sentence and are not cut.  The
     table of sentences is fixed and small, and is the broadcast side.
     """
@@ -120,25 +132,30 @@ def known_sentences(docs: DataFrame, id: str = "doc_id", text: str = "text", sen
     table = docs.sparkSession.createDataFrame([(normal(v), k) for k, v in sentences.items()], "said string, sentence string")
     cue = F.col("text").rlike("(?i)" + "|".join(cues(sentences)))
     hits = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).where(cue)
-    ways = F.array(*[F.struct(F.lit(way).alias("way"), _sentences(F.col("text"), way == 0).alias("said")) for way in (0, 1)])
-    cut = hits.select("id", F.explode(ways).alias("w")).select("id", "w.way", F.posexplode("w.said").alias("at", "said"))
+    segments = hits.select("id", F.posexplode(F.split(F.regexp_replace("text", _END, f"$1{_BREAK}"), _BREAK)).alias("segment", "text"))
+    cut = segments.select("id", "segment", F.explode(_sentences(F.col("text"))).alias("s")).select("id", "s.way", F.struct("segment", "s.part", "s.row").alias("at"), "s.said")
     return cut.join(F.broadcast(table), "said").select(F.col("id").alias(id), "way", "at", "sentence")
 
 
 def scan_licences(docs: DataFrame, id: str = "doc_id", text: str = "text", sentences: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None) -> DataFrame:
     """``id``, ``licence``, ``n_sentences``: one row for each licence of a document.
 
-    Either way of cutting may match a rule.  ``n_sentences`` is the greater
-    number of known sentences over the ways.  Rows with the same id are one
+    Any way of cutting may match a rule, or all ways together in the order of
+    the text.  ``n_sentences`` is the greatest number of known sentences over
+    the ways that match, or that of all ways together where only these match.  Rows with the same id are one
     document.  Null, empty and unlicensed texts and empty tables give no rows.
     """
     rules = RULES if rules is None else rules
     found = known_sentences(docs, id, text, sentences)
+    every = F.lit(_ALL)
+    found = found.select(id, F.explode(F.array("way", every)).alias("way"), "at", "sentence")
     runs = found.groupBy(id, "way").agg(F.array_sort(F.collect_list(F.struct("at", "sentence"))).alias("run"))
-    said = runs.select(id, F.size("run").cast("bigint").alias("n"), F.concat(F.lit(","), F.array_join(F.transform("run", lambda r: r["sentence"]), ","), F.lit(",")).alias("said"))
+    number = F.size(F.array_distinct(F.transform("run", lambda r: F.struct(r["at"]["segment"], r["sentence"]))))
+    number = F.when(F.col("way") == every, number).otherwise(F.size("run")).cast("bigint")
+    said = runs.select(id, "way", number.alias("n"), F.concat(F.lit(","), F.array_join(F.transform("run", lambda r: r["sentence"]), ","), F.lit(",")).alias("said"))
     matches = F.array_compact(F.array(*[F.when(F.col("said").rlike(rule_pattern(ids)), F.lit(name)) for name, ids in rules]))
-    named = said.select(id, "n", F.explode(F.array_distinct(matches)).alias("licence"))
-    return named.groupBy(id, "licence").agg(F.max("n").alias("n_sentences"))
+    named = said.select(id, "way", "n", F.explode(F.array_distinct(matches)).alias("licence"))
+    return named.groupBy(id, "licence").agg(F.coalesce(F.max(F.when(F.col("way") < every, F.col("n"))), F.max("n")).alias("n_sentences"))
 
 
 def rule_pattern(ids: list[str]) -> str:

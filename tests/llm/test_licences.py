@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import textwrap
+
 from quillspark.llm import licences
 
 MIT = "Copyright X.\n" + "\n".join(licences.SENTENCES[k] for k in ("MIT-grant", "MIT-notice", "MIT-warranty"))
@@ -21,6 +23,22 @@ def test_each_rule_finds_itself(spark):
     assert {(i, name) for i, (name, _) in enumerate(licences.RULES)} <= found(spark.createDataFrame(rows, KIND))
 
 
+def test_wrapped_notices_below_title_and_copyright(spark):
+    s, rows, want = licences.SENTENCES, [], set()
+    heads = {"MIT": "MIT License", "ISC": "ISC License", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "Apache-2.0": "My project", "GPL-2.0-or-later": "My program", "GPL-3.0-or-later": "My program"}
+    for name, ids in licences.RULES:
+        if len(ids) > 1:
+            for lead, width in (("", 72), ("# ", 60), (" * ", 76)):
+                said = " ".join(s[i] for i in ids) if name[:3] in ("GPL", "Apa") else "\n\n".join(textwrap.fill(s[i], width) for i in ids)
+                body = said if "\n" in said else textwrap.fill(said, width)
+                notice = f"{heads[name]}\n\nCopyright (c) 2020 Jane Doe\n\n{body}\n"
+                rows.append((len(rows), "\n".join((lead + x).rstrip() for x in notice.split("\n"))))
+                want.add((len(rows) - 1, name))
+    # the copyright line right above: one sentence is whole by lines, the others only across them
+    rows.append((100, "Copyright (c) 2020 Jane Doe\n" + s["MIT-grant"] + "\n\n" + textwrap.fill(s["MIT-notice"], 72) + "\n\n" + textwrap.fill(s["MIT-warranty"], 72)))
+    assert want | {(100, "MIT")} <= found(spark.createDataFrame(rows, KIND))
+
+
 def test_cues_cover_every_sentence():
     words = licences.cues(licences.SENTENCES)
     assert all(any(w in licences.normal(s).split() for w in words) for s in licences.SENTENCES.values())
