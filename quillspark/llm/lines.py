@@ -114,9 +114,9 @@ def _small(df: DataFrame) -> bool:
 
 
 def _lines(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """``id``, ``pos``, ``line`` (normalised) of all lines that are not blank."""
-    cut_up = docs.select(F.col(id).alias("id"), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "raw"))
-    return cut_up.select("id", "pos", normal_line(F.col("raw")).alias("line")).where("line <> ''")
+    """``id``, ``said`` (hash of the text), ``pos``, ``line`` (normalised) of all lines that are not blank."""
+    cut_up = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("said"), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "raw"))
+    return cut_up.select("id", "said", "pos", normal_line(F.col("raw")).alias("line")).where("line <> ''")
 
 
 def _parity(hashes: Column, quarter: int) -> Column:
@@ -181,16 +181,16 @@ def _plausible(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def line_components(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id``, ``pos``, ``h`` (class of the line), ``keeper`` of every line that has a copy.
+    """``id``, ``said`` (hash of the text), ``pos``, ``h`` (class of the line), ``keeper`` of every line that has a copy.
 
     Lines are numbered from 0 within ``text.split('\\n')``.  ``keeper`` is true
-    for the one line of a component that stays, the first by (id, pos).
+    for the one line of a component that stays, the first by (id, pos, hash of the text).
     Blank lines and null texts have no copies; rows with a null id are not
     looked at; empty tables give no rows.
     """
     docs = docs.where(F.col(id).isNotNull())
-    lines = _lines(docs, id, text).select("id", "pos", F.xxhash64("line").alias("h"), signature(F.col("line")).alias("keys"))
-    lines = _scratch(lines.select("id", "pos", "h", *[F.get("keys", F.lit(i)).alias(k) for i, k in enumerate(_KEYS)]))
+    lines = _lines(docs, id, text).select("id", "said", "pos", F.xxhash64("line").alias("h"), signature(F.col("line")).alias("keys"))
+    lines = _scratch(lines.select("id", "said", "pos", "h", *[F.get("keys", F.lit(i)).alias(k) for i, k in enumerate(_KEYS)]))
 
     # repeated lines are one class before the keys are dealt out
     keyed = lines.groupBy("h").agg(*[F.min(k).alias(k) for k in _KEYS])
@@ -222,20 +222,22 @@ def line_components(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     label = cut(connected_components(links))
 
     # classes with a copy: more than one line, or in a component with another class
-    at = F.col("id").cast("decimal(20,0)") * F.lit(2**32).cast("decimal(11,0)") + F.col("pos")
+    wide = F.lit(2**32).cast("decimal(10,0)")
+    place = (F.col("id").cast("decimal(19,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("pos")).cast("decimal(29,0)")
+    at = (place * wide + F.col("said").bitwiseAND(F.lit(2**32 - 1))).cast("decimal(38,0)")
     classes = lines.groupBy("h").agg(F.min(at).alias("at"), F.count("*").alias("n"))
     named = classes.join(label.withColumnRenamed("node", "h"), "h", "left")
     named = named.where("n > 1 or component is not null").select("h", "at", F.coalesce("component", "h").alias("component"))
     first = named.groupBy("component").agg(F.min("at").alias("first"))
     copied = cut(named.join(first, "component").select("h", "first"))
-    rows = lines.select("id", "pos", "h").join(F.broadcast(copied) if _small(copied) else copied, "h")
-    return rows.select("id", "pos", "h", (at == F.col("first")).alias("keeper"))
+    rows = lines.select("id", "said", "pos", "h").join(F.broadcast(copied) if _small(copied) else copied, "h")
+    return rows.select("id", "said", "pos", "h", (at == F.col("first")).alias("keeper"))
 
 
 def dropped_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id`` and ``gone``, the sorted numbers of the lines that go, of each document that loses any."""
+    """``id``, ``said`` and ``gone``, the sorted numbers of the lines that go, of each document that loses any."""
     found = line_components(docs, id, text).where(~F.col("keeper"))
-    return found.groupBy("id").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    return found.groupBy("id", "said").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
 
 
 def without_lines(text: Column, gone: Column) -> Column:
@@ -247,12 +249,12 @@ def without_lines(text: Column, gone: Column) -> Column:
 def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of ``docs`` plus ``gone``, with the copied lines taken out of ``text``.
 
-    ``gone`` is null for documents that lose nothing.  Rows with the same id
-    are one document: the lines that go are those of any of them.
+    ``gone`` is null for documents that lose nothing.  Rows with the same id and
+    the same text are one document; those with other texts are other documents.
     """
     lost = cut(dropped_lines(docs, id, text))
-    lost = lost.select(F.col("id").alias("_id"), F.col("gone").alias("_gone"))
-    rows = docs.join(F.broadcast(lost) if _small(lost) else lost, F.col(id).eqNullSafe(F.col("_id")), "left").drop("_id")
+    lost = lost.select(F.col("id").alias("_id"), F.col("said").alias("_said"), F.col("gone").alias("_gone"))
+    rows = docs.join(F.broadcast(lost) if _small(lost) else lost, (F.col(id) == F.col("_id")) & (F.xxhash64(text) == F.col("_said")), "left").drop("_id", "_said")
     columns = [without_lines(F.col(c), F.col("_gone")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
     return rows.select(*columns, F.col("_gone").alias("gone"))
 

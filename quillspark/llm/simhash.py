@@ -134,26 +134,40 @@ def near_components(nodes: DataFrame, distance: int = 4) -> DataFrame:
     return connected_components(known.unionByName(across.distinct()))
 
 
+def _components(prints: DataFrame, distance: int) -> DataFrame:
+    """``fp``, ``component`` (a fingerprint) of every distinct ``fp``; each fingerprint is its own node."""
+    nodes = cut(prints.select("fp", F.col("fp").alias("node")).distinct())
+    linked = near_components(nodes, distance)
+    return nodes.join(linked, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
+
+
 def simhash_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
     """``id``, ``fp`` (bigint) and ``component_id`` of each row of ``docs``.
 
     Null and empty texts have fingerprint zero and link like any other; rows
     with equal fingerprints are one component; a row whose id is null keeps a
-    fingerprint and has the component of its fingerprint; empty tables give no
-    rows.  Only the id and the fingerprint are shuffled, never the text.
+    fingerprint and has the component of its fingerprint, named by its smallest
+    id (null if no row of it has one).  Rows of one id with different texts
+    don't link their components.  Empty tables give no rows.  Only the id and
+    the fingerprint are shuffled, never the text.
     """
     prints = cut(docs.select(F.col(id).alias("id"), simhash_of(F.col(text), width).alias("fp")))
-    nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("node")))
-    linked = near_components(nodes.where("node is not null"), distance)
-    named = nodes.join(linked, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, "fp").select(F.col("id").alias(id), "fp", "component_id")
+    least = prints.groupBy("fp").agg(F.min("id").alias("least"))
+    named = cut(_components(prints, distance).join(least, "fp"))
+    first = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return prints.join(named.join(first, "component"), "fp").select(F.col("id").alias(id), "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id.
+    """``docs`` with one document of each component: the one with the smallest id, null last.
 
-    Repeated rows of one id count as copies: one of them stays.
+    Among rows of one id the hash of the text decides.  Equal rows of one id
+    count as copies: one of them stays.
     """
-    found = simhash_documents(docs, id, text, width, distance)
-    kept = found.where(F.col(id) == F.col("component_id")).select(id).distinct()
-    return docs.join(kept, id, "left_semi").dropDuplicates([id]).select(*docs.columns)
+    key = [F.col(id).isNull().alias("_null"), F.coalesce(F.col(id).cast("string"), F.lit("")).alias("_id"), F.xxhash64(text).alias("_said")]
+    rows = docs.select(F.struct(key[0], F.col(id).alias("id"), key[2], key[1]).alias("row"), simhash_of(F.col(text), width).alias("fp"))
+    prints = cut(rows.groupBy("fp").agg(F.min("row").alias("row")))
+    first = prints.join(_components(prints, distance), "fp").groupBy("component").agg(F.min("row").alias("row"))
+    kept = first.select("row._null", "row._id", "row._said")
+    names = ["_null", "_id", "_said"]
+    return docs.select("*", *key).join(kept, names, "left_semi").dropDuplicates(names).select(*docs.columns)

@@ -111,6 +111,12 @@ def test_lines_that_differ_by_a_date_number_or_suffix(spark):
     assert [r["gone"] for r in out.collect()] == [[1]]
 
 
+def test_rows_of_one_id_lose_their_own_lines(spark):
+    rows = [(1, "a line that is in two documents"), (2, "A line that is in two documents\nits own end"), (2, "this has no copy anywhere\nnor has this one here"), (-(2**63), "x y z"), (2**63 - 1, "the last\nX Y Z")]
+    out = lines.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == sorted([rows[0], (2, "its own end"), rows[2], rows[3], (2**63 - 1, "the last")])
+
+
 def test_odd_documents(odd_docs, no_docs):
     out = lines.dedup_documents(odd_docs)
     assert out.columns == odd_docs.columns

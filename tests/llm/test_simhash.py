@@ -64,3 +64,11 @@ def test_odd_documents(odd_docs, no_docs):
     assert kept.columns == odd_docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4, 5, 6]
     assert simhash.drop_near_copies(no_docs).count() == 0
+
+
+def test_null_and_repeated_ids_keep_clean_documents(spark):
+    say = lambda w: " ".join(f"{w}{i}" for i in range(60))
+    rows = [(1, say("a")), (None, say("b")), (None, say("c")), (None, say("a")), (2, say("d")), (2, say("e")), (3, say("e")), (4, say("d")), (None, say("b"))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = sorted(((r["doc_id"] or 0), r["text"]) for r in simhash.drop_near_copies(df).collect())
+    assert kept == sorted([(1, say("a")), (0, say("b")), (0, say("c")), (2, say("d")), (2, say("e"))])
