@@ -29,16 +29,19 @@ def _stamp(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 40, enough: int | None = None) -> DataFrame:
     """Smallest reachable node of each node that has an edge.
 
     ``edges`` has two long columns ``a`` and ``b``; direction, repeats and self
     loops do not matter.  Returns ``node``, ``component``: one row for each
     node of an edge between two different nodes.  Empty edges give no rows.
+    With ``enough``, stops after so many rounds: nodes with one label are then
+    surely connected, but a component may still have several.
 
-    Alternating large-star and small-star rounds: each round is two
-    aggregations with map-side combine and two equi-joins, and the edge set is
-    cut after each, so neither a hub nor a long chain gathers in one task.
+    Alternating large-star and small-star rounds; the edge set is cut after
+    each.  Aggregations combine on the map side.  In a join the neighbours of
+    one node meet a single row of the other side, so a hub's partition can be
+    split there by adaptive execution's skew join without gathering.
     """
     edges = cut(
         edges.where("a is not null and b is not null and a <> b")
@@ -46,7 +49,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         .distinct()
     )
     stamp = _stamp(edges)
-    for _ in range(max_rounds):
+    for done in range(1, max_rounds + 1):
         if not stamp[0]:
             break
         # large star: every larger neighbour of u points to the least of u's neighbourhood
@@ -57,13 +60,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = cut(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        if enough is not None and done >= enough:
+            break
         before, stamp = stamp, _stamp(edges)
         if before == stamp:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    labels = edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")))
+    return labels.groupBy("node").agg(F.min("component").alias("component"))
 
 
 def comparison_blocks(rows: DataFrame, keys: list[str], spread: str, block: int) -> DataFrame:

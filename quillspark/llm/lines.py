@@ -5,38 +5,45 @@ meet under the keys of a MinHash signature and are linked if the exact Jaccard
 similarity of their sets of eight-character shingles is 0.8 or more; one line
 of each component stays, the first by document and line.
 
-Signature: the hashes of all distinct shingles of a line lie on a ring, and for
-each of ten fixed points the four hashes that follow it are a band (the four
-smallest under the permutation that turns the ring to that point).  Sets of 10
-to 19 hashes have bands of three; smaller ones the set itself and the set
-without each one of its hashes as keys.  Sets of a size that may be similar to
-one of the next range have all keys of both ranges.
+Signature: the 64-bit hashes of all distinct shingles of a line lie on a ring,
+and for each of ten fixed points the four hashes that follow it are a band (the
+four smallest under the permutation that turns the ring to that point).  Sets of
+up to 16 hashes have a band for each of their hashes instead, which holds all
+that the points could give.  So there is one scheme for all lengths: of two sets
+with similarity 0.8 at least four in a row of all their hashes are shared, and a
+small set can't miss; larger ones miss a pair right at 0.8 in less than one of
+a hundred cases.
 
 All of it is DataFrame functions.  A band key first links its members to the
-one of them that meets most other lines; only keys whose members are not in one component after that
-compare members across components, so a key of thousands of copies makes
-links in proportion to its members.
+one of them that meets most other lines; only keys that have several components
+left among the others compare them with one another, so a key of thousands of
+copies makes links in proportion to its members.  Characters outside the basic
+plane count as two.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.llm.graph import connected_components, cut
 
 CHARS = 8
-POINTS = 10
+POINTS, WIDTH = 10, 4
+#: Sets of up to so many hashes have a band for each hash.
+SMALL = 16
 SIMILARITY = 0.8
 #: Words of a fine sketch; a power of two.
 FINE = 16
-#: Sets of classes or documents up to this many rows are broadcast, larger ones joined by shuffle.
-BROADCAST_ROWS = 2_000_000
-_EVERYWHERE = r"(?s)(?=(.{8}))"
-#: As many keys as a line has at most.
-_KEYS = [f"k{i}" for i in range(2 * POINTS)]
+#: Rounds after which keys are looked at again.
+FIRST_ROUNDS = 2
+#: Tables of up to so many bytes (numbers of rows and array entries times eight) are broadcast, larger ones joined by shuffle.
+BROADCAST_BYTES = 32_000_000
+_PLACES = [-(2**63) + 987654321 + i * (2**64 // POINTS) for i in range(POINTS)]
+_KEYS = [f"k{i}" for i in range(max(SMALL, POINTS))]
 
 
 def normal_line(line: Column) -> Column:
@@ -47,55 +54,51 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _all_shingles(line: Column) -> Column:
-    return F.when(F.length(line) < CHARS, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(_EVERYWHERE), F.lit(1)))
+def _apart(column: Column) -> Column:
+    """The same value by a lambda.
 
-
-def shingle_set(line: Column) -> Column:
-    """Distinct eight-character shingles of a normalised line; a shorter line is its own shingle."""
-    return F.array_distinct(_all_shingles(line))
-
-
-def _hashes(shingles: Column) -> Column:
-    """Sorted distinct hashes of an array of shingles."""
-    return F.sort_array(F.array_distinct(F.transform(shingles, lambda s: F.xxhash64(s))))
-
-
-def _ring(hashes: Column, width: int, salt: int) -> Column:
-    """Keys of the ``width`` hashes that follow each of the points on the ring."""
-    place = [-(2**63) + 987654321 + i * (2**64 // POINTS) for i in range(POINTS)]
-    marked = F.sort_array(F.concat(hashes, F.array(*[F.lit(p) for p in place])))
-    round_ = F.concat(hashes, F.slice(hashes, 1, width))
-
-    def keys(both: Column) -> Column:
-        start = lambda i: (F.array_position(both["marked"], F.lit(place[i])) - i).cast("int")
-        return F.array(*[F.xxhash64(F.slice(both["round"], start(i), F.lit(width)), F.lit(salt + i)) for i in range(POINTS)])
-
-    return _let(F.struct(marked.alias("marked"), round_.alias("round")), keys)
+    A projection that holds a lambda is compiled as many small methods; within
+    a whole stage all keys would be one method, too large for the JIT.
+    """
+    return _let(column, lambda x: x)
 
 
-def _set_keys(hashes: Column) -> Column:
-    """Keys of a set by its size; sets whose partner may be in the next range have keys of both.
+def shingle_hashes(line: Column) -> Column:
+    """64-bit hashes of the eight-character shingles of a normalised line, repeats included; a shorter line is one shingle.
 
-    Of two similar sets of at most 9 hashes, one is the other without one
-    hash, or both are the same without one each, or they are equal.
+    Two bytes a character, so that a shingle is found without walking the line.
     """
-    n = F.size(hashes)
-    less = F.transform(hashes, lambda x: F.xxhash64(F.array_remove(hashes, x), F.lit(300)))
-    small = F.when(n >= 5, F.concat(F.array(F.xxhash64(hashes, F.lit(300))), less)).otherwise(F.array(F.xxhash64(hashes, F.lit(300))))
-    fours, threes = _ring(hashes, 4, 200), _ring(hashes, 3, 220)
-    return (
-        F.when(n >= 20, fours)
-        .when(n >= 16, F.concat(threes, fours))
-        .when(n >= 10, threes)
-        .when(n >= 8, F.concat(small, threes))
-        .otherwise(small)
+    starts = lambda x: F.sequence(F.lit(1), F.greatest(F.octet_length(x) - (2 * CHARS - 1), F.lit(1)), F.lit(2))
+    return _let(F.encode(line, "UTF-16BE"), lambda x: F.transform(starts(x), lambda i: F.xxhash64(F.substring(x, i, F.lit(2 * CHARS)))))
+
+
+def with_keys(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``k0``, ``k1``, ... in place of ``line`` (normalised): the band keys, null where a line has fewer."""
+    kept = [c for c in lines.columns if c != "line"]
+    rows = lines.select(*kept, F.sort_array(shingle_hashes(F.col("line"))).alias("all"))
+    # few hashes, or few without repeats: all of them once
+    rows = rows.select(*kept, F.when(F.size("all") <= 4 * SMALL, F.array_distinct("all")).otherwise(F.col("all")).alias("ring"))
+    marked = F.sort_array(F.concat("ring", F.array(*[F.lit(p) for p in _PLACES])))
+    rows = rows.select(*kept, "ring", marked.alias("marked"), F.concat("ring", F.slice("ring", 1, 12)).alias("round"))
+    small = F.size("ring") <= SMALL
+    starts = []
+    for i in range(len(_KEYS)):
+        point = (F.array_position("marked", F.lit(_PLACES[i])) - i).cast("int") if i < POINTS else F.lit(None).cast("int")
+        starts.append(F.when(small, F.when(F.size("ring") > i, F.lit(i + 1))).otherwise(point).alias(f"s{i}"))
+    rows = rows.select(*kept, "ring", "round", *starts)
+    return rows.select(*[_apart(F.col(c)).alias(c) if n == 0 else F.col(c) for n, c in enumerate(kept)], *[_band(F.col(f"s{i}")).alias(k) for i, k in enumerate(_KEYS)])
+
+
+def _band(start: Column) -> Column:
+    """Hash of the first four distinct hashes of ``ring`` from a place on; repeats are rare, so more is looked at only where there are any."""
+    four, twelve = F.slice("round", start, F.lit(WIDTH)), F.array_distinct(F.slice("round", start, F.lit(3 * WIDTH)))
+    whole = F.array_distinct(F.concat(F.slice("ring", start, F.size("ring")), F.col("ring")))
+    band = (
+        F.when(F.size(F.array_distinct(four)) == WIDTH, F.xxhash64(four))
+        .when(F.size(twelve) >= WIDTH, F.xxhash64(F.slice(twelve, 1, WIDTH)))
+        .otherwise(F.xxhash64(F.slice(whole, 1, WIDTH)))
     )
-
-
-def signature(line: Column) -> Column:
-    """Array of the band keys of a normalised line, 20 at most, from all of its shingles."""
-    return _let(_hashes(_all_shingles(line)), _set_keys)
+    return F.when(start.isNotNull(), band)
 
 
 def _scratch(df: DataFrame) -> DataFrame:
@@ -109,33 +112,25 @@ def _scratch(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _small(df: DataFrame) -> bool:
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+def _small(df: DataFrame, entries: Column | None = None) -> bool:
+    """Whether a table's columns, and the entries of an array, stay below the bound of a broadcast."""
+    row = F.lit(8 * len(df.columns)) if entries is None else 8 * (len(df.columns) + entries)
+    return df.agg(F.coalesce(F.sum(row), F.lit(0))).first()[0] <= BROADCAST_BYTES
 
 
 def _lines(docs: DataFrame, id: str, text: str) -> DataFrame:
     """``id``, ``said`` (hash of the text), ``pos``, ``line`` (normalised) of all lines that are not blank."""
     cut_up = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("said"), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "raw"))
-    return cut_up.select("id", "said", "pos", normal_line(F.col("raw")).alias("line")).where("line <> ''")
-
-
-def _parity(hashes: Column, quarter: int) -> Column:
-    """64 bits: whether an odd number of the hashes falls on each of a quarter of 256 places."""
-    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(F.lit(63)).cast("int"))
-    own = lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(3)) == quarter
-    return F.aggregate(hashes, F.lit(0).cast("bigint"), lambda acc, h: F.when(own(h), acc.bitwiseXOR(bit(h))).otherwise(acc))
-
-
-def parity_sketch(line: Column) -> Column:
-    """Struct of the size of a line's shingle set and four words of parities."""
-    words = lambda s: F.struct(F.size(s).alias("n"), *[_parity(s, q).alias(f"p{q}") for q in range(4)])
-    return _let(_hashes(_all_shingles(line)), words)
+    filled = cut_up.where(F.trim(F.col("raw"), F.lit(" \t\r\x0b\x0c")) != "")
+    return filled.select("id", "said", "pos", normal_line(F.col("raw")).alias("line"))
 
 
 def fine_sketches(texts: DataFrame) -> DataFrame:
-    """``h``, ``sketch`` of each row (``h``, ``line``): the size of its shingle set and sixteen words of parities."""
-    hashes = F.array_distinct(F.transform(_all_shingles(F.col("line")), lambda s: F.xxhash64(s)))
-    rows = texts.select("h", F.explode(hashes).alias("x"))
+    """``h``, ``sketch`` of each row (``h``, ``line``): the size of its shingle set and sixteen words of 64 bits.
+
+    A bit says whether an odd number of the set's hashes falls on its place.
+    """
+    rows = texts.select("h", F.explode(F.array_distinct(shingle_hashes(F.col("line")))).alias("x"))
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("x").bitwiseAND(F.lit(63)).cast("int"))
     word = F.shiftrightunsigned("x", 6).bitwiseAND(F.lit(FINE - 1))
     words = [F.coalesce(F.bit_xor(F.when(word == w, bit)), F.lit(0).cast("bigint")).alias(f"p{w}") for w in range(FINE)]
@@ -143,7 +138,7 @@ def fine_sketches(texts: DataFrame) -> DataFrame:
     return made.select("h", F.struct("n", *[f"p{w}" for w in range(FINE)]).alias("sketch"))
 
 
-def may_be_similar(a: str, b: str, words: int = 4) -> Column:
+def may_be_similar(a: str, b: str, words: int = FINE) -> Column:
     """False only for sketches of sets that are surely not similar.
 
     Sets that differ in d shingles differ in at most d parities, and similar
@@ -154,14 +149,13 @@ def may_be_similar(a: str, b: str, words: int = 4) -> Column:
     return (F.least(n, m) >= SIMILARITY * F.greatest(n, m) - 1e-9) & (differs <= (n + m) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-9)
 
 
-def similar_lines(a: Column, b: Column) -> Column:
-    """Exact test of two normalised lines; each set is built once."""
-    enough = lambda s: _let(F.size(F.array_intersect(s["a"], s["b"])), lambda both: both >= SIMILARITY * (F.size(s["a"]) + F.size(s["b"]) - both) - 1e-9)
-    return _let(F.struct(shingle_set(a).alias("a"), shingle_set(b).alias("b")), enough)
+def similarity(a: Column, b: Column) -> Column:
+    """Exact Jaccard similarity of two arrays of shingle hashes."""
+    return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (``a``, ``b``) whose lines are similar.
+    """The pairs (``a``, ``b``) whose lines are similar, by the sets of their shingles' 64-bit hashes.
 
     Many pairs may have the same ``b``, so ``a`` is joined last: the sets are
     built in the tasks that the pairs are dealt to by ``a``.  These are few
@@ -170,67 +164,76 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = pairs.join(texts.select(F.col("h").alias("b"), F.col("line").alias("line_b")), "b").repartition(parts, "a")
     rows = rows.join(texts.select(F.col("h").alias("a"), F.col("line").alias("line_a")), "a")
-    return rows.where(similar_lines(F.col("line_a"), F.col("line_b"))).select("a", "b")
-
+    sets = rows.select("a", "b", shingle_hashes(F.col("line_a")).alias("x"), shingle_hashes(F.col("line_b")).alias("y"))
+    # settled before the filter, which would otherwise be moved below and build the sets twice
+    compared = cut(sets.select("a", "b", similarity(F.col("x"), F.col("y")).alias("similarity")))
+    return compared.where(F.col("similarity") >= SIMILARITY - 1e-9).select("a", "b")
 
-def _plausible(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (``a``, ``b``) that the sketches of their lines don't refuse."""
-    sketches = texts.select("h", "sketch")
-    near = pairs.join(sketches.select(F.col("h").alias("b"), F.col("sketch").alias("sketch_b")), "b").join(sketches.select(F.col("h").alias("a"), F.col("sketch").alias("sketch_a")), "a")
-    return near.where(may_be_similar("sketch_a", "sketch_b")).select("a", "b")
 
+def _links(lines: DataFrame, again: DataFrame) -> DataFrame:
+    """Component (``node``, ``component``) of each class ``h`` that is similar to another one.
 
-def line_components(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id``, ``said`` (hash of the text), ``pos``, ``h`` (class of the line), ``keeper`` of every line that has a copy.
-
-    Lines are numbered from 0 within ``text.split('\\n')``.  ``keeper`` is true
-    for the one line of a component that stays, the first by (id, pos, hash of the text).
-    Blank lines and null texts have no copies; rows with a null id are not
-    looked at; empty tables give no rows.
+    ``lines`` has ``h`` and the keys of all lines, ``again`` gives ``h``, ``line``.
     """
-    docs = docs.where(F.col(id).isNotNull())
-    lines = _lines(docs, id, text).select("id", "said", "pos", F.xxhash64("line").alias("h"), signature(F.col("line")).alias("keys"))
-    lines = _scratch(lines.select("id", "said", "pos", "h", *[F.get("keys", F.lit(i)).alias(k) for i, k in enumerate(_KEYS)]))
-
     # repeated lines are one class before the keys are dealt out
     keyed = lines.groupBy("h").agg(*[F.min(k).alias(k) for k in _KEYS])
-    postings = keyed.select("h", F.explode(F.array(*_KEYS)).alias("key")).where("key is not null").repartition("key")
-    several = postings.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
-    shared = cut(postings.join(several, "key"))
+    postings = keyed.select("h", F.explode(F.array_distinct(F.array(*_KEYS))).alias("key")).where("key is not null")
+    # one shuffle of the postings: a key's members are counted where they lie
+    shared = cut(postings.select("key", "h", F.count("*").over(Window.partitionBy("key")).alias("n")).where("n > 1"))
 
-    met = shared.select("h").distinct()
-    again = _lines(docs, id, text).select(F.xxhash64("line").alias("h"), "line")
-    texts = again.join(F.broadcast(met) if _small(met) else met, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
-    texts = cut(texts.select("h", "line", parity_sketch(F.col("line")).alias("sketch")))
+    met = cut(shared.groupBy("h").agg(F.sum("n").alias("weight")))
+    chosen = met.select("h")
+    texts = again.join(F.broadcast(chosen) if _small(chosen) else chosen, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
+    texts = cut(texts)
 
     # the member that meets most others leads: in a group of edited copies, the text they were made from
-    weight = shared.groupBy("h").agg(F.sum("n").alias("weight"))
-    leads = shared.join(weight, "h").groupBy("key").agg(F.max(F.struct("weight", "h")).alias("top"))
-    star = cut(shared.join(leads, "key").where(F.col("h") != F.col("top.h")).select(F.col("h").alias("a"), F.col("top.h").alias("b")).distinct())
-    label = cut(connected_components(_verified(_plausible(star, texts), texts)))
-    member = shared.select("key", "h").join(label.withColumnRenamed("node", "h"), "h", "left").select("key", "h", F.coalesce("component", "h").alias("label"))
+    leads = shared.join(met, "h").groupBy("key").agg(F.max(F.struct("weight", "h")).alias("top"))
+    led = cut(shared.join(leads, "key").where(F.col("h") != F.col("top.h")).select("key", "h", F.col("top.h").alias("lead"), "n"))
+    star = led.select(F.col("h").alias("a"), F.col("lead").alias("b")).distinct()
+    label = cut(connected_components(_verified(star, texts), enough=FIRST_ROUNDS))
+    # all pairs with a leader are settled; left are pairs of other members that are not in one component yet
+    member = led.where("n > 2").select("key", "h").join(label.withColumnRenamed("node", "h"), "h", "left").select("key", "h", F.coalesce("component", "h").alias("label"))
     mixed = member.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     # finer sketches are compared within the join, so only pairs that may be similar leave it
     member = cut(member.join(mixed, "key"))
-    fine = cut(fine_sketches(texts.join(member.select("h").distinct(), "h", "left_semi")))
-    left = member.join(fine, "h")
+    fine = fine_sketches(texts.join(member.select("h").distinct(), "h", "left_semi"))
+    left = cut(member.join(fine, "h"))
     right = left.select(F.col("key").alias("key2"), F.col("h").alias("h2"), F.col("label").alias("label2"), F.col("sketch").alias("sketch2"))
-    meets = (F.col("key") == F.col("key2")) & (F.col("label") < F.col("label2")) & may_be_similar("sketch", "sketch2", FINE)
+    meets = (F.col("key") == F.col("key2")) & (F.col("label") < F.col("label2")) & may_be_similar("sketch", "sketch2")
     across = left.join(right, meets).select(F.col("h").alias("a"), F.col("h2").alias("b")).distinct()
-    across = across.join(star, ["a", "b"], "left_anti").join(star.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
     links = label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_verified(across, texts))
-    label = cut(connected_components(links))
+    return connected_components(links)
+
+
+def line_components(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``id``, ``said`` (hash of the text), ``pos``, ``h`` (class of the line), ``keeper`` of every line that has a copy.
+
+    Lines are numbered from 0 within ``text.split('\\n')``.  ``keeper`` is true
+    for the one line of a component that stays, the first by (id, pos, hash of
+    the text).  Ids may be of any type that has an order.  Blank lines and null
+    texts have no copies; rows with a null id are not looked at; empty tables
+    give no rows; a line of any length is one line.  A class is named by a
+    64-bit hash; lines whose second hash (32 bits) differs from that of the
+    class are left alone, so none goes for a chance meeting of hashes.
+    """
+    docs = docs.where(F.col(id).isNotNull())
+    found = _lines(docs, id, text).select("id", "said", "pos", "line", F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
+    lines = _scratch(with_keys(found))
+    again = _lines(docs, id, text).select(F.xxhash64("line").alias("h"), "line")
+    label = cut(_links(lines.select("h", *_KEYS), again))
 
     # classes with a copy: more than one line, or in a component with another class
-    wide = F.lit(2**32).cast("decimal(10,0)")
-    place = (F.col("id").cast("decimal(19,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("pos")).cast("decimal(29,0)")
-    at = (place * wide + F.col("said").bitwiseAND(F.lit(2**32 - 1))).cast("decimal(38,0)")
-    classes = lines.groupBy("h").agg(F.min(at).alias("at"), F.count("*").alias("n"))
+    at = F.struct("id", "pos", "said")
+    if isinstance(docs.schema[id].dataType, T.IntegralType):  # the same order as one number
+        place = (F.col("id").cast("decimal(19,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("pos")).cast("decimal(29,0)")
+        at = (place * F.lit(2**32).cast("decimal(10,0)") + F.col("said").bitwiseAND(F.lit(2**32 - 1))).cast("decimal(38,0)")
+    lines = lines.select("id", "said", "pos", "h", "g")
+    classes = lines.groupBy("h").agg(F.min(at).alias("at"), F.min("g").alias("g"), F.count("*").alias("n"))
     named = classes.join(label.withColumnRenamed("node", "h"), "h", "left")
-    named = named.where("n > 1 or component is not null").select("h", "at", F.coalesce("component", "h").alias("component"))
+    named = named.where("n > 1 or component is not null").select("h", "g", "at", F.coalesce("component", "h").alias("component"))
     first = named.groupBy("component").agg(F.min("at").alias("first"))
-    copied = cut(named.join(first, "component").select("h", "first"))
-    rows = lines.select("id", "said", "pos", "h").join(F.broadcast(copied) if _small(copied) else copied, "h")
+    copied = cut(named.join(first, "component").select("h", "g", "first"))
+    rows = lines.join(F.broadcast(copied) if _small(copied) else copied, ["h", "g"])
     return rows.select("id", "said", "pos", "h", (at == F.col("first")).alias("keeper"))
 
 
@@ -254,7 +257,8 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     """
     lost = cut(dropped_lines(docs, id, text))
     lost = lost.select(F.col("id").alias("_id"), F.col("said").alias("_said"), F.col("gone").alias("_gone"))
-    rows = docs.join(F.broadcast(lost) if _small(lost) else lost, (F.col(id) == F.col("_id")) & (F.xxhash64(text) == F.col("_said")), "left").drop("_id", "_said")
+    small = _small(lost, F.size("_gone"))
+    rows = docs.join(F.broadcast(lost) if small else lost, (F.col(id) == F.col("_id")) & (F.xxhash64(text) == F.col("_said")), "left").drop("_id", "_said")
     columns = [without_lines(F.col(c), F.col("_gone")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
     return rows.select(*columns, F.col("_gone").alias("gone"))
 
