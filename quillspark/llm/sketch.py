@@ -93,20 +93,26 @@ def sketch_groups(docs: DataFrame, by: list[str], text: str = "text", k: int = K
     return low.groupBy(*by).agg(F.sort_array(F.collect_list("h")).alias("sketch"))
 
 
+def _window(key: Column, bits: int) -> Column:
+    """Number (0 or more) of the group of ``2**bits`` neighbouring values that a long key falls in; ascending with the key."""
+    return F.shiftrightunsigned(key.bitwiseXOR(F.lit(-(2**63))), bits)
+
+
 def following(keys: DataFrame, bits: int = WINDOW_BITS) -> DataFrame:
-    """``key`` and the next greater key (``next``; null for the last) of distinct long keys.
+    """``key`` and the next greater key (``next``; null for the last) of distinct long keys of any sign.
 
     Keys are ordered within groups of ``2**bits`` neighbouring values; a
     group's last key is followed by the first of the next group, found in the
-    same way among the groups.  No step sorts all keys in one task.
+    same way among the groups.  No step sorts all keys in one task, and each
+    level has keys of ``bits`` bits less, so there are seven levels at most.
     """
     ends = keys.agg(F.min("key").alias("lo"), F.max("key").alias("hi")).first()
-    group = F.shiftright("key", bits)
+    group = _window(F.col("key"), bits)
     inner = Window.partitionBy("g").orderBy("key")
     near = keys.withColumn("g", group).withColumn("next", F.lead("key").over(inner))
-    if ends["lo"] is None or ends["lo"] >> bits == ends["hi"] >> bits:
+    if ends["lo"] is None or (ends["lo"] + 2**63) >> bits == (ends["hi"] + 2**63) >> bits:
         return near.select("key", "next")
-    firsts = keys.groupBy(group.alias("g")).agg(F.min("key").alias("first"))
+    firsts = cut(keys.groupBy(group.alias("g")).agg(F.min("key").alias("first")))
     after = following(firsts.select(F.col("g").alias("key")), bits)
     jump = after.join(firsts, F.col("next") == F.col("g")).select(F.col("key").alias("g"), "first")
     return near.join(jump, "g", "left").select("key", F.coalesce("next", "first").alias("next"))
@@ -115,21 +121,23 @@ def following(keys: DataFrame, bits: int = WINDOW_BITS) -> DataFrame:
 def with_next(docs: DataFrame, id: str, carry: list[str]) -> DataFrame:
     """``docs`` with ``next_<c>`` for each column of ``carry``: its value in the next row by ``id``.
 
-    Ascending id, ties by the carried columns; the last row is followed by the
-    first.  Rows are dealt to windows of neighbouring ids, and the first row
-    of each window is also dealt to the window before, so each row moves once
-    and no window is longer than its ids.  A null id sorts first.
+    Ascending id, null first, ties by the carried columns; the last row is
+    followed by the first.  Rows are dealt to windows of neighbouring ids, and
+    the first row of each window is also dealt to the window before, so each
+    row moves once and no window is longer than its ids.  Rows without an id
+    are a window of their own, before all others.
     """
-    place = F.shiftright(F.coalesce(F.col(id).cast("bigint"), F.lit(-(2**63))), WINDOW_BITS)
-    docs = docs.withColumn("_id", F.coalesce(F.col(id).cast("bigint"), F.lit(-(2**63)))).withColumn("_window", place)
+    number = F.col(id).cast("bigint")
+    place = F.when(number.isNull(), 0).otherwise(_window(number, WINDOW_BITS) + 1)
+    docs = docs.withColumn("_id", F.coalesce(number, F.lit(0).cast("bigint"))).withColumn("_window", place.cast("bigint"))
     firsts = docs.groupBy("_window").agg(F.min("_id").alias("first"))
     firsts = cut(firsts)
     order = cut(following(firsts.select(F.col("_window").alias("key"))))
     lowest = firsts.agg(F.min("_window")).first()[0]
     after = order.select(F.col("key").alias("before"), F.coalesce("next", F.lit(lowest)).alias("_window"))
-    heads = after.join(firsts, "_window").select(F.col("first").alias("_id"), "before")
+    heads = after.join(firsts, "_window").select("_window", F.col("first").alias("_id"), "before")
     small = heads.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    rows = docs.join(F.broadcast(heads) if small else heads, "_id", "left")
+    rows = docs.join(F.broadcast(heads) if small else heads, ["_window", "_id"], "left")
     both = F.when(F.col("before").isNull(), F.array(F.struct(F.col("_window").alias("w"), F.lit(0).alias("lent"))))
     both = both.otherwise(F.array(F.struct(F.col("_window").alias("w"), F.lit(0).alias("lent")), F.struct(F.col("before").alias("w"), F.lit(1).alias("lent"))))
     dealt = rows.withColumn("_to", F.explode(both)).withColumn("_w", F.col("_to.w")).withColumn("_lent", F.col("_to.lent"))

@@ -55,6 +55,18 @@ def test_following_keys(spark):
     keys = sorted({random.Random(2).randrange(-(10**12), 10**12) for _ in range(50)} | {1, 2, 3, 5000, -5000})
     out = {r["key"]: r["next"] for r in sketch.following(spark.createDataFrame([(k,) for k in keys], "key bigint")).collect()}
     assert out == dict(zip(keys, [*keys[1:], None]))
+    ends = [-(2**63), -1, 0, 2**63 - 1]
+    out = {r["key"]: r["next"] for r in sketch.following(spark.createDataFrame([(k,) for k in ends], "key bigint")).collect()}
+    assert out == dict(zip(ends, [*ends[1:], None]))
+
+
+def test_next_of_null_and_negative_ids(spark):
+    rows = [(None, "b"), (None, "a"), (-(2**63), "c"), (-5, "d"), (3, "e"), (3, "f"), (2**63 - 1, "g")]
+    out = sketch.with_next(spark.createDataFrame(rows, "i bigint, t string"), "i", ["t"])
+    assert out.columns == ["i", "t", "next_t"]
+    assert {r["t"]: r["next_t"] for r in out.collect()} == dict(zip("abcdefg", "bcdefga"))
+    (alone,) = sketch.with_next(spark.createDataFrame([(None, "x")], "i bigint, t string"), "i", ["t"]).collect()
+    assert alone["next_t"] == "x"
 
 
 def test_odd_documents(odd_docs, no_docs):
