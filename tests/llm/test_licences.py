@@ -1,13 +1,84 @@
 from __future__ import annotations
 
+import re
 import textwrap
 
-from quillspark.llm import licences
+from quillspark.llm import licences, queries
 
 MIT = "Copyright X.\n" + "\n".join(licences.SENTENCES[k] for k in ("MIT-grant", "MIT-notice", "MIT-warranty"))
 KIND = "doc_id bigint, text string"
 
 
+KNOWN = {" ".join(re.findall("[a-z0-9]+", v.lower())): k for k, v in licences.SENTENCES.items()}
+
+
+def brute(text):
+    """Known sentences in order, then the rules one by one on the list of them."""
+    placed = {}
+    for i, segment in enumerate(re.split(r"(?<=[.!?;:])\s+", text or "")):
+        cuts = [((i, 0, 0), segment)]
+        for j, part in enumerate(re.split(r"(?:\r\n?|\n)(?:[ \t\f\v]|[*#/;>|-])*(?:\r\n?|\n)\s*", segment)):
+            cuts.append(((i, j, 0), part))
+            cuts += [((i, j, k), row) for k, row in enumerate(re.split(r"[\n\r]+", part))]
+        for at, said in cuts:
+            known = KNOWN.get(" ".join(re.findall("[a-z0-9]+", said.lower())))
+            if known:
+                placed[i, known] = min(at, placed.get((i, known), at))
+    left = [k for _, k in sorted((at, k) for (_, k), at in placed.items())]
+    n, names = len(left), set()
+    for name, ids in licences.RULES:
+        start = 0
+        while start < len(left):
+            at, taken = start, []
+            for x in ids:
+                while at < len(left) and left[at] != x:
+                    at += 1
+                taken.append(at)
+                at += 1
+            if taken[-1] >= len(left):
+                break
+            names.add(name)
+            left = [x for k, x in enumerate(left) if k not in taken]
+            start = taken[-1] + 1 - len(taken)
+    return {(name, n) for name in names}
+
+
+def test_query_equals_brute_force(spark, sf_dir, docs):
+    want = {(r["doc_id"], *x) for r in docs.select("doc_id", "text").collect() for x in brute(r["text"])}
+    assert {(r["doc_id"], r["licence"], r["n_sentences"]) for r in queries.op6_licences(spark, sf_dir).collect()} == want != set()
+
+
+def test_first_rule_takes_its_sentences(spark):
+    s = licences.SENTENCES
+    two, three = ("BSD-grant", "BSD-source", "BSD-binary"), ("BSD-grant", "BSD-source", "BSD-binary", "BSD-endorse")
+    texts = ["\n".join(s[k] for k in ids) for ids in (three, two, three + three, three + two, two + three, ("BSD-grant", "BSD-grant", "BSD-source", "BSD-binary", "BSD-endorse", "BSD-source", "BSD-binary"))]
+    texts += [f"{texts[0]}\n\nunrelated words here.\n\n{MIT}", s["MIT-0-grant"] + " " + s["MIT-warranty"], s["0BSD-grant"] + " " + s["ISC-warranty"], s["ISC-grant"] + " " + s["ISC-warranty"]]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, KIND)
+    got = {(r["doc_id"], r["licence"], r["n_sentences"]) for r in licences.scan_licences(df).collect()}
+    assert got == {(i, *x) for i, t in rows for x in brute(t)}
+    assert {(i, x) for i, x, _ in got} == {(0, "BSD-3-Clause"), (1, "BSD-2-Clause"), (2, "BSD-3-Clause"), (3, "BSD-3-Clause"), (3, "BSD-2-Clause"), (4, "BSD-3-Clause"), (4, "BSD-2-Clause"), (5, "BSD-3-Clause"), (5, "BSD-2-Clause"), (6, "BSD-3-Clause"), (6, "MIT"), (7, "MIT-0"), (8, "0BSD"), (9, "ISC")}
+
+
+def test_known_sentences_are_cut_as_texts_are():
+    said = [licences.normal(v) for v in licences.SENTENCES.values()]
+    assert len(set(said)) == len(said)
+    assert all(len(re.split(r"(?<=[.!?;:])\s+", v)) == 1 for v in licences.SENTENCES.values())
+    assert {i for _, ids in licences.RULES for i in ids} <= set(licences.SENTENCES)
+
+
+def test_sql_equals_the_operator_on_standard_texts(spark):
+    import duckdb
+
+    s = licences.SENTENCES
+    rows = [(i, "\n\n".join(textwrap.fill(s[x], 70) for x in ids) + f"\n{name}\n") for i, (name, ids) in enumerate(licences.RULES)]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    want = {tuple(r) for r in con.execute(licences.scan_sql()).fetchall()}
+    assert {(r["doc_id"], r["licence"], r["n_sentences"]) for r in licences.scan_licences(spark.createDataFrame(rows, KIND)).collect()} == want == {(i, *x) for i, t in rows for x in brute(t)}
+
+
 def found(df):
     return {(r["doc_id"], r["licence"]) for r in licences.scan_licences(df).collect()}
 
@@ -31,7 +102,7 @@ def test_wrapped_notices_below_title_and_copyright(spark):
             for lead, width in (("", 72), ("# ", 60), (" * ", 76)):
                 said = " ".join(s[i] for i in ids) if name[:3] in ("GPL", "Apa") else "\n\n".join(textwrap.fill(s[i], width) for i in ids)
                 body = said if "\n" in said else textwrap.fill(said, width)
-                notice = f"{heads[name]}\n\nCopyright (c) 2020 Jane Doe\n\n{body}\n"
+                notice = f"{heads.get(name, name)}\n\nCopyright (c) 2020 Jane Doe\n\n{body}\n"
                 rows.append((len(rows), "\n".join((lead + x).rstrip() for x in notice.split("\n"))))
                 want.add((len(rows) - 1, name))
     # the copyright line right above: one sentence is whole by lines, the others only across them
