@@ -27,8 +27,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Words remembered by one Python worker; only a speed matter.
+#: Words remembered by one Python worker, and the longest of them; only a speed and memory matter.
 CACHE_WORDS = 250_000
+LONG_WORD = 64
 
 
 class PieceCoder:
@@ -80,11 +81,13 @@ class PieceCoder:
                 self.automaton.add_word(p, len(p))
         self.automaton.make_automaton()
         self.fits: dict[tuple[str, str], bool] = {}
-        #: ids, ids as text and decoded text of each piece, and of unknown characters as they come
-        self.known = {p: ((i,), str(i), p.replace(MARK, " ")) for p, i in self.ids.items()}
+        #: ids and ids as text of each piece, and of unknown characters as they come
+        self.known = {p: ((i,), str(i)) for p, i in self.ids.items()}
+        #: what each id stands for in UTF-8: a byte piece is its byte, a control piece nothing
+        self.bytes = [b"" if p.type == kind.CONTROL else bytes([int(p.piece[3:5], 16)]) if p.type == kind.BYTE else " \u2047 ".encode() if p.type == kind.UNKNOWN else p.piece.replace(MARK, " ").encode() for p in model.pieces]
         #: words seen lately and before that: a full cache becomes the older one
-        self.words: dict[str, tuple[tuple[int, ...], str, str]] = {}
-        self.older: dict[str, tuple[tuple[int, ...], str, str]] = {}
+        self.words: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.older: dict[str, tuple[tuple[int, ...], str]] = {}
 
     def merge(self, text: str, stop: int = 1) -> list[str]:
         """Merge the characters of a short string down to ``stop`` parts: best score first, leftmost of equals."""
@@ -168,26 +171,27 @@ class PieceCoder:
                 last = out[-1] if out else None
             piece = shorter
 
-    def word(self, word: str) -> tuple[tuple[int, ...], str, str]:
-        """Ids of a word, the same as text, and what they decode to."""
+    def word(self, word: str) -> tuple[tuple[int, ...], str]:
+        """Ids of a word, and the same as text."""
         made = self.older.get(word)
         if made is None:
             known = self.known
             pieces = [known.get(p) or self.spelled(p) for p in self.split(word)]
-            ids = tuple([i for p in pieces for i in p[0]])
-            made = (ids, ",".join([p[1] for p in pieces]), "".join([p[2] for p in pieces]))
+            made = (tuple([i for p in pieces for i in p[0]]), ",".join([p[1] for p in pieces]))
+        if len(word) > LONG_WORD:
+            return made
         if len(self.words) >= CACHE_WORDS:
             self.older, self.words = self.words, {}
         self.words[word] = made
         return made
 
-    def spelled(self, char: str) -> tuple[tuple[int, ...], str, str]:
+    def spelled(self, char: str) -> tuple[tuple[int, ...], str]:
         """An unknown character as byte pieces."""
         ids = tuple(self.byte_id[b] for b in char.encode("utf-8"))
-        return ids, ",".join(map(str, ids)), self.surface(ids)
+        return ids, ",".join(map(str, ids))
 
-    def parts(self, text: str) -> list[tuple[tuple[int, ...], str, str]]:
-        """For each word of a text: ids, ids as text, decoded text."""
+    def parts(self, text: str) -> list[tuple[tuple[int, ...], str]]:
+        """For each word of a text: ids, ids as text."""
         if not text:
             return []
         get = self.word
@@ -195,7 +199,7 @@ class PieceCoder:
         return [self.words.get(w) or get(w) for w in found]
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _, _ in self.parts(text) for i in ids]
+        return [i for ids, _ in self.parts(text) for i in ids]
 
     def surface(self, ids) -> str:
         """The text of ids before the first mark is taken off."""
@@ -218,7 +222,11 @@ class PieceCoder:
 
     def decode(self, ids) -> str:
         ids = list(ids)
-        text = self.surface(ids)
+        raw = b"".join([self.bytes[i] for i in ids])
+        try:
+            text = raw.decode("utf-8")
+        except UnicodeDecodeError:  # bytes that belong to no character
+            text = self.surface(ids)
         first = next((i for i in ids if self.types[i] != self.kind.CONTROL), None)
         marked = first is not None and self.types[first] == self.kind.NORMAL and self.strings[first].startswith(MARK)
         return text[1:] if self.prefix and marked else text
@@ -260,7 +268,7 @@ def piece_ids(text: Column, path: str) -> Column:
         it = coder(path)
         flat, ends = array("i"), [0]
         for t in texts.to_pylist():
-            for ids, _, _ in it.parts(t or ""):
+            for ids, _ in it.parts(t or ""):
                 flat.extend(ids)
             ends.append(len(flat))
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
@@ -283,6 +291,7 @@ def piece_digest(text: Column, path: str) -> Column:
     """Struct of ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` without shipping the ids.
 
     Null and empty texts have no tokens and the digests of the empty string.
+    The decoded text is :meth:`PieceCoder.decode` of the ids that were encoded.
     """
 
     @F.arrow_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
@@ -291,12 +300,10 @@ def piece_digest(text: Column, path: str) -> Column:
         n, ids, back = [], [], []
         for t in texts.to_pylist():
             parts = it.parts(t or "")
-            n.append(sum(len(p[0]) for p in parts))
+            found = [i for p in parts for i in p[0]]
+            n.append(len(found))
             ids.append(hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest())
-            whole = "".join([p[2] for p in parts])
-            if it.prefix and whole.startswith(" "):
-                whole = whole[1:]
-            back.append(hashlib.sha256(whole.encode()).hexdigest())
+            back.append(hashlib.sha256(it.decode(found).encode()).hexdigest())
         return pa.StructArray.from_arrays(
             [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())],
             names=["n_tokens", "ids_sha256", "decoded_sha256"],
