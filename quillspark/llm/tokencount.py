@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 #: Words: single punctuation marks or symbols, and runs without white space and those.
 WORDS = regex.compile(r"[\p{P}$+<=>^`|~]|[^\p{White_Space}\p{P}$+<=>^`|~]+")
+#: Words remembered by one Python worker, and the longest of them; only a speed and memory matter.
 CACHE_WORDS = 400_000
+LONG_WORD = 64
 
 
 def vocabulary_of_pieces(path: str) -> tuple[list[str], list[str]]:
@@ -102,9 +104,11 @@ class PieceCounter:
         for w in words:
             n = known.get(w)
             if n is None:
-                if len(known) > CACHE_WORDS:
-                    known.clear()
-                n = known[w] = self.length(w)
+                n = self.length(w)
+                if len(w) <= LONG_WORD:
+                    if len(known) > CACHE_WORDS:
+                        known.clear()
+                    known[w] = n
             if n:
                 tokens += n
             else:
@@ -134,5 +138,10 @@ def token_counts(text: Column, path: str) -> Column:
 
 
 def count_documents(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and a struct column ``token_counts``."""
+    """All columns of ``docs`` and a struct column ``token_counts``, which replaces one of that name.
+
+    A null or empty text has zeros; a word of any length is one word, read once;
+    rows are counted one by one, so repeated rows have equal counts; an empty
+    table gives no rows.
+    """
     return docs.withColumn("token_counts", token_counts(F.col(text), path))
