@@ -141,12 +141,17 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     return LanguageModel(languages, table / table.sum(axis=1, keepdims=True) if n else table)
 
 
-def language_of(text: Column, model: LanguageModel) -> Column:
-    """Struct ``lang_pred``, ``score``, ``languages`` (array of lang, share) of whole texts."""
+def language_of(docs: DataFrame, name: str, text: str, model: LanguageModel) -> DataFrame:
+    """``docs`` with a struct column ``name``: ``lang_pred``, ``score``, ``languages`` (array of lang, share) of whole texts.
+
+    The model reaches each executor once, as a broadcast variable.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("lang_pred string, score double, languages array<struct<lang:string,share:double>>")
     def predict(texts: pa.Array) -> pa.Array:
-        found = [model.predict(t) for t in texts.to_pylist()]
+        known = shared.value
+        found = [known.predict(t) for t in texts.to_pylist()]
         shares = [[{"lang": x, "share": s} for x, s in f[2]] for f in found]
         kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
         return pa.StructArray.from_arrays(
@@ -154,7 +159,7 @@ def language_of(text: Column, model: LanguageModel) -> Column:
             names=["lang_pred", "score", "languages"],
         )
 
-    return predict(text)
+    return docs.withColumn(name, predict(F.col(text)))
 
 
 def held_out(id: Column) -> Column:
@@ -163,18 +168,26 @@ def held_out(id: Column) -> Column:
 
 
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
-    """All columns of ``docs`` with a struct column ``language``.
+    """All columns of ``docs`` with a struct column ``language``, which replaces one of that name.
 
     The model learns from the rows that are not held out.  Texts that are null
     or have no letter get ``und`` with score 0, as do all rows if there is
-    nothing to learn from.
+    nothing to learn from.  Of equally likely languages the one first by name
+    wins; equal texts have equal results, however often they come; texts of
+    any length are read whole; an empty table gives no rows.
     """
     model = fit(docs.where(~held_out(F.col(key))), text, lang, key)
-    return docs.withColumn("language", language_of(F.col(text), model))
+    return language_of(docs, "language", text, model)
 
 
 def keep_identified(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows that have no recognised language; columns unchanged."""
+    """``docs`` without the rows that have no recognised language; columns unchanged.
+
+    A null ``lang`` becomes the predicted language; a given one stays.  Rows
+    go whose text is null or has no letter, and all if nothing could be learned.
+    """
     name = "language" if "language" not in docs.columns else "language_" + "_".join(docs.columns)
     model = fit(docs.where(~held_out(F.col(key))), text, lang, key)
-    return docs.withColumn(name, language_of(F.col(text), model)).where(F.col(f"`{name}`.lang_pred") != UNKNOWN).drop(name)
+    found = language_of(docs, name, text, model).where(F.col(f"`{name}`.lang_pred") != UNKNOWN)
+    columns = [F.coalesce(F.col(f"`{c}`"), F.col(f"`{name}`.lang_pred")).alias(c) if c == lang else F.col(f"`{c}`") for c in docs.columns]
+    return found.select(*columns)
