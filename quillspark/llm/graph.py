@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,19 +12,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that all executors share: the one ``spark.checkpoint.dir`` names.
+
+    Only in local mode, where driver and executor are one, may it be unset; a
+    temporary one is taken then.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared:
+        return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's shared checkpoint folder and read it back.
+    """Write ``df`` to the shared checkpoint folder and read it back; the rows survive the loss of any executor.
 
-    The folder is the one named by ``spark.checkpoint.dir``; only where that is
-    unset (tests, a laptop) a temporary one is used.  The rows survive the loss
-    of any executor.
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark deletes them when they are no longer used.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, random: list[str]) -> DataFrame:
+    """A wide intermediate table as Parquet in the shared folder, so that later steps read only their columns.
+
+    No dictionary is tried for columns whose values are ``random``, as hashes are.
+    """
+    path = f"{shared_folder(df.sparkSession)}/quillspark-{uuid.uuid4().hex}"
+    df.write.options(**{f"parquet.enable.dictionary#{c}": "false" for c in random}).parquet(path)
+    _WRITTEN.append(path)
+    return df.sparkSession.read.parquet(path)
+
+
+#: Tables of this process that :func:`written` made.
+_WRITTEN: list[str] = []
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Delete the tables that :func:`written` made; call it when their results are no longer read."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def _stamp(edges: DataFrame) -> tuple:
     """Order-independent digest of a set of edges: two numbers, whatever its size."""
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
@@ -77,12 +113,12 @@ def comparison_blocks(rows: DataFrame, keys: list[str], spread: str, block: int)
     A bucket of n rows is split by a hash of ``spread`` into s = ceil(n/block)
     parts; a row goes to the s pairs that its part takes part in (columns
     ``part``, ``lo``, ``hi``), so every pair of rows of a bucket meets, and no
-    task ever holds more than about two blocks of one bucket at once.  The
-    result is sorted by bucket and pair within partitions.
+    pair of parts holds more than about two blocks.  ``rows`` should be narrow:
+    what is compared is joined to the result, see :func:`gathered`.
     """
     counts = rows.groupBy(*keys).agg(F.count("*").alias("bucket_n")).where("bucket_n > 1")
     parts = F.ceil(F.col("bucket_n") / F.lit(block)).cast("int")
-    out = (
+    return (
         rows.join(counts, keys)
         .withColumn("parts", parts)
         .withColumn("part", F.pmod(F.xxhash64(spread), F.col("parts")).cast("int"))
@@ -91,14 +127,18 @@ def comparison_blocks(rows: DataFrame, keys: list[str], spread: str, block: int)
         .withColumn("hi", F.greatest("part", "other"))
         .drop("other", "bucket_n", "parts")
     )
+
+
+def gathered(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """Blocks brought together: sorted by bucket and pair of parts within partitions."""
     group = [*keys, "lo", "hi"]
-    return out.repartition(*group).sortWithinPartitions(*group)
+    return blocks.repartition(*group).sortWithinPartitions(*group)
 
 
 def each_run(blocks: DataFrame, keys: list[str], schema: str, compare: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> DataFrame:
     """Call ``compare`` once for each run of equal ``keys`` + (lo, hi).
 
-    The input comes from :func:`comparison_blocks`; runs may cross Arrow
+    The input comes from :func:`gathered`; runs may cross Arrow
     batches, and only the run at the end of a batch is carried over.
     """
     names = [*keys, "lo", "hi"]

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.graph import comparison_blocks, connected_components, cut, each_run, forest
+from quillspark.llm.graph import comparison_blocks, connected_components, cut, each_run, forest, gathered
 
 #: About the width that needs fewest tables: unit vectors at cosine 0.95 are 0.32 apart, unrelated ones 1.41.
 WIDTH = 2.0
@@ -73,38 +73,42 @@ def usable(vector: Column) -> Column:
 def link_vectors(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", cosine: float = 0.95) -> DataFrame:
     """``id``, ``n_links``, ``component_id``, ``kept`` of each row of ``vectors``.
 
-    Equal vectors are one class, compared once and counted with its size.
+    Equal vectors are one class, compared once and counted with its size; a
+    class has a number of its own, so what its rows are called doesn't matter.
+    ``n_links`` counts rows: a row that is there twice links with its double,
+    and rows of one id with different vectors are different ones.
     Vectors that :func:`usable` refuses, and vectors of another dimension, link
     with nothing.  A row whose id is null is left out of linking and keeps a
     null component.  Empty tables give no rows.
+
+    Buckets are dealt out as numbers; the vectors themselves move once, to the
+    pairs of blocks in which they are compared.
     """
     kind = vectors.schema[vector].dataType.elementType
     code = "<f4" if isinstance(kind, T.FloatType) else "<f8"
     rows = vectors.select(F.col(id).alias("id"), F.col(vector).alias("v"))
     good = rows.where(F.col("id").isNotNull() & usable(F.col("v")))
-    classes = cut(good.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("mult")))
+    classes = cut(good.groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("mult")).withColumn("rep", F.monotonically_increasing_id()))
     plan = Tables.plan(classes.count(), cosine)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            reps, mults = batch.column("rep").to_numpy(), batch.column("mult").to_numpy()
+            reps = batch.column("rep").to_numpy()
             lists = batch.column("v")
             sizes = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
             flat = lists.flatten().to_numpy(zero_copy_only=False).astype(code)
             starts = np.concatenate([[0], np.cumsum(sizes)])
             for dim in np.unique(sizes):
                 at = np.flatnonzero(sizes == dim)
-                part = np.stack([flat[starts[i] : starts[i + 1]] for i in at])
-                keys = plan.buckets(_unit(part))
-                raw = [x.tobytes() for x in part]
+                keys = plan.buckets(_unit(np.stack([flat[starts[i] : starts[i + 1]] for i in at])))
                 for t in range(plan.tables):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), t, np.int32)), pa.array(np.full(len(at), dim, np.int32)), pa.array(keys[:, t]), pa.array(reps[at]), pa.array(mults[at]), pa.array(raw, pa.binary())],
-                        names=["t", "dim", "key", "rep", "mult", "raw"],
+                        [pa.array(np.full(len(at), t, np.int32)), pa.array(np.full(len(at), dim, np.int32)), pa.array(keys[:, t]), pa.array(reps[at])],
+                        names=["t", "dim", "key", "rep"],
                     )
 
     def compare(run: pa.Table) -> Iterator[pa.RecordBatch]:
-        unit = _unit(np.frombuffer(b"".join(run.column("raw").to_pylist()), dtype=code).reshape(run.num_rows, -1))
+        unit = _unit(run.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(code).reshape(run.num_rows, -1))
         t, lo, hi = (run.column(c)[0].as_py() for c in ("t", "lo", "hi"))
         part = run.column("part").to_numpy()
         first, second = (np.arange(len(unit)),) * 2 if lo == hi else (np.flatnonzero(part == lo), np.flatnonzero(part == hi))
@@ -132,13 +136,16 @@ def link_vectors(vectors: DataFrame, id: str = "vec_id", vector: str = "embeddin
         some = np.flatnonzero(links)
         yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(links[some].astype(np.int64)), pa.array(rep[to[some]])], names=["rep", "links", "other"])
 
-    listed = classes.mapInArrow(spread, "t int, dim int, key long, rep long, mult long, raw binary")
+    listed = cut(classes.select("rep", "v").mapInArrow(spread, "t int, dim int, key long, rep long"))
     keys = ["t", "dim", "key"]
-    linked = cut(each_run(comparison_blocks(listed, keys, "rep", BLOCK), keys, "rep long, links long, other long", compare))
+    blocks = gathered(comparison_blocks(listed, keys, "rep", BLOCK).join(classes.select("rep", "mult", "v"), "rep"), keys)
+    linked = cut(each_run(blocks, keys, "rep long, links long, other long", compare))
     links = linked.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(linked.select(F.col("rep").alias("a"), F.col("other").alias("b")))
     named = classes.join(links, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("v", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    named = cut(named.select("v", "least", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), "component"))
+    first = named.where("component is not null").groupBy("component").agg(F.min("least").alias("first"))
+    named = named.join(first, "component", "left").select("v", "n_links", F.coalesce("first", "least").alias("component_id"))
     linked_rows = good.join(named, "v").select("id", "n_links", "component_id")
     alone = rows.where(F.col("id").isNull() | ~usable(F.col("v"))).select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
     out = linked_rows.unionByName(alone)

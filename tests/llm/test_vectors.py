@@ -47,6 +47,12 @@ def test_odd_vectors(spark):
     assert out == {1: (2, 1), 2: (2, 1), 10: (2, 1)} | {i: (0, i) for i in (3, 4, 5, 6, 7, 8, 9, 11)}
 
 
+def test_rows_of_one_id_are_different_rows(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [2.0, 0.0]), (3, [0.0, -1.0]), (3, [0.0, -1.0]), (None, [1.0, 0.0])]
+    out = sorted((tuple(r) for r in vectors.link_vectors(spark.createDataFrame(rows, KIND)).collect()), key=repr)
+    assert out == sorted([(1, 1, 1, True), (1, 0, 1, True), (2, 1, 1, False), (3, 1, 3, True), (3, 1, 3, True), (None, 0, None, False)], key=repr)
+
+
 def test_empty_table(spark):
     assert vectors.link_vectors(spark.createDataFrame([], KIND)).count() == 0
 
