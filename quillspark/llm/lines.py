@@ -23,13 +23,11 @@ plane count as two.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.graph import connected_components, cut
+from quillspark.llm.graph import connected_components, cut, written
 
 CHARS = 8
 POINTS, WIDTH = 10, 4
@@ -101,17 +99,6 @@ def _band(start: Column) -> Column:
     return F.when(start.isNotNull(), band)
 
 
-def _scratch(df: DataFrame) -> DataFrame:
-    """Write a wide intermediate table as Parquet to the shared folder and read it back."""
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        return cut(df)
-    path = f"{shared.rstrip('/')}/quillspark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def _small(df: DataFrame, entries: Column | None = None) -> bool:
     """Whether a table's columns, and the entries of an array, stay below the bound of a broadcast."""
     row = F.lit(8 * len(df.columns)) if entries is None else 8 * (len(df.columns) + entries)
@@ -218,7 +205,7 @@ def line_components(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     """
     docs = docs.where(F.col(id).isNotNull())
     found = _lines(docs, id, text).select("id", "said", "pos", "line", F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
-    lines = _scratch(with_keys(found))
+    lines = written(with_keys(found), ["h", "g", *_KEYS])
     again = _lines(docs, id, text).select(F.xxhash64("line").alias("h"), "line")
     label = cut(_links(lines.select("h", *_KEYS), again))
 
