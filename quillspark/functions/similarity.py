@@ -42,11 +42,11 @@ def dice(a: Column, b: Column) -> Column:
 
 
 def best_dice(query: Column, titles: Column) -> Column:
-    """Best score of a title against an array of titles; 0.0 for an empty or null array."""
-    scores = F.transform(F.filter(titles, lambda t: t.isNotNull()), lambda t: dice(query, t))
-    return F.coalesce(F.array_max(scores), F.lit(0.0).cast("float"))
-
+    """Best score of a title against an array of titles; 0.0 for an empty or null array.
 
-def weighted_dice(queries: Column, title: Column) -> Column:
-    """Best of weight x score over an array of ``struct<text, weight>``."""
-    return F.array_max(F.transform(queries, lambda q: (q["weight"].cast("float") * dice(q["text"], title)).cast("float")))
+    The bigrams of ``query`` are made once a row, outside the loop over titles
+    (a literal query's are folded to a constant).
+    """
+    known = F.array(F.struct(bigrams(query).alias("grams")))
+    scores = F.flatten(F.transform(known, lambda k: F.transform(F.filter(titles, lambda t: t.isNotNull()), lambda t: dice_of(k["grams"], bigrams(t)))))
+    return F.coalesce(F.array_max(scores), F.lit(0.0).cast("float"))

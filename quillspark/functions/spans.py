@@ -42,17 +42,20 @@ def merge_spans(spans: Column) -> Column:
 
     Inverted spans are turned round.  Two spans join if the next starts at
     most 1 after the end so far.  Null gives null.
+
+    Starts and ends are sorted apart: there is a gap after the first i spans
+    exactly if the i-th smallest end is more than 1 below the next start.
     """
-    fixed = F.transform(spans, lambda s: F.struct(F.least(s["start"], s["end"]).alias("start"), F.greatest(s["start"], s["end"]).alias("end")))
+    starts = F.array_sort(F.transform(spans, lambda s: F.least(s["start"], s["end"])))
+    ends = F.array_sort(F.transform(spans, lambda s: F.greatest(s["start"], s["end"])))
 
-    def add(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-        joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))
-        return F.when(F.size(done) == 0, F.array(s)).when(s["start"] <= last["end"] + 1, joined).otherwise(F.concat(done, F.array(s)))
+    def joined(x: Column) -> Column:
+        a, b = x["starts"], x["ends"]
+        opened = F.filter(a, lambda v, i: (i == 0) | (v > F.get(b, i - 1) + 1))
+        closed = F.filter(b, lambda v, i: (i == F.size(b) - 1) | (F.get(a, i + 1) > v + 1))
+        return F.arrays_zip(opened.alias("start"), closed.alias("end")).cast(SPANS)
 
-    guarded = lambda done, s: F.when(F.size(done) == 0, F.array(s)).otherwise(add(done, s))
-    return F.aggregate(F.array_sort(fixed), F.array().cast(SPANS), guarded)
+    return F.when(spans.isNotNull(), F.get(F.transform(F.array(F.struct(starts.alias("starts"), ends.alias("ends"))), joined), F.lit(0)))
 
 
 def detect(text: Column) -> Column:

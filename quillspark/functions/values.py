@@ -18,6 +18,29 @@ QUEUE_STATUSES = ["unresolved", "ambiguous", "review_pending"]
 ALL_STATUSES = ["resolved", "unresolved", "ambiguous", "review_pending", "rejected", "standalone"]
 
 
+#: Seconds of a unit; the range without one, its bounds; the number of buckets without one, its bounds.
+RANGE_UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}
+DEFAULT_RANGE, LEAST_RANGE, MOST_RANGE = 24 * 3600, 60, 90 * 86400
+DEFAULT_BUCKETS, LEAST_BUCKETS, MOST_BUCKETS = 24, 4, 168
+
+
+def range_seconds(text: Column) -> Column:
+    """Seconds of a range as ``24h`` or ``7d``, within a minute and 90 days; 24 hours for null and anything else."""
+    said = F.trim(text)
+    number = F.regexp_extract(said, r"^([+-]?[0-9]+)[A-Za-z]$", 1).try_cast("bigint")
+    unit, size = F.lower(F.right(said, F.lit(1))), F.lit(None).cast("bigint")
+    for name, seconds in RANGE_UNITS.items():
+        size = F.when(unit == name, F.lit(seconds).cast("bigint")).otherwise(size)
+    seconds = F.try_multiply(number, size)
+    return F.when(seconds.isNull(), F.lit(DEFAULT_RANGE)).otherwise(F.least(F.greatest(seconds, F.lit(LEAST_RANGE)), F.lit(MOST_RANGE))).cast("bigint")
+
+
+def bucket_width(seconds: Column, buckets: Column) -> Column:
+    """Seconds of a bucket, rounded up, for a number of buckets brought within its bounds."""
+    number = F.least(F.greatest(F.coalesce(buckets, F.lit(DEFAULT_BUCKETS)), F.lit(LEAST_BUCKETS)), F.lit(MOST_BUCKETS))
+    return F.ceil(seconds / number).cast("bigint")
+
+
 def parse_size(text: Column) -> Column:
     """Bytes of ``1,234.5 MiB``; null for anything else."""
     number = F.replace(F.regexp_extract(F.trim(text), r"^(.*) (\S+)$", 1), F.lit(","), F.lit("")).try_cast("double")

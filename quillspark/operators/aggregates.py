@@ -45,20 +45,35 @@ def histogram(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("n"))
 
 
-def nearest_rank(rows: DataFrame, value: str, shares: dict[str, float], keys: list[str] | None = None) -> DataFrame:
+def nearest_rank(rows: DataFrame, value: str, shares: dict[str, float], keys: list[str] | None = None, buckets: int = 1024) -> DataFrame:
     """Nearest-rank percentiles at rank floor(p n + 0.5), with count and maximum.
 
-    Ranks come from cumulative counts of distinct values, so what is ordered
-    is one row a value, and the sums of values are made on the map side.
+    Values are counted first, on the map side, then summed by bucket: equal
+    steps between a group's least and greatest value.  Only the values of the
+    one bucket that holds a rank are ordered, so no task sees all the values of
+    a group, or of a table without ``keys``.  Without keys and values: one row, n = 0.
     """
     keys = keys or []
     counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    ends = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("max"))
+    joined = (counts.join(ends, keys) if keys else counts.crossJoin(F.broadcast(ends))).withColumn("_v", F.col(value).cast("double"))
+    step = (F.col("max").cast("double") - F.col("_lo").cast("double")) / buckets
+    place = F.when(step > 0, F.least(F.floor((F.col("_v") - F.col("_lo").cast("double")) / step), F.lit(buckets - 1))).otherwise(0)
+    placed = joined.withColumn("_b", place.cast("int"))
+    sums = placed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_s"), F.first("_n").alias("_n"))
     by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    upto = by.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("_upto", F.sum("_c").over(upto)).withColumn("_n", F.sum("_c").over(by))
+    before = sums.withColumn("_before", F.sum("_s").over(by.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_s"))
     rank = lambda p: F.greatest(F.floor(F.lit(float(p)) * F.col("_n") + 0.5), F.lit(1))
-    picks = [F.min(F.when(F.col("_upto") >= rank(p), F.col(value))).alias(name) for name, p in shares.items()]
-    return ranked.groupBy(*keys).agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("n"), *picks, F.max(value).alias("max"))
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), rank(p).alias("rank")) for name, p in shares.items()])
+    held = before.select(*keys, "_b", "_before", "_s", F.explode(wanted).alias("_w")).where((F.col("_w.rank") > F.col("_before")) & (F.col("_w.rank") <= F.col("_before") + F.col("_s")))
+    within = placed.select(*keys, "_b", value, "_c").join(F.broadcast(held) if not keys else held, [*keys, "_b"])
+    inside = Window.partitionBy(*keys, "_w.name").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    found = within.withColumn("_upto", F.col("_before") + F.sum("_c").over(inside)).where(F.col("_upto") >= F.col("_w.rank"))
+    picks = [F.min(F.when(F.col("_w.name") == name, F.col(value))).alias(name) for name in shares]
+    picked = found.groupBy(*keys).agg(*picks)
+    whole = ends.select(*keys, F.coalesce("_n", F.lit(0).cast("bigint")).alias("n"), "max")
+    out = whole.join(picked, keys) if keys else whole.crossJoin(F.broadcast(picked))
+    return out.select(*keys, "n", *shares, "max")
 
 
 def counts_by_status(rows: DataFrame, statuses: list[str], column: str = "status") -> DataFrame:
@@ -79,6 +94,17 @@ def outcome_tally(rows: DataFrame) -> DataFrame:
     )
 
 
+def retry_tally(rows: DataFrame) -> DataFrame:
+    """Outcomes of a batch that was resolved anew: one row of six counters.
+
+    ``rows``: ``resolution_status``, ``skipped`` (an operator's decision was
+    left alone), ``failed``.  A failure counts as nothing else, a skip as no status.
+    """
+    status = F.when(F.coalesce("failed", F.lit(False)), F.lit("error")).when(F.coalesce("skipped", F.lit(False)) | F.col("resolution_status").isin("rejected", "standalone"), F.lit("skip")).otherwise(F.col("resolution_status"))
+    names = {"resolved": "resolved", "ambiguous": "ambiguous", "review_pending": "review_pending", "unresolved": "unresolved", "skip": "skipped", "error": "errors"}
+    return rows.agg(*[F.count_if(status == k).alias(v) for k, v in names.items()])
+
+
 def groups_over(rows: DataFrame, array: str, id: str, breadth: int, least: int = 2) -> DataFrame:
     """Values among the first entries of an array, with the number of rows that hold them, ``least`` or more."""
     reach = F.col(array) if breadth >= 3 else F.slice(array, 1, max(1, breadth))
@@ -95,6 +121,14 @@ def dominant_candidate(rows: DataFrame, candidates: DataFrame, array: str, bread
     return best.select("value", (-F.col("b.neg")).alias("series_id"), F.col("b.n").alias("n"), F.col("b.score_sum").alias("score_sum"))
 
 
+def with_derived_spans(releases: DataFrame) -> DataFrame:
+    """``releases`` whose spans are both null get those that their files and title name; others stay."""
+    bare = F.col("volume_span").isNull() & F.col("chapter_span").isNull()
+    found = releases.withColumn("_found", F.when(bare, spans.detect_spans(F.col("files"), F.col("title"))))
+    out = found.withColumn("volume_span", F.coalesce("volume_span", "_found.volumes")).withColumn("chapter_span", F.coalesce("chapter_span", "_found.chapters"))
+    return out.drop("_found")
+
+
 def coverage(releases: DataFrame) -> DataFrame:
     """Per series the merged volume and chapter spans of its releases, their ends, and last times.
 
@@ -114,8 +148,9 @@ def coverage(releases: DataFrame) -> DataFrame:
 def recompute_coverage(series: DataFrame, releases: DataFrame, now: int) -> DataFrame:
     """``series`` (``id`` and the coverage columns) with coverage anew and ``changed``.
 
-    Series without releases get empty coverage and times of 0.  The update
-    stamp moves only if spans or ends changed, not for discovery times.
+    Series without releases get empty coverage, a last release of 0 and no
+    time of discovery.  The update stamp moves only if spans or ends changed,
+    not for discovery times.
     """
     made = coverage(releases)
     empty = F.array().cast(spans.SPANS)
@@ -123,5 +158,5 @@ def recompute_coverage(series: DataFrame, releases: DataFrame, now: int) -> Data
     rows = old.join(made.withColumnRenamed("series_id", "id"), "id", "left")
     rows = rows.withColumn("volumes", F.coalesce("volumes", empty)).withColumn("chapters", F.coalesce("chapters", empty))
     changed = ~(F.col("volumes").eqNullSafe(F.coalesce("_v", empty)) & F.col("chapters").eqNullSafe(F.coalesce("_c", empty)))
-    times = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("last_discovered_at", "last_release_at")]
-    return rows.select("id", "volumes", "chapters", "highest_volume", "highest_chapter", *times, changed.alias("changed"), F.when(changed, F.lit(now).cast("bigint")).otherwise(F.col("updated_at")).alias("updated_at"))
+    released = F.coalesce("last_release_at", F.lit(0).cast("bigint")).alias("last_release_at")
+    return rows.select("id", "volumes", "chapters", "highest_volume", "highest_chapter", "last_discovered_at", released, changed.alias("changed"), F.when(changed, F.lit(now).cast("bigint")).otherwise(F.col("updated_at")).alias("updated_at"))

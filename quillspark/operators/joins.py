@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.similarity import bigrams, dice_of
@@ -89,30 +89,29 @@ def similar_titles(left: DataFrame, right: DataFrame, threshold: float, left_id:
 
     Prefix filtering: bigrams are ordered by rarity; two sets whose score is t
     or more share one of the first n - ceil(n t / (2 - t)) + 1 bigrams of
-    each.  The index holds only those; every pair that meets is verified.
-    Titles without bigrams score 1.0 against each other and are paired by that
-    class.
+    each.  The index holds only those, as ids with the set's size and the
+    bigram's place; sizes too far apart and places that leave too few bigrams
+    to share are refused within the join.  Sets are fetched for the pairs that
+    are left, and each is verified.  Titles without bigrams score 1.0 against
+    each other and are paired by that class.  Ids are keys of their table.
     """
     sides = []
     for side, df, id in (("left", left, left_id), ("right", right, right_id)):
         sides.append(df.select(F.lit(side).alias("side"), F.col(id).alias("id"), bigrams(F.coalesce(F.col(title), F.lit(""))).alias("grams")))
     grams = sides[0].unionByName(sides[1])
-    seen = grams.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    ranked = grams.select("side", "id", "grams", F.explode("grams").alias("gram")).join(seen, "gram")
-    rare = ranked.groupBy("side", "id", "grams").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("by_rarity"))
-    t = F.lit(float(threshold))
-    size = F.size("grams")
-    keep = (size - F.ceil(size * t / (2 - t) - 1e-9) + 1).cast("int")
-    prefix = rare.select("side", "id", "grams", F.explode(F.slice("by_rarity", F.lit(1), F.greatest(keep, F.lit(1)))).alias("r")).select("side", "id", "grams", F.col("r.gram").alias("gram"))
-    a = prefix.where("side = 'left'").select("gram", F.col("id").alias("left_id"), F.col("grams").alias("left_grams"))
-    b = prefix.where("side = 'right'").select("gram", F.col("id").alias("right_id"), F.col("grams").alias("right_grams"))
-    pairs = a.join(b, "gram").withColumn("score", dice_of(F.col("left_grams"), F.col("right_grams"))).where(F.col("score") >= F.lit(threshold).cast("float"))
+    listed = grams.select("side", "id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    seen = listed.groupBy("gram").agg(F.count("*").alias("c"))
+    rare = listed.join(seen, "gram").groupBy("side", "id", "n").agg(F.array_sort(F.collect_list(F.struct("c", "gram"))).alias("by_rarity"))
+    t = float(threshold)
+    keep = F.greatest(F.col("n") - F.ceil(F.col("n") * F.lit(t / (2 - t)) - 1e-9) + 1, F.lit(1)).cast("int")
+    prefix = rare.select("side", "id", "n", F.posexplode(F.slice("by_rarity", F.lit(1), keep)).alias("at", "r")).select("side", "id", "n", "at", F.col("r.gram").alias("gram"))
+    a, b = (prefix.where(F.col("side") == x).select("gram", *[F.col(c).alias(f"{x}_{c}") for c in ("id", "n", "at")]) for x in ("left", "right"))
+    shared = F.least(F.col("left_n") - F.col("left_at"), F.col("right_n") - F.col("right_at"))
+    enough = 2 * shared >= F.lit(t) * (F.col("left_n") + F.col("right_n")) - 1e-6
+    near = F.least("left_n", "right_n") >= F.lit(t / (2 - t)) * F.greatest("left_n", "right_n") - 1e-6
+    met = a.join(b, "gram").where(near & enough).select("left_id", "right_id").distinct()
+    pairs = met.join(sides[0].select(F.col("id").alias("left_id"), F.col("grams").alias("left_grams")), "left_id").join(sides[1].select(F.col("id").alias("right_id"), F.col("grams").alias("right_grams")), "right_id")
+    found = pairs.select("left_id", "right_id", dice_of(F.col("left_grams"), F.col("right_grams")).alias("score")).where(F.col("score") >= F.lit(threshold).cast("float"))
     bare = grams.where(F.size("grams") == 0).select("side", "id", F.lit("").alias("gram"))
     empty = bare.where("side = 'left'").select("gram", F.col("id").alias("left_id")).join(bare.where("side = 'right'").select("gram", F.col("id").alias("right_id")), "gram")
-    found = pairs.select("left_id", "right_id", "score").distinct()
     return found.unionByName(empty.select("left_id", "right_id", F.lit(1.0).cast("float").alias("score")))
-
-
-def row_best(df: DataFrame, keys: list[str], *order) -> DataFrame:
-    """First row of each group in the given order."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written to the cluster's shared checkpoint folder, and read from there.
 
-    The folder is the one that ``spark.checkpoint.dir`` names; only where it is
-    unset (tests, a laptop) a temporary one is used.
+    The folder is the one that ``spark.checkpoint.dir`` names.  Only in local
+    mode, where driver and executor are one, may it be unset; a temporary one
+    is taken then.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-"))
+    context = df.sparkSession.sparkContext
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-"))
     return df.checkpoint(eager=True)

@@ -7,7 +7,7 @@ merge command.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Release columns: written by every sighting, and detail columns kept if a sighting has no details.
@@ -221,3 +221,48 @@ def upsert_from_metadata(series: DataFrame, located: DataFrame, overwrite: list[
         else:
             columns.append(F.col(c))
     return rows.select(*columns)
+
+
+def insert_from_metadata(series: DataFrame, located: DataFrame, now: int) -> DataFrame:
+    """``series`` with a new row for each located record that has no series yet.
+
+    New ids follow the greatest one, by the first two digits of the SHA-256 of
+    the provider's id, then that id; the records' columns are taken by name,
+    others are null; rows come from the provider and are stamped ``now``.
+    Numbers come from counts of the 256 ranges, so no task numbers all records.
+    """
+    new = located.where(F.col("series_id").isNull()).dropDuplicates(["external_id"])
+    part = F.substring(F.sha2(F.col("external_id"), 256), 1, 2)
+    new = new.withColumn("_part", part)
+    sizes = new.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).drop("_n")
+    last = series.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint").alias("_last"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy("external_id"))
+    numbered = new.withColumn("_own", own).join(F.broadcast(before), "_part").crossJoin(F.broadcast(last))
+    fixed = {"id": F.col("_last") + F.col("_before") + F.col("_own"), "metadata_source": F.lit("provider"), "updated_at": F.lit(now), "created_at": F.lit(now), "fetched_at": F.lit(now)}
+    columns = [(fixed[c] if c in fixed else F.col(c) if c in new.columns else F.lit(None)).cast(series.schema[c].dataType).alias(c) for c in series.columns]
+    return series.unionByName(numbered.select(*columns))
+
+
+def link_targets(requests: DataFrame, series: DataFrame, mapping: DataFrame, records: DataFrame) -> DataFrame:
+    """Where an operator's link requests lead: ``request``, ``series_id``, ``make`` (a record to insert), ``error``.
+
+    ``requests``: ``request`` and either ``series_id`` or both of ``provider``
+    and ``external_id``.  A pair leads to the series that holds it, else to a
+    provider record (``records``: ``provider``, ``external_id``) from which a
+    series is to be made; everything else is an error.
+    """
+    by_id, pair = F.col("series_id").isNotNull(), F.col("provider").isNotNull() & F.col("external_id").isNotNull()
+    half = F.col("provider").isNotNull() | F.col("external_id").isNotNull()
+    sound = (by_id & ~half) | (~by_id & pair)
+    known = series.select(F.col("id").alias("series_id"), F.lit(True).alias("_there")).distinct()
+    held = mapping.select("provider", "external_id", F.col("series_id").alias("_held"))
+    listed = records.select("provider", "external_id", F.lit(True).alias("_listed")).distinct()
+    rows = requests.join(known, "series_id", "left").join(held, ["provider", "external_id"], "left").join(listed, ["provider", "external_id"], "left")
+    error = (
+        F.when(~sound, F.lit("bad_request"))
+        .when(by_id & F.col("_there").isNull(), F.lit("not_found"))
+        .when(~by_id & F.col("_held").isNull() & F.col("_listed").isNull(), F.lit("no_record"))
+    )
+    target = F.when(error.isNull(), F.coalesce("series_id", "_held"))
+    return rows.select("request", target.alias("series_id"), (error.isNull() & target.isNull()).alias("make"), error.alias("error"))

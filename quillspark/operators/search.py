@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import unicodedata
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.similarity import best_dice
@@ -10,14 +12,18 @@ from quillspark.functions.similarity import best_dice
 #: Keep a title that is no text hit from this score; what a text hit adds.
 LEAST_SCORE, TEXT_BONUS = 0.30, 0.5
 POOL = 2000
+#: Constants of the BM25 rank.
+K1, B = 1.2, 0.75
+
+
+# fixed values: composed letters and their base letters
+_COMPOSED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
+_BASE = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
 
 
 def plain(text: Column) -> Column:
     """Lower case without combining marks; composed Latin letters lose theirs."""
-    # fixed values: composed letters and their base letters
-    composed = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
-    base = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
-    return F.regexp_replace(F.translate(F.lower(text), composed, base), r"\p{M}", "")
+    return F.regexp_replace(F.translate(F.lower(text), _COMPOSED, _BASE), r"\p{M}", "")
 
 
 def tokens(text: Column) -> Column:
@@ -26,20 +32,10 @@ def tokens(text: Column) -> Column:
 
 
 def query_tokens(query: str) -> list[str]:
-    """Words of a query as the index has them."""
-    return ["".join(w) for w in _words(query)]
-
-
-def _words(query: str):
-    word: list[str] = []
-    for c in query.lower():
-        if c.isalnum():
-            word.append(c)
-        elif word:
-            yield word
-            word = []
-    if word:
-        yield word
+    """Words of a query as :func:`tokens` has them: folded in the same way."""
+    folded = query.lower().translate(str.maketrans(_COMPOSED, _BASE))
+    folded = "".join(c for c in folded if not unicodedata.category(c).startswith("M"))
+    return "".join(c if c.isalpha() or unicodedata.category(c).startswith("N") else " " for c in folded).split()
 
 
 def text_match(index: Column, query: str) -> Column:
@@ -65,7 +61,7 @@ def phrase_match(index: Column, query: str) -> Column:
 
 
 def catalog_search(series: DataFrame, query: str, cleaned: str, descriptions: bool = False) -> DataFrame:
-    """Text hits and similar titles, ranked by score, then recency, then id.
+    """Text hits and similar titles with their score, in no order.
 
     ``series``: ``id``, ``title``, ``alternates``, ``description``, ``last_release_at``.
     The score is the best Dice score of the cleaned query, plus a bonus for a
@@ -81,9 +77,54 @@ def catalog_search(series: DataFrame, query: str, cleaned: str, descriptions: bo
     return rows.withColumn("score", score)
 
 
+def search_page(found: DataFrame, series: DataFrame, page: int, size: int) -> DataFrame:
+    """Page ``page`` (from 1) of what :func:`catalog_search` found: ``rank``, ``score`` and the columns of ``series``.
+
+    By score, then the last release (none last), then id.  Only ids and sort keys
+    are ordered, as a top-n; the columns of ``series`` are fetched for one page.
+    """
+    last = page * size
+    order = [F.col("score").desc(), F.col("last_release_at").desc_nulls_last(), F.col("id")]
+    top = found.select("id", "score", "last_release_at").orderBy(*order).limit(last)
+    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    chosen = ranked.where(F.col("rank") > last - size).select("id", "score", "rank")
+    return series.join(F.broadcast(chosen), "id")
+
+
+def relevance(titles: DataFrame, title: str, query: str, limit: int = POOL) -> DataFrame:
+    """The ``limit`` rows that hold every part of a query as a phrase, by BM25, with their ``rank_score``.
+
+    Greater scores first, then the id.  The table's size, its mean length and
+    the rows that hold each part are one aggregation, joined as a single row.
+    A query without words gives no rows.
+    """
+    parts = [" ".join(w) for w in map(query_tokens, query.split()) if w]
+    if not parts:
+        return titles.withColumn("rank_score", F.lit(0.0)).limit(0)
+    rows = titles.withColumn("_tokens", tokens(F.col(title)))
+    joined = F.concat(F.lit(" "), F.array_join("_tokens", "  "), F.lit(" "))
+    times = [(F.size(F.split(joined, f" {'  '.join(p.split())} ")) - 1).alias(f"_f{i}") for i, p in enumerate(parts)]
+    rows = rows.select("*", F.size("_tokens").alias("_length"), *times)
+    every = rows.agg(F.count("*").alias("_n"), F.avg("_length").alias("_mean"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(parts))])
+    held = rows.where(" and ".join(f"_f{i} > 0" for i in range(len(parts)))).crossJoin(F.broadcast(every))
+    score = F.lit(0.0)
+    for i in range(len(parts)):
+        rare = F.log((F.col("_n") - F.col(f"_d{i}") + 0.5) / (F.col(f"_d{i}") + 0.5))
+        times = F.col(f"_f{i}").cast("double")
+        score = score + F.greatest(rare, F.lit(1e-6)) * times * (K1 + 1) / (times + K1 * (1 - B + B * F.col("_length") / F.col("_mean")))
+    return held.select(*titles.columns, score.alias("rank_score")).orderBy(F.col("rank_score").desc(), "id").limit(limit)
+
+
+def fuzzy_candidates(titles: DataFrame, title: str, query: str, top: int, pool: int = POOL) -> DataFrame:
+    """The ``top`` of the pool of :func:`relevance` by the Dice score of query and title, then the id."""
+    held = relevance(titles, title, query, pool)
+    scored = held.withColumn("dice", best_dice(F.lit(query), F.array(title)))
+    return scored.orderBy(F.col("dice").desc(), "id").limit(top)
+
+
 def token_index(titles: DataFrame, id: str, title: str) -> DataFrame:
-    """Inverted index: ``token``, ``id``."""
-    return titles.select(F.explode(F.array_distinct(tokens(F.col(title)))).alias("token"), F.col(id).alias("id")).distinct()
+    """Inverted index: ``token``, ``id``, one row each; ``id`` is a key of ``titles``, so no shuffle is needed."""
+    return titles.select(F.explode(F.array_distinct(tokens(F.col(title)))).alias("token"), F.col(id).alias("id"))
 
 
 def candidates(queries: DataFrame, index: DataFrame) -> DataFrame:

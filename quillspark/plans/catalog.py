@@ -107,12 +107,12 @@ def point_lookup(series: DataFrame) -> DataFrame:
     return series.where((F.col("metadata_hash") == "h7") | (F.col("id") == 12)).select("id", "metadata_hash", "title")
 
 
-@query("""select id, observed_at from releases where resolution_status in ('unresolved', 'ambiguous', 'review_pending') and id % 10 < 4
-    order by observed_at desc, id desc limit 200""")
-def bulk_targets(releases: DataFrame) -> DataFrame:
-    ids = releases.where("id % 10 < 4").select("id")
+@query("""select id, observed_at from releases where resolution_status in ('unresolved', 'ambiguous', 'review_pending') and id in (select release_id from release_formats where format = 'cbz')
+    order by observed_at desc, id desc limit 1000""")
+def bulk_targets(releases: DataFrame, release_formats: DataFrame) -> DataFrame:
+    ids = release_formats.where("format = 'cbz'").select(F.col("release_id").alias("id"))
     waiting = releases.where(fi.status_filter("resolution_status", None))
-    return paging.newest(fi.only_ids(waiting, ids, ["id"]), "observed_at", 200).select("id", "observed_at")
+    return paging.newest(fi.only_ids(waiting, ids, ["id"]), "observed_at", 1000).select("id", "observed_at")
 
 
 # --- joins -------------------------------------------------------------------

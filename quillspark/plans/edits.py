@@ -140,10 +140,41 @@ def located_by_foreign_id(part: DataFrame, external_ids: DataFrame) -> DataFrame
     return found.select(F.substring("external_id", 2, 20).cast("bigint").alias("record"), "series_id")
 
 
+@query(f"""with made as (select concat('n', p_partkey) as external_id, p_name as title from part where p_partkey % 3 = 0),
+    top as (select max(id) as last from series)
+    select id, title, metadata_source, updated_at from series
+    union all select last + row_number() over (order by substr(sha256(external_id), 1, 2), external_id), concat('new ', title), 'provider', {NOW} from made, top""")
+def series_inserted(series: DataFrame, part: DataFrame, external_ids: DataFrame) -> DataFrame:
+    none = F.array().cast("array<struct<provider:string,id:string>>")
+    new = part.where("p_partkey % 3 = 0").select(F.concat(F.lit("n"), F.col("p_partkey").cast("string")).alias("external_id"), none.alias("foreign_ids"), F.concat(F.lit("new "), F.col("p_name")).alias("title"))
+    known = part.where("p_partkey % 3 = 1").select(F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("external_id"), none.alias("foreign_ids"), F.col("p_name").alias("title"))
+    held = external_ids.where("provider = 'mal'").select("external_id")
+    located = merges.locate_series(new.unionByName(known.join(held, "external_id", "left_semi")), external_ids, "mal")
+    return merges.insert_from_metadata(series.select("id", "title", "metadata_source", "updated_at"), located, NOW)
+
+
+@query("""with q as (select p_partkey as request, case when p_partkey % 5 in (0, 4) then p_partkey + case when p_partkey % 2 = 0 then 0 else 100000000 end end as sid,
+      case when p_partkey % 5 in (1, 2, 4) then 'mal' end as provider, case when p_partkey % 5 in (1, 2) then concat('m', p_partkey) end as ext from part),
+    r as (select q.*, s.id is not null as there, e.series_id as held, q.ext is not null and q.request % 4 <> 0 as listed from q left join series s on s.id = q.sid left join external_ids e on e.provider = q.provider and e.external_id = q.ext)
+    select request, case when provider is null and sid is not null and there then sid when sid is null and ext is not null then held end as series_id,
+      coalesce(sid is null and ext is not null and held is null and listed, false) as make,
+      case when not ((sid is not null and provider is null) or (sid is null and ext is not null)) then 'bad_request' when sid is not null and not there then 'not_found' when sid is null and held is null and not listed then 'no_record' end as error from r""")
+def link_requests(part: DataFrame, series: DataFrame, external_ids: DataFrame) -> DataFrame:
+    k = F.col("p_partkey")
+    requests = part.select(
+        k.alias("request"),
+        F.when((k % 5).isin(0, 4), k + F.when(k % 2 == 0, 0).otherwise(100000000)).alias("series_id"),
+        F.when((k % 5).isin(1, 2, 4), F.lit("mal")).alias("provider"),
+        F.when((k % 5).isin(1, 2), F.concat(F.lit("m"), k.cast("string"))).alias("external_id"),
+    )
+    records = part.where("p_partkey % 4 <> 0").select(F.lit("mal").alias("provider"), F.concat(F.lit("m"), k.cast("string")).alias("external_id"))
+    return merges.link_targets(requests, series, external_ids, records)
+
+
 # --- coverage --------------------------------------------------------------------
 
 _SPANS = """select series_id, case when id % 3 = 0 then id % 40 + id % 4 else id % 40 end::double as s, case when id % 3 = 0 then id % 40 else id % 40 + id % 4 end::double as e, observed_at, posted_at
-    from releases where series_id is not null and resolution_status = 'resolved'"""
+    from releases where series_id is not null"""
 _ISLANDS = f"""
     flat as (select series_id, least(s, e) as s, greatest(s, e) as e from ({_SPANS})),
     marked as (select *, case when s > max(e) over (partition by series_id order by s, e rows between unbounded preceding and 1 preceding) + 1 then 1 else 0 end as gap from flat),
@@ -156,7 +187,7 @@ def _with_spans(releases: DataFrame) -> DataFrame:
     low, high = F.expr("cast(id % 40 as double)"), F.expr("cast(id % 40 + id % 4 as double)")
     turned = F.col("id") % 3 == 0
     span = F.array(F.struct(F.when(turned, high).otherwise(low).alias("start"), F.when(turned, low).otherwise(high).alias("end")))
-    return releases.where("resolution_status = 'resolved'").withColumn("volume_span", span).withColumn("chapter_span", F.lit(None).cast("array<struct<start:double,end:double>>"))
+    return releases.withColumn("volume_span", span).withColumn("chapter_span", F.lit(None).cast("array<struct<start:double,end:double>>"))
 
 
 def _written(spans: str):
@@ -168,11 +199,13 @@ def coverage(releases: DataFrame) -> DataFrame:
     return ag.coverage(_with_spans(releases)).select("series_id", _written("volumes").alias("volumes"), "highest_volume", "last_discovered_at", "last_release_at")
 
 
-@query(f"""with {_ISLANDS} select s.id, coalesce(volumes, '') as volumes, coalesce(volumes, '') <> '' as changed, case when coalesce(volumes, '') <> '' then {NOW} else s.updated_at end as updated_at from series s left join cover c on c.series_id = s.id""")
+@query(f"""with {_ISLANDS}, times as (select series_id, max(observed_at) as o, max(posted_at) as p from ({_SPANS}) group by series_id)
+    select s.id, coalesce(volumes, '') as volumes, coalesce(volumes, '') <> '' as changed, case when coalesce(volumes, '') <> '' then {NOW} else s.updated_at end as updated_at, o as last_discovered_at, coalesce(p, 0) as last_release_at
+    from series s left join cover c on c.series_id = s.id left join times t on t.series_id = s.id""")
 def coverage_recompute(series: DataFrame, releases: DataFrame) -> DataFrame:
     empty = F.array().cast("array<struct<start:double,end:double>>")
     out = ag.recompute_coverage(series.select("id", empty.alias("volumes"), empty.alias("chapters"), "updated_at"), _with_spans(releases), NOW)
-    return out.select("id", _written("volumes").alias("volumes"), "changed", "updated_at")
+    return out.select("id", _written("volumes").alias("volumes"), "changed", "updated_at", "last_discovered_at", "last_release_at")
 
 
 @query("""select s.id, coalesce(r.last_seen, 0) as last_seen from series s left join (select series_id, max(observed_at) as last_seen from releases group by series_id) r on r.series_id = s.id""")

@@ -112,6 +112,14 @@ def outcome_tally(releases: DataFrame) -> DataFrame:
     return ag.outcome_tally(releases)
 
 
+@query("""with t as (select resolution_status as status, series_id is null and id % 5 = 0 as skipped, id % 11 = 0 as failed from releases)
+    select count(*) filter (not failed and not skipped and status = 'resolved') as resolved, count(*) filter (not failed and not skipped and status = 'ambiguous') as ambiguous,
+    count(*) filter (not failed and not skipped and status = 'review_pending') as review_pending, count(*) filter (not failed and not skipped and status = 'unresolved') as unresolved,
+    count(*) filter (not failed and (skipped or status in ('rejected', 'standalone'))) as skipped, count(*) filter (failed) as errors from t""")
+def retry_tally(releases: DataFrame) -> DataFrame:
+    return ag.retry_tally(releases.select("resolution_status", (F.col("series_id").isNull() & (F.col("id") % 5 == 0)).alias("skipped"), (F.col("id") % 11 == 0).alias("failed")))
+
+
 @query("select provider, count(*) as ids, count(distinct series_id) as series, count(*) filter (external_id like '%0') as tombstones, max(series_id) as newest from external_ids group by provider")
 def id_map_counts(external_ids: DataFrame) -> DataFrame:
     return external_ids.groupBy("provider").agg(F.count("*").alias("ids"), F.count_distinct("series_id").alias("series"), F.count_if(F.col("external_id").like("%0")).alias("tombstones"), F.max("series_id").alias("newest"))

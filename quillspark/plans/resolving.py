@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.operators import aggregates as ag
 from quillspark.operators import resolution
 from quillspark.plans.registry import query
+from quillspark.plans.text import _DICE, _grams
 
 
 def _inputs(spark, part: DataFrame) -> dict[str, DataFrame]:
@@ -45,3 +46,19 @@ def resolve_tally(spark, part: DataFrame) -> DataFrame:
 @query("select id from releases where resolution_status in ('unresolved', 'ambiguous') and resolution_status not in ('rejected', 'standalone') and (resolution_path <> 'manual' or resolution_path is null)")
 def open_releases(releases: DataFrame) -> DataFrame:
     return resolution.open_releases(releases, ["unresolved", "ambiguous"]).select("id")
+
+
+@query(f"""with entries as (select p_partkey as entry, concat(p_name, ' saga q', p_partkey, 'z') as title, p_partkey % 2 = 0 as fits from part),
+    e as (select *, list_distinct(regexp_split_to_array(title, '[^a-z0-9]+')) as t, {_grams("title")} as g from entries),
+    asked as (select p_partkey as id, p_name as text, list_distinct(regexp_split_to_array(p_name, '[^a-z0-9]+')) as t, {_grams("p_name")} as g from part where p_partkey % 20 = 0),
+    hits as (select a.id, e.entry, e.fits, cast({_DICE.format(a="a.g", b="e.g")} as float) as score from asked a join e on len(list_intersect(a.t, e.t)) = len(a.t)),
+    best as (select * from (select *, row_number() over (partition by id order by score desc, entry) as rank from hits) where rank <= 10),
+    usable as (select *, max(score) over (partition by id) as top from (select *, bool_or(fits) over (partition by id) as any_fit from best) where fits or not any_fit),
+    low as (select *, row_number() over (partition by id order by score desc, entry) as place from usable where score >= 0.55::float and top < 0.85::float)
+    select id, entry, round(score::double, 5) as score from low where place <= 5""")
+def review_candidates(spark, part: DataFrame) -> DataFrame:
+    given = _inputs(spark, part)
+    none = F.array().cast("array<struct<provider:string,id:string>>")
+    asked = part.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.array(F.lit("x.cbz")).alias("files"), none.alias("links"))
+    _, put_up = resolution.resolve(**given | {"releases": asked})
+    return put_up.select("id", "entry", F.round(F.col("score").cast("double"), 5).alias("score"))

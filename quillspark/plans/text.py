@@ -9,6 +9,7 @@ from quillspark.functions import formats as fm
 from quillspark.functions import ids, spans, titles
 from quillspark.functions import values as va
 from quillspark.functions.similarity import best_dice, dice
+from quillspark.operators import aggregates as ag
 from quillspark.operators import joins, search
 from quillspark.plans.registry import query
 
@@ -49,6 +50,17 @@ def title_spans(titles: DataFrame) -> DataFrame:
     return rows.select("id", text("s.volumes").alias("volumes"), text("s.chapters").alias("chapters"), spans.max_end(F.col("s.volumes")).alias("highest_volume"))
 
 
+@query(f"""with stems as (select id % 97 as id, regexp_replace(title, {_q(spans.GROUPS)}, ' ', 'g') as stem from titles), {_merged_sql(_VOLUMES, "vol")}, {_merged_sql(_CHAPTERS, "cha")}
+    select t.id as series_id, coalesce(vol.t, '') as volumes, coalesce(cha.t, '') as chapters, vol.top as highest_volume, cha.top as highest_chapter
+    from (select distinct id % 97 as id from titles) t left join vol on vol.id = t.id left join cha on cha.id = t.id""")
+def coverage_without_spans(titles: DataFrame) -> DataFrame:
+    none = F.lit(None).cast(spans.SPANS)
+    rows = titles.select((F.col("id") % 97).alias("series_id"), "title", F.lit(None).cast("array<string>").alias("files"), none.alias("volume_span"), none.alias("chapter_span"), F.col("id").alias("observed_at"), F.col("id").alias("posted_at"))
+    out = ag.coverage(ag.with_derived_spans(rows))
+    text = lambda c: F.array_join(F.transform(c, spans.human), ";")
+    return out.select("series_id", text("volumes").alias("volumes"), text("chapters").alias("chapters"), "highest_volume", "highest_chapter")
+
+
 @query("""select id, case when id % 4 = 0 then 2 when id % 4 = 1 then 1 else 0 end as n, case when id % 4 < 2 then (id % 50)::double + 3 end as top from series""")
 def spans_from_json(series: DataFrame) -> DataFrame:
     n = F.col("id") % 50
@@ -131,23 +143,63 @@ def catalog_search(series: DataFrame) -> DataFrame:
     return out.select("id", "hit", F.round(F.col("score").cast("double"), 4).alias("score"))
 
 
-@query("""select id from (select id, regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+') as t from queue)
+#: Tokens of a text without combining marks, as the index has them.
+_TOKENS = "list_filter(regexp_split_to_array(strip_accents(lower({x})), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+
+
+@query(f"""select id from (select id, {_TOKENS.format(x="text")} as t from queue)
     where list_contains(t, 'the') and len(list_filter(t, lambda x: starts_with(x, 'wh'))) > 0""")
 def text_search_prefix(queue: DataFrame) -> DataFrame:
-    return queue.where(search.text_match(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda t: t != ""), "the wh")).select("id")
+    return queue.where(search.text_match(search.tokens(F.col("text")), "Thé wh")).select("id")
 
 
-@query("""select id from queue where contains(' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''), ' ') || ' ', ' of the ') and lang = 'en'""")
+@query(f"""select id from queue where contains(' ' || array_to_string({_TOKENS.format(x="text")}, ' ') || ' ', ' of the ')""")
 def text_search_phrase(queue: DataFrame) -> DataFrame:
-    index = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    return queue.where("lang = 'en'").where(search.phrase_match(index, "of-the")).select("id")
+    return queue.where(search.phrase_match(search.tokens(F.col("text")), "of-the")).select("id")
+
+
+#: Titles of which every third has an accent that the query lacks, or the other way round.
+_ACCENTED = "case when id % 3 = 0 then replace(title, 'a', 'á') when id % 3 = 1 then replace(title, 'o', 'ö') else title end"
+
+
+@query(f"""select id from (select id, {_TOKENS.format(x=_ACCENTED)} as t from series) where list_contains(t, 'almond') and len(list_filter(t, lambda x: starts_with(x, 'c'))) > 0""")
+def text_search_accents(series: DataFrame) -> DataFrame:
+    return series.where(search.text_match(search.tokens(F.expr(_ACCENTED)), "Álmönd Ç")).select("id")
+
+
+@query(f"""with q as (select {_grams("'green almond'")} as g),
+    r as (select id, title, updated_at, {_TOKENS.format(x="title || ' ' || alternate")} as tok, greatest({_DICE.format(a="q.g", b=_grams("title"))}, {_DICE.format(a="q.g", b=_grams("alternate"))}) as d from series, q),
+    s as (select id, title, updated_at, list_contains(tok, 'green') and len(list_filter(tok, lambda t: starts_with(t, 'almond'))) > 0 as hit, d from r),
+    o as (select id, title, row_number() over (order by (d + case when hit then 0.5 else 0 end)::float desc, updated_at desc nulls last, id)::int as rank from s where hit or d::float >= 0.3::float)
+    select id, title, rank from o where rank between 21 and 40""")
+def catalog_search_page(series: DataFrame) -> DataFrame:
+    rows = series.select("id", "title", F.array("alternate").alias("alternates"), F.lit(None).cast("string").alias("description"), F.col("updated_at").alias("last_release_at"))
+    found = search.catalog_search(rows, "Green almond", "green almond")
+    return search.search_page(found, series, 2, 20).select("id", "title", "rank")
+
+
+_BM25 = """with t as (select id, title, tokens as t from (select id, title, {tokens} as tokens from series)),
+    f as (select id, title, len(t) as n, len(list_filter(t, lambda x: x = 'green')) as a, len(list_filter(t, lambda x: x = 'almond')) as b from t),
+    e as (select count(*) as n, avg(n) as mean, count_if(a > 0) as da, count_if(b > 0) as db from f),
+    s as (select f.id, f.title, greatest(ln((e.n - da + 0.5) / (da + 0.5)), 1e-6) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * f.n / mean)) + greatest(ln((e.n - db + 0.5) / (db + 0.5)), 1e-6) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * f.n / mean)) as score from f, e where a > 0 and b > 0)""".format(tokens=_TOKENS.format(x="title"))
+
+
+@query(f"{_BM25} select id, round(score, 5) as rank_score from s order by score desc, id limit 2000")
+def relevance_pool(series: DataFrame) -> DataFrame:
+    return search.relevance(series.select("id", "title"), "title", "green Almond").select("id", F.round("rank_score", 5).alias("rank_score"))
+
+
+@query(f"""{_BM25}, p as (select id, title from s order by score desc, id limit 2000), q as (select {_grams("'green Almond'")} as g), d as (select id, {_DICE.format(a="q.g", b=_grams("title"))} as d from p, q)
+    select id, round(d, 5) as dice from d order by d desc, id limit 10""")
+def fuzzy_candidates(series: DataFrame) -> DataFrame:
+    return search.fuzzy_candidates(series.select("id", "title"), "title", "green Almond", 10).select("id", F.round(F.col("dice").cast("double"), 5).alias("dice"))
 
 
 @query("""with w as (select id, list_distinct(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]+'), lambda x: x <> '')) as t from series),
-    q as (select item_id as query_id, list_distinct(list_filter(regexp_split_to_array(lower(a || ' ' || b), '[^a-z0-9]+'), lambda x: x <> '')) as t from (select s.id as item_id, split_part(title, ' ', 1) as a, split_part(title, ' ', 2) as b from series s where s.id % 50 = 0))
+    q as (select item_id as query_id, list_distinct(list_filter(regexp_split_to_array(lower(a || ' ' || b), '[^a-z0-9]+'), lambda x: x <> '')) as t from (select s.id as item_id, split_part(title, ' ', 1) as a, split_part(title, ' ', 2) as b from series s where s.id % 20 = 0))
     select query_id, w.id from q join w on len(list_intersect(q.t, w.t)) = len(q.t)""")
 def search_candidates(series: DataFrame) -> DataFrame:
-    asked = series.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.concat_ws(" ", F.get(F.split("title", " "), F.lit(0)), F.get(F.split("title", " "), F.lit(1))).alias("text"))
+    asked = series.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.concat_ws(" ", F.get(F.split("title", " "), F.lit(0)), F.get(F.split("title", " "), F.lit(1))).alias("text"))
     return search.candidates(asked, search.token_index(series, "id", "title"))
 
 
@@ -227,6 +279,18 @@ def parsed_values(part: DataFrame) -> DataFrame:
     return part.select(F.col("p_partkey").alias("id"), size.alias("bytes"), count.alias("count"), va.normal_rating(F.col("p_size").cast("double")).alias("rating"))
 
 
+_RANGE = "case p_partkey % 8 when 0 then '24h' when 1 then concat(p_size, 'd') when 2 then ' 15M ' when 3 then concat(p_size, 'W') when 4 then 'garbage' when 5 then concat('-', p_size, 'h') when 6 then concat(p_size, 's') end"
+
+
+@query(f"""with r as (select p_partkey as id, p_size as buckets, trim({_RANGE}) as t from part),
+    n as (select id, buckets, try_cast(regexp_extract(t, '^([+-]?[0-9]+)[A-Za-z]$', 1) as bigint) as n, lower(right(t, 1)) as u from r),
+    s as (select id, buckets, coalesce(case when n is not null and u in ('s', 'm', 'h', 'd', 'w') then least(greatest(n * case u when 's' then 1 when 'm' then 60 when 'h' then 3600 when 'd' then 86400 else 604800 end, 60), 7776000) end, 86400)::bigint as seconds from n)
+    select id, seconds, ceil(seconds / least(greatest(buckets * 5, 4), 168))::bigint as width from s""")
+def range_widths(part: DataFrame) -> DataFrame:
+    rows = part.select(F.col("p_partkey").alias("id"), va.range_seconds(F.expr(_RANGE)).alias("seconds"), (F.col("p_size") * 5).alias("buckets"))
+    return rows.select("id", "seconds", va.bucket_width(F.col("seconds"), F.col("buckets")).alias("width"))
+
+
 @query("select o_orderkey as id, cast(floor(epoch(o_orderdate)) as bigint) + 3600 as seconds from orders")
 def mail_dates(orders: DataFrame) -> DataFrame:
     written = F.concat(F.date_format(F.col("o_orderdate").cast("timestamp"), "E, dd MMM yyyy HH:mm:ss"), F.lit(" -0100"))

@@ -32,11 +32,11 @@ VIEWS = {
                case when p_partkey % 5 = 0 then null else concat('h', p_partkey % 100) end as metadata_hash,
                1700000000 + (p_partkey * 37) % 5000 as fetched_at,
                case when p_partkey % 11 = 0 then 0 else 1700000000 + (p_partkey * 53) % 700 end as updated_at
-        from part where p_partkey % 10 <> 3""",
+        from part""",
     "releases": """
         select l_orderkey * 8 + l_linenumber as id, concat('feed', l_suppkey % 7) as source_name, concat('x', l_orderkey, '-', l_linenumber) as external_id,
                concat('https://feed.example/view/', l_orderkey * 8 + l_linenumber) as link,
-               case when l_linenumber % 4 = 0 then null else l_partkey end as series_id,
+               case when l_linenumber % 4 = 0 then null when l_partkey % 10 = 3 then l_partkey + 100000000 else l_partkey end as series_id,
                case when l_linenumber % 4 = 0 then case when l_returnflag = 'N' then 'unresolved' when l_returnflag = 'A' then 'ambiguous' else 'review_pending' end
                     when l_tax > 0.07 then 'rejected' when l_linestatus = 'F' then 'resolved' else 'standalone' end as resolution_status,
                case when l_tax > 0.07 then 'rejected' when l_linenumber % 3 = 0 then 'manual' when l_linenumber % 3 = 1 then 'known_external_id' when l_discount > 0.05 then 'fuzzy_title' end as resolution_path,

@@ -11,6 +11,8 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from quillspark.functions import ids
 from quillspark.functions.values import parse_size
@@ -172,21 +174,15 @@ class _Detail(_Walker):
 
 
 def _walked(html: Column, schema: str, walk) -> Column:
+    kind = to_arrow_type(_parse_datatype_string(schema))  # needs a session, which tasks have none of
+
     @F.arrow_udf(schema)
     def parse(pages: pa.Array) -> pa.Array:
-        kind = pa.array([], _arrow(schema)).type
         return pa.array([None if p is None else walk(p) for p in pages.to_pylist()], kind)
 
     return parse(html)
 
 
-def _arrow(schema: str) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import _parse_datatype_string
-
-    return to_arrow_type(_parse_datatype_string(schema))
-
-
 def _listing(page: str) -> list[dict]:
     walker = _Listing()
     walker.feed(page)

@@ -22,26 +22,55 @@ def _fs(spark: SparkSession, path: str):
     return jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def publish(df: DataFrame, path: str, least: int = LEAST_ROWS) -> int:
-    """Writes beside ``path``, checks the number of rows, swaps by rename; returns the rows.
-
-    Works on any file system that Spark writes to.  Readers of the old
-    snapshot see it until the rename.
+def _read_pointer(spark: SparkSession, path: str) -> str | None:
+    """Name of the current version of a published table, null if there is none."""
+    pointer, fs = _fs(spark, f"{path.rstrip('/')}/CURRENT")
+    if not fs.exists(pointer):
+        return None
+    source = fs.open(pointer)
+    try:
+        return bytes(source.readAllBytes()).decode()
+    finally:
+        source.close()
+
+
+def current(spark: SparkSession, path: str) -> DataFrame | None:
+    """The published table, null if nothing was published yet."""
+    version = _read_pointer(spark, path)
+    return None if version is None else spark.read.parquet(f"{path.rstrip('/')}/{version}")
+
+
+def publish(df: DataFrame, path: str, least: int = LEAST_ROWS, keep: int = 2) -> int:
+    """Writes a new version below ``path``, checks its number of rows, then points to it; returns the rows.
+
+    A version is a folder of its own and never changes; the small pointer file
+    is replaced by one rename, so there is a table at any moment and a crash
+    leaves the former one.  Readers that have opened a version keep it: the
+    newest ``keep`` versions stay, older ones go.  Works on any file system
+    that Spark writes to.
     """
-    spark = df.sparkSession
-    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
-    df.write.parquet(staged)
-    rows = spark.read.parquet(staged).count()
-    new, fs = _fs(spark, staged)
+    spark, base = df.sparkSession, path.rstrip("/")
+    before = _read_pointer(spark, base)
+    number = 1 + (int(before.split("-")[1]) if before else 0)
+    version = f"version-{number:012d}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{base}/{version}")
+    rows = spark.read.parquet(f"{base}/{version}").count()
+    made, fs = _fs(spark, f"{base}/{version}")
     if rows < least:
-        fs.delete(new, True)
+        fs.delete(made, True)
         raise BrokenSnapshot(f"{rows} rows, at least {least} expected")
-    current, _ = _fs(spark, path)
-    old, _ = _fs(spark, f"{staged}.old")
-    if fs.exists(current):
-        fs.rename(current, old)
-    fs.rename(new, current)
-    fs.delete(old, True)
+    staged, _ = _fs(spark, f"{base}/.CURRENT-{uuid.uuid4().hex}")
+    out = fs.create(staged)
+    out.write(bytearray(version.encode()))
+    out.close()
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    overwrite = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    overwrite[0] = hadoop.Options.Rename.OVERWRITE
+    files = hadoop.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    files.rename(fs.makeQualified(staged), fs.makeQualified(_fs(spark, f"{base}/CURRENT")[0]), overwrite)
+    versions = sorted(f.getPath().getName() for f in fs.listStatus(made.getParent()) if f.getPath().getName().startswith("version-") and int(f.getPath().getName().split("-")[1]) <= number)
+    for name in versions[:-keep]:
+        fs.delete(_fs(spark, f"{base}/{name}")[0], True)
     return rows
 
 
@@ -55,8 +84,3 @@ def by_id(dump: DataFrame, wanted: DataFrame) -> DataFrame:
 def by_source(dump: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Index of the ids of other providers: ``provider``, ``external_id``, ``id``; active records first."""
     return unpivot_ids(dump, "id", columns, "state")
-
-
-def read_table(spark: SparkSession, table: str, url: str, column: str, bounds: tuple[int, int], parts: int) -> DataFrame:
-    """A database table over JDBC, split by ranges of a key."""
-    return spark.read.jdbc(url, table, column=column, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=parts)

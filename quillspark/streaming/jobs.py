@@ -26,12 +26,8 @@ def poll_feeds(spark: SparkSession, incoming: str, table: str, checkpoint: str,
         items = feeds.items_of(batch.withColumnRenamed("value", "body"))
         found = feeds.releases_of(items, source_name).withColumn("files", F.lit(None).cast("array<string>"))
         found = merges.latest(found, ["source_kind", "external_id"], F.col("posted_at"))
-        try:
-            stored = batch.sparkSession.read.parquet(table)
-        except Exception as e:  # the first batch has no table yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            stored = found.limit(0)
+        stored = snapshot.current(batch.sparkSession, table)
+        stored = found.limit(0) if stored is None else stored
         made = merges.upsert_releases(stored, found, ["title", "link", "magnet", "torrent_url", "info_hash", "size_bytes", "posted_at"], ["files", "description_html", "external_links"])
         snapshot.publish(made, table, least=0)
 
@@ -55,12 +51,8 @@ def follow_changes(spark: SparkSession, changes: str, schema: str, target: str,
 
     def merge(batch: DataFrame, _: int) -> None:
         new = merges.latest(batch.where("updated_at > 0"), ["id"], F.col("updated_at"))
-        try:
-            stored = batch.sparkSession.read.parquet(target)
-        except Exception as e:  # the first batch has no table yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            stored = new.limit(0)
+        stored = snapshot.current(batch.sparkSession, target)
+        stored = new.limit(0) if stored is None else stored
         both = stored.unionByName(new)
         snapshot.publish(merges.latest(both, ["id"], F.col("updated_at")), target, least=0)
 
