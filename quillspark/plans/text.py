@@ -12,6 +12,8 @@ from quillspark.functions.similarity import best_dice, dice
 from quillspark.operators import aggregates as ag
 from quillspark.operators import joins, search
 from quillspark.plans.registry import query
+from quillspark.sources import feeds
+from quillspark.sources import pages as pages_
 
 
 def _q(pattern: str) -> str:
@@ -87,26 +89,33 @@ _SQUEEZE = r"regexp_replace(regexp_replace({x}, '\s+', ' ', 'g'), '^[\s\-,_/|+]+
 @query(f"""with stripped as (select id, {_strip_sql()} as s from titles),
     halves as (select id, list_filter(list_transform(case when contains(s, '|') or contains(s, ' / ') then regexp_split_to_array(s, {_q(titles.ALTERNATES)}) else [s] end, lambda x: {_SQUEEZE.format(x="x")}), lambda x: x <> '') as h from stripped),
     heads as (select id, h, list_filter(list_transform(list_filter(h, lambda x: contains(x, ' - ')), lambda x: trim(split_part(x, ' - ', 1))), lambda x: len(x) >= 2) as k from halves),
-    mixed as (select id, h, list_filter(list_distinct(k), lambda x: not list_contains(h, x)) as k from heads),
+    mixed as (select id, h, list_filter(k, lambda x, i: list_position(k, x) = i and not list_contains(h, x)) as k from heads),
     cut as (select id, h, k, list_filter(list_transform(list_filter(list_concat(h, k), lambda x: regexp_matches(x, {_q(titles.CHAPTER_SUFFIX)})), lambda x: trim(regexp_replace(x, {_q(titles.CHAPTER_SUFFIX)}, ''))), lambda x: len(x) >= 2) as c from mixed),
-    every as (select id, len(h) as n, list_concat(h, k, list_filter(list_distinct(c), lambda x: not list_contains(list_concat(h, k), x))) as q from cut)
-    select e.id, array_to_string(list_sort(case when len(q) = 0 then [t.title] else q end), '#') as queries, len(q)::int as n_queries, (len(q) - n)::int as n_fallbacks from every e join titles t on t.id = e.id""")
+    every as (select id, len(h) as n, list_concat(h, k, list_filter(c, lambda x, i: list_position(c, x) = i and not list_contains(list_concat(h, k), x))) as q from cut),
+    known as (select e.id, n, case when len(q) = 0 then [t.title] else q end as q, len(q) as found from every e join titles t on t.id = e.id),
+    placed as (select id, n, found, list_sort(list_transform(q, lambda x, i: {{'size': -strlen(x), 'place': i, 'text': x}})) as q from known)
+    select id, array_to_string(list_transform(q, lambda x: concat(x.text, '@', case when x.place <= n or found = 0 then '1.0' else '0.9' end)), '#') as queries, found::int as n_queries from placed""")
 def cleaned_titles(titles: DataFrame) -> DataFrame:
     from quillspark.functions.titles import clean_title
 
     rows = titles.select("id", clean_title(F.col("title")).alias("c"))
-    texts = F.transform("c.queries", lambda q: q["text"])
+    texts = F.transform("c.queries", lambda q: F.concat(q["text"], F.lit("@"), F.format_string("%.1f", q["weight"])))
     empty = F.array_contains("c.rules", "empty_fallback")
-    discounted = F.size(F.filter("c.queries", lambda q: q["weight"] < 1))
-    return rows.select("id", F.array_join(F.array_sort(texts), "#").alias("queries"), F.when(empty, 0).otherwise(F.size(texts)).alias("n_queries"), discounted.alias("n_fallbacks"))
+    return rows.select("id", F.array_join(texts, "#").alias("queries"), F.when(empty, 0).otherwise(F.size(texts)).alias("n_queries"))
 
 
-@query("select id, case when contains(base, ' ') then 2 else 1 end as n from titles where len(base) >= 3")
+@query(r"""with g as (select id, [base, upper(base), 'ab', case when contains(base, ' ') then concat(base, '  x') end, 'éa', 'é', title, concat(base, ' 1'), concat(base, ' 2'), concat(base, ' 3'), concat(base, ' 4'), concat(base, ' 5'), concat(base, ' 6'), concat(base, ' 7'), concat(base, ' 8')] as l from titles),
+    n as (select id, list_transform(list_filter(l, lambda t: t is not null), lambda t: trim(regexp_replace(t, '\s+', ' ', 'g'))) as l from g),
+    k as (select id, list_filter(l, lambda t: len(t) >= case when strlen(t) = len(t) then 3 else 2 end) as l from n),
+    w as (select id, l, list_transform(l, lambda t: lower(t)) as low from k),
+    u as (select id, list_filter(l, lambda t, i: list_position(low, lower(t)) = i) as l from w)
+    select id, array_to_string(l[1:12], '#') as queries, greatest(len(l) - 12, 0)::int as dropped from u""")
 def search_query_set(titles: DataFrame) -> DataFrame:
     from quillspark.functions.titles import query_set
 
-    several = F.array(F.col("base"), F.upper("base"), F.lit("ab"), F.when(F.contains("base", F.lit(" ")), F.concat(F.col("base"), F.lit("  x"))), F.lit("é"))
-    return titles.where(F.length("base") >= 3).select("id", F.size(query_set(several)["queries"]).alias("n"))
+    numbered = [F.concat("base", F.lit(f" {i}")) for i in range(1, 9)]
+    several = F.array(F.col("base"), F.upper("base"), F.lit("ab"), F.when(F.contains("base", F.lit(" ")), F.concat(F.col("base"), F.lit("  x"))), F.lit("éa"), F.lit("é"), F.col("title"), *numbered)
+    return titles.select("id", query_set(several).alias("s")).select("id", F.array_join("s.queries", "#").alias("queries"), "s.dropped")
 
 
 # --- similarity and search ----------------------------------------------------
@@ -225,6 +234,40 @@ def page_address(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.coalesce(F.parse_url("url", F.lit("AUTHORITY")), F.lit("")).alias("host"), path.alias("path"))
 
 
+_LISTING = """concat('<table class="torrent-list"><tbody><tr><td><a href="/view/', p_partkey, '" title="', p_name, ' &amp; more">x</a></td><td class="text-center"><a href="/download/', p_partkey, '.torrent">t</a><a href="magnet:?xt=urn:btih:',
+    upper(md5(p_name)), '&amp;dn=x">m</a></td><td class="text-center">', p_size, ' KiB</td>', case when p_partkey % 7 = 0 then '' else concat('<td data-timestamp="', 1700000000 + p_partkey, '"></td>') end, '</tr></tbody></table>')"""
+
+
+@query("""select p_partkey::varchar as external_id, concat(p_name, ' & more') as title, concat('https://feed.example/view/', p_partkey) as link, md5(p_name) as info_hash, concat('https://feed.example/download/', p_partkey, '.torrent') as torrent_url,
+    p_size::bigint * 1024 as size_bytes, 1700000000 + p_partkey as posted from part where p_partkey % 7 <> 0""")
+def listing_rows(part: DataFrame) -> DataFrame:
+    rows = pages_.parse_listing(part.select(F.expr(_LISTING).alias("html")), "feed", "https://feed.example")
+    return rows.select("external_id", "title", "link", "info_hash", "torrent_url", "size_bytes", F.unix_timestamp("posted_at").alias("posted"))
+
+
+_DETAIL = """concat('<h3 class="panel-title"> ', p_name, '</h3><div class="col-md-1">File size:</div><div>', p_size, ' MB</div>', case when p_partkey % 5 = 0 then '' else concat('<div class="col-md-1">Info hash:</div><div><kbd>', upper(md5(p_name)), '</kbd></div>') end,
+    '<div id="torrent-description">', p_type, ' https://anilist.co/manga/', p_partkey, '</div><div class="torrent-file-list"><ul><li><a class="folder">d</a><ul><li>', p_brand, '.cbz<span>1</span></li></ul></li></ul></div><div id="comments">https://myanimelist.net/manga/', p_size, '</div>')"""
+
+
+@query("""select p_partkey as id, p_name as title, md5(p_name) as info_hash, p_size::bigint * 1000000 as size_bytes, concat(p_brand, '.cbz') as files, concat(p_type, ' https://anilist.co/manga/', p_partkey) as description_html,
+    concat('https://anilist.co/manga/', p_partkey) as own, concat('https://myanimelist.net/manga/', p_size) as suggested from part where p_partkey % 5 <> 0""")
+def detail_pages(part: DataFrame) -> DataFrame:
+    rows = pages_.parse_detail(part.select(F.col("p_partkey").alias("id"), F.expr(_DETAIL).alias("html")), "https://feed.example")
+    return rows.select("id", "title", "info_hash", "size_bytes", F.array_join("files", ";").alias("files"), "description_html", F.col("external_links.anilist").alias("own"), F.col("comment_suggested_links.mal").alias("suggested"))
+
+
+_ITEM = """concat('<item><title><![CDATA[', p_name, ' <b>]]></title><link>https://feed.example/download/', p_partkey, '.torrent</link><guid>https://feed.example/view/', p_partkey, '</guid><pubDate>', case when p_partkey % 6 = 0 then 'never' else 'Tue, 02 Jan 2024 03:04:05 -0000' end,
+    '</pubDate><x:size>', p_size, ' GiB</x:size><x:infoHash>', upper(md5(p_name)), '</x:infoHash></item>')"""
+
+
+@query("""select p_partkey::varchar as external_id, concat(p_name, ' <b>') as title, p_size::bigint * 1073741824 as size_bytes, md5(p_name) as info_hash, concat('https://feed.example/download/', p_partkey, '.torrent') as torrent_url, 1704164645::bigint as posted
+    from part where p_partkey % 6 <> 0""")
+def feed_items(part: DataFrame) -> DataFrame:
+    bodies = part.groupBy((F.col("p_partkey") % 50).alias("feed")).agg(F.array_join(F.collect_list(F.expr(_ITEM)), "").alias("items"))
+    items = feeds.items_of(bodies.select(F.concat(F.lit("<rss><channel>"), F.col("items"), F.lit("</channel></rss>")).alias("body")))
+    return feeds.releases_of(items, "feed").select("external_id", "title", "size_bytes", "info_hash", "torrent_url", F.unix_timestamp("posted_at").alias("posted"))
+
+
 _URL = "case p_partkey % 6 when 0 then concat('https://anilist.co/manga/', p_partkey, '/x?y#z') when 1 then concat('https://www.mangaupdates.com/series.html?id=', p_partkey, '#f') when 2 then concat('https://mangadex.org/title/u', p_partkey) when 3 then concat('https://mangabaka.org/', p_partkey, '/report') when 4 then concat('https://example.org/manga/', p_partkey) else concat('https://MyAnimeList.net/manga/', p_partkey, '/') end"
 
 
