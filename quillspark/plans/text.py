@@ -12,7 +12,7 @@ from quillspark.functions.similarity import best_dice, dice
 from quillspark.operators import aggregates as ag
 from quillspark.operators import joins, search
 from quillspark.plans.registry import query
-from quillspark.sources import feeds
+from quillspark.sources import feeds, walks
 from quillspark.sources import pages as pages_
 
 
@@ -268,6 +268,47 @@ def feed_items(part: DataFrame) -> DataFrame:
     return feeds.releases_of(items, "feed").select("external_id", "title", "size_bytes", "info_hash", "torrent_url", F.unix_timestamp("posted_at").alias("posted"))
 
 
+#: Pages of a walk: query q, page p; some pages are empty and some failed.
+_WALK = "select p_partkey as id, p_name as name, p_size % 4 as query, 1 + p_partkey % 30 as page, (p_size % 4 * 11 + 1 + p_partkey % 30) % 27 = 0 as void, (p_size % 4 * 5 + 1 + p_partkey % 30) % 29 = 0 as failed from part"
+
+
+def _walk_pages(spark, part: DataFrame) -> DataFrame:
+    rows = spark.sql(_WALK.replace("from part", "from {part}"), part=part)
+    row = F.expr("""concat('<tr><td><a href="/view/', id % 700, '" title="', name, '">x</a></td><td data-timestamp="', 1700000000 + id % 700, '"></td></tr>')""")
+    body = F.concat(F.lit('<table class="torrent-list"><tbody>'), F.array_join(F.collect_list(F.when(~F.col("void"), row)), ""), F.lit("</tbody></table>"))
+    return rows.groupBy("query", "page").agg(body.alias("html"), F.max("failed").alias("failed"))
+
+
+_WALKED = f"""w as ({_WALK}), ends as (select query, min(case when void or failed then page end) as stop from w group by query),
+    rows_ as (select w.*, (id % 700)::varchar as external_id from w join ends using (query) where not void and not failed and page <= 20 and (stop is null or page < stop))"""
+
+
+@query(f"with {_WALKED} select external_id, min(page) as page from rows_ group by external_id")
+def searched_pages(spark, part: DataFrame) -> DataFrame:
+    return walks.walked(_walk_pages(spark, part), "feed", "https://feed.example", ["query"], 20).select("external_id", "page")
+
+
+@query(f"""with {_WALKED}, q as (select query, bool_or(failed) as f from w where page = 1 group by query)
+    select (select count(*) from q) as queries, (select count(*) from q where f) as failed_queries, (select count(distinct (query, page)) from w where not failed and page <= 20) as pages,
+    case when (select count(*) from q) > 0 and (select bool_and(f) from q) then 'error' else 'ok' end as status""")
+def search_run(spark, part: DataFrame) -> DataFrame:
+    return walks.searched(_walk_pages(spark, part), "feed", "https://feed.example", 20)[1]
+
+
+@query(f"""with w as ({_WALK}), o as (select * from w where query = 1), stop as (select min(case when void or failed then page end) as stop from o where page <= 25)
+    select distinct (id % 700)::varchar as external_id from o, stop where not void and not failed and page <= 25 and (stop is null or page < stop) and id % 700 % 3 <> 0""")
+def backfilled_pages(spark, part: DataFrame) -> DataFrame:
+    known = part.select((F.col("p_partkey") % 700).alias("k")).where("k % 3 = 0").select(F.col("k").cast("string").alias("external_id")).distinct()
+    return walks.backfilled(_walk_pages(spark, part).where("query = 1").drop("query"), known, "feed", "https://feed.example", 25).select("external_id")
+
+
+@query("""with c as (select id, source_name, observed_at from releases order by observed_at desc, id desc limit 5000),
+    f as (select source_name, max((observed_at, id)) as first from c group by source_name), b as (select source_name, row_number() over (order by first desc)::int as batch from f)
+    select id, source_name, batch from c join b using (source_name)""")
+def reenrich_batches(releases: DataFrame) -> DataFrame:
+    return walks.to_reenrich(releases.withColumn("source_kind", F.lit("feed"))).select("id", "source_name", "batch")
+
+
 _URL = "case p_partkey % 6 when 0 then concat('https://anilist.co/manga/', p_partkey, '/x?y#z') when 1 then concat('https://www.mangaupdates.com/series.html?id=', p_partkey, '#f') when 2 then concat('https://mangadex.org/title/u', p_partkey) when 3 then concat('https://mangabaka.org/', p_partkey, '/report') when 4 then concat('https://example.org/manga/', p_partkey) else concat('https://MyAnimeList.net/manga/', p_partkey, '/') end"
 
 

@@ -197,13 +197,14 @@ def _detail(page: str) -> dict:
     return walker.out | {"labels": list(walker.out["labels"].items())}
 
 
-def parse_listing(pages: DataFrame, source_name: str, base: str, html: str = "html") -> DataFrame:
-    """Releases of listing pages; rows without title, id or time are dropped."""
-    rows = pages.select(F.explode(_walked(F.col(html), LISTING, _listing)).alias("r"))
+def parse_listing(pages: DataFrame, source_name: str, base: str, html: str = "html", keep: list[str] | None = None) -> DataFrame:
+    """Releases of listing pages, with the columns to ``keep``; rows without title, id or time are dropped."""
+    rows = pages.select(*(keep or []), F.explode(_walked(F.col(html), LISTING, _listing)).alias("r"))
     title = F.trim("r.title")
     id = ids.post_id(F.col("r.href"))
     sizes = F.filter(F.transform("r.cells", parse_size), lambda s: s.isNotNull())
     out = rows.select(
+        *(keep or []),
         F.lit("feed").alias("source_kind"),
         F.lit(source_name).alias("source_name"),
         id.alias("external_id"),
