@@ -88,11 +88,17 @@ def with_keys(lines: DataFrame) -> DataFrame:
 
 
 def _band(start: Column) -> Column:
-    """Hash of the first four distinct hashes of ``ring`` from a place on; repeats are rare, so more is looked at only where there are any."""
-    four, twelve = F.slice("round", start, F.lit(WIDTH)), F.array_distinct(F.slice("round", start, F.lit(3 * WIDTH)))
+    """Hash of the first four distinct hashes of ``ring`` from a place on.
+
+    Repeats stand side by side, and are rare: more is looked at only where there are any.
+    """
+    four = [F.get("round", start + (k - 1)) for k in range(WIDTH)]
+    apart = (four[0] != four[1]) & (four[1] != four[2]) & (four[2] != four[3])
+    twelve = F.array_distinct(F.slice("round", start, F.lit(3 * WIDTH)))
     whole = F.array_distinct(F.concat(F.slice("ring", start, F.size("ring")), F.col("ring")))
+    # the hash of an array is that of its elements
     band = (
-        F.when(F.size(F.array_distinct(four)) == WIDTH, F.xxhash64(four))
+        F.when(apart & (F.size("ring") >= WIDTH), F.xxhash64(*four))
         .when(F.size(twelve) >= WIDTH, F.xxhash64(F.slice(twelve, 1, WIDTH)))
         .otherwise(F.xxhash64(F.slice(whole, 1, WIDTH)))
     )
