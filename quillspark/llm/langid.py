@@ -159,7 +159,8 @@ def language_of(docs: DataFrame, name: str, text: str, model: LanguageModel) ->
             names=["lang_pred", "score", "languages"],
         )
 
-    return docs.withColumn(name, predict(F.col(text)))
+    # so declared, it is run once a row, however many later columns and filters use it
+    return docs.withColumn(name, predict.asNondeterministic()(F.col(text)))
 
 
 def held_out(id: Column) -> Column:
