@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Words remembered by one Python worker, and the longest of them; only a speed and memory matter.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 80_000
 LONG_WORD = 64
 
 
