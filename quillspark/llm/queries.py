@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import chat, langid, licences, lines, mixing, pieces, simhash, sketch, tokencount, vectors
+from quillspark.llm import chat, langid, licences, lines, manifest, mixing, pieces, quality, simhash, sketch, tokencount, vectors, whitening
 from quillspark.llm.graph import spark_tables
 
 
@@ -86,5 +86,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, WEIGHTS, 0.6, max_epochs=2, seed=42)
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_token_counts, op3_language_id, op4_fingerprints, op5_simhash, op6_licences, op7_line_dedup, op8_sentencepiece, op9_chat_format, op10_mixing)}
-ORACLE = {"op6_licences": licences.scan_sql(), "op10_mixing": mixing.mix_sql(WEIGHTS, "0.6", 2, 42)}
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark_tables(spark, sf_dir, "documents").select("doc_id", "text")
+    rated = quality.rate_documents(docs, spark_tables(spark, sf_dir, "labels").select("doc_id", "quality"))
+    score = F.col("quality_score")
+    return rated.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), score.alias("score"), (score >= quality.CUTOFF).cast("int").alias("predicted"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = whitening.whiten(spark_tables(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    rows = made.select("vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c"))
+    return rows.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "c.whitened", "c.explained", "identity_error")
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = manifest.manifest(spark_tables(spark, sf_dir, "documents"))
+    return made.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_token_counts, op3_language_id, op4_fingerprints, op5_simhash, op6_licences, op7_line_dedup, op8_sentencepiece, op9_chat_format, op10_mixing, op11_quality, op12_whitening, op13_manifest)}
+ORACLE = {"op6_licences": licences.scan_sql(), "op10_mixing": mixing.mix_sql(WEIGHTS, "0.6", 2, 42), "op13_manifest": manifest.manifest_sql()}
