@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import langid, lines, mixing, pieces, simhash
+from quillspark.llm import graph, langid, lines, mixing, pieces, simhash
 from quillspark.llm.queries import WEIGHTS, piece_model
 
 #: Share of the tokens that reach the mixing stage which it hands on.
@@ -48,8 +48,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole ``documents`` table."""
+    """All stages over the whole ``documents`` table.
+
+    Each stage but the last runs once: its rows are written to the shared
+    folder and read back, and what it had read or written besides is deleted
+    then.  The rows of the last but one stay for the result, which reads them.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    before = graph.written_so_far()
+    for _, stage in STAGES[:-1]:
+        made = stage(spark, docs, sf_dir)
+        mine = graph.written_so_far() - before
+        docs = graph.written(made, [])
+        graph.drop_written(spark, mine)
+    return STAGES[-1][1](spark, docs, sf_dir)

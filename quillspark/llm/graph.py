@@ -51,13 +51,19 @@ def written(df: DataFrame, random: list[str]) -> DataFrame:
 _WRITTEN: list[str] = []
 
 
-def drop_written(spark: SparkSession) -> int:
-    """Delete the tables that :func:`written` made; call it when their results are no longer read."""
-    n = len(_WRITTEN)
-    while _WRITTEN:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+def written_so_far() -> set[str]:
+    """Paths of the tables that :func:`written` made and nobody dropped."""
+    return set(_WRITTEN)
+
+
+def drop_written(spark: SparkSession, paths: set[str] | None = None) -> int:
+    """Delete tables that :func:`written` made, all or the named ones; call it when their results are no longer read."""
+    gone = [p for p in _WRITTEN if paths is None or p in paths]
+    for p in gone:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+        _WRITTEN.remove(p)
+    return len(gone)
 
 
 def _stamp(edges: DataFrame) -> tuple:

@@ -242,22 +242,32 @@ def without_lines(text: Column, gone: Column) -> Column:
     return F.when(gone.isNull(), text).otherwise(F.array_join(kept, "\n"))
 
 
+def _deduped(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """Each row of ``docs`` as a struct ``row``, with ``lost`` (numbers of its lines that go, or null) and ``kept`` (its text without them)."""
+    lost = cut(dropped_lines(docs, id, text)).withColumnRenamed("gone", "lost")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("said"))
+    small = _small(lost, F.size("lost"))
+    joined = rows.join(F.broadcast(lost) if small else lost, ["id", "said"], "left")
+    return joined.select("row", "lost", without_lines(F.col("row").getField(text), F.col("lost")).alias("kept"))
+
+
+def _unpacked(rows: DataFrame, names: list[str], text: str) -> list[Column]:
+    return [F.col("kept").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in names]
+
+
 def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of ``docs`` plus ``gone``, with the copied lines taken out of ``text``.
 
-    ``gone`` is null for documents that lose nothing.  Rows with the same id and
-    the same text are one document; those with other texts are other documents.
+    ``gone`` is null for documents that lose nothing, and replaces a column of
+    that name.  Rows with the same id and the same text are one document;
+    those with other texts are other documents.
     """
-    lost = cut(dropped_lines(docs, id, text))
-    lost = lost.select(F.col("id").alias("_id"), F.col("said").alias("_said"), F.col("gone").alias("_gone"))
-    small = _small(lost, F.size("_gone"))
-    rows = docs.join(F.broadcast(lost) if small else lost, (F.col(id) == F.col("_id")) & (F.xxhash64(text) == F.col("_said")), "left").drop("_id", "_said")
-    columns = [without_lines(F.col(c), F.col("_gone")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return rows.select(*columns, F.col("_gone").alias("gone"))
+    rows = _deduped(docs, id, text)
+    return rows.select(*_unpacked(rows, [c for c in docs.columns if c != "gone"], text), F.col("lost").alias("gone"))
 
 
 def dedup_documents(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without copied lines; documents that lose all that is not blank go, too."""
-    rows = dedup_lines(docs, id, text)
-    emptied = F.col("gone").isNotNull() & (F.trim(F.col(text), F.lit(" \t\r\n\x0b\x0c")) == "")
-    return rows.where(~emptied).select(*docs.columns)
+    """``docs`` without copied lines; documents that lose all that is not blank go, too.  All columns stay, whatever their names."""
+    rows = _deduped(docs, id, text)
+    emptied = F.col("lost").isNotNull() & (F.trim(F.col("kept"), F.lit(" \t\r\n\x0b\x0c")) == "")
+    return rows.where(~emptied).select(*_unpacked(rows, docs.columns, text))

@@ -162,7 +162,7 @@ def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", wi
     """``docs`` with one document of each component: the one with the smallest id, null last.
 
     Among rows of one id the hash of the text decides.  Equal rows of one id
-    count as copies: one of them stays.
+    count as copies: one of them stays.  All columns stay, whatever their names.
     """
     key = [F.col(id).isNull().alias("_null"), F.coalesce(F.col(id).cast("string"), F.lit("")).alias("_id"), F.xxhash64(text).alias("_said")]
     rows = docs.select(F.struct(key[0], F.col(id).alias("id"), key[2], key[1]).alias("row"), simhash_of(F.col(text), width).alias("fp"))
@@ -170,4 +170,5 @@ def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", wi
     first = prints.join(_components(prints, distance), "fp").groupBy("component").agg(F.min("row").alias("row"))
     kept = first.select("row._null", "row._id", "row._said")
     names = ["_null", "_id", "_said"]
-    return docs.select("*", *key).join(kept, names, "left_semi").dropDuplicates(names).select(*docs.columns)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *key)
+    return packed.join(kept, names, "left_semi").dropDuplicates(names).select("row.*")

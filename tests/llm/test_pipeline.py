@@ -73,3 +73,45 @@ def test_odd_documents_and_an_empty_table(spark, odd_docs, no_docs, sf_dir, tmp_
             assert k == 4 or now.columns == docs.columns
         ids = sorted(str(r["doc_id"]) for r in now.collect())
         assert ids == ([] if name == "none" else sorted(set(ids))) and set(ids) <= {"4", "6", "None"}
+
+
+def test_clashing_names_stay(spark, odd_docs, sf_dir, tmp_path):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    names = ["_id", "_said", "_gone", "gone", "_null", "row", "id", "said", "lost", "kept", "fp", "node", "language_id", "a.b"]
+    now = odd_docs.withColumns({c: F.lit(c) for c in names})
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        columns = now.columns
+        stage(spark, now, sf_dir).write.parquet(f"{tmp_path}/{k}")
+        now = spark.read.parquet(f"{tmp_path}/{k}")
+        assert now.columns == columns
+        assert all(r[c] == c for r in now.collect() for c in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, now, sf_dir).count() == now.count() > 0
+
+
+def test_each_stage_runs_once_and_leaves_nothing_behind(spark, sf_dir, monkeypatch):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    from quillspark.llm import graph
+
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        asked.add(1)
+        return text
+
+    first = corpus_pipeline.STAGES[0][1]
+
+    def counting(spark, docs, sf_dir):
+        return first(spark, docs, sf_dir).withColumn("text", counted.asNondeterministic()("text"))
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("language_id", counting), *corpus_pipeline.STAGES[1:]])
+    before = graph.written_so_far()
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert out.count() > 0
+    assert asked.value == first(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir).count()
+    left = graph.written_so_far() - before
+    assert len(left) == 1 and graph.drop_written(spark, left) == 1
