@@ -16,14 +16,27 @@ POOL = 2000
 K1, B = 1.2, 0.75
 
 
-# fixed values: composed letters and their base letters
-_COMPOSED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
-_BASE = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
+def _composed() -> dict[str, str]:
+    """Composed lower-case letters whose canonical decomposition is one of a-z and combining marks, with that letter."""
+    found = {}
+    for c in map(chr, range(0x80, 0x3000)):
+        first, *marks = unicodedata.normalize("NFD", c)
+        if marks and "a" <= first <= "z" and all(unicodedata.category(m).startswith("M") for m in marks):
+            found[c] = first
+    return found
+
+
+_COMPOSED = _composed()
 
 
 def plain(text: Column) -> Column:
-    """Lower case without combining marks; composed Latin letters lose theirs."""
-    return F.regexp_replace(F.translate(F.lower(text), _COMPOSED, _BASE), r"\p{M}", "")
+    """Lower case without combining marks; composed Latin letters lose theirs.
+
+    Texts of ASCII alone are only lower-cased.
+    """
+    low = F.lower(text)
+    bare = F.regexp_replace(F.translate(low, "".join(_COMPOSED), "".join(_COMPOSED.values())), r"\p{M}", "")
+    return F.when(F.octet_length(text) == F.length(text), low).otherwise(bare)
 
 
 def tokens(text: Column) -> Column:
@@ -33,7 +46,7 @@ def tokens(text: Column) -> Column:
 
 def query_tokens(query: str) -> list[str]:
     """Words of a query as :func:`tokens` has them: folded in the same way."""
-    folded = query.lower().translate(str.maketrans(_COMPOSED, _BASE))
+    folded = query.lower().translate(str.maketrans(_COMPOSED))
     folded = "".join(c for c in folded if not unicodedata.category(c).startswith("M"))
     return "".join(c if c.isalpha() or unicodedata.category(c).startswith("N") else " " for c in folded).split()
 

@@ -42,14 +42,14 @@ def title_words(series: DataFrame) -> DataFrame:
     return series.where(fi.token_filter("title", " AN  l_e ")).select("id", "title")
 
 
-@query("select id, link from releases where link in ('https://feed.example/view/1025', 'https://feed.example/view/1025/')")
+@query("select id, link from releases where link in ('https://feed.example/view/9', 'https://feed.example/view/9/')")
 def release_by_link(releases: DataFrame) -> DataFrame:
-    return releases.where(fi.free_text_filter("https://feed.example/view/1025/ ", title="source_name")).select("id", "link")
+    return releases.where(fi.free_text_filter("https://feed.example/view/9/ ", title="source_name")).select("id", "link")
 
 
-@query("select id, external_id from releases where external_id = 'x7-1' or (source_name ilike '%feed%' and source_name ilike '%x7-1%')")
+@query("select id, external_id from releases where external_id = 'x7-1' or (source_name ilike '%EED%' and source_name ilike '%d5%')")
 def release_by_words(releases: DataFrame) -> DataFrame:
-    return releases.where(fi.free_text_filter("x7-1", title="source_name") | fi.free_text_filter("feed x7-1", title="source_name")).select("id", "external_id")
+    return releases.where(fi.free_text_filter("x7-1", title="source_name") | fi.free_text_filter("EED d5", title="source_name")).select("id", "external_id")
 
 
 @query("select id, resolution_path from releases where resolution_path <> 'manual' or resolution_path is null")
@@ -175,7 +175,7 @@ def series_with_all_genres(series: DataFrame, series_genres: DataFrame) -> DataF
     return joins.with_all(series, series_genres.withColumnRenamed("series_id", "id"), "id", "genre", ["Brand#12", "Brand#22"]).select("id")
 
 
-@query("select id from series where 1 = 0")
+@query("select id from series s where (select count(distinct genre) from series_genres g where g.series_id = s.id and genre in ('Brand#12', 'Brand#12')) = 2")
 def series_with_all_genres_repeated(series: DataFrame, series_genres: DataFrame) -> DataFrame:
     return joins.with_all(series, series_genres.withColumnRenamed("series_id", "id"), "id", "genre", ["Brand#12", "Brand#12"]).select("id")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import values as va
 from quillspark.operators import aggregates as ag
-from quillspark.operators import export, joins, merges
+from quillspark.operators import entities, export, joins, merges
 from quillspark.plans.registry import query
 
 NOW = 1800000000
@@ -153,6 +153,32 @@ def series_inserted(series: DataFrame, part: DataFrame, external_ids: DataFrame)
     return merges.insert_from_metadata(series.select("id", "title", "metadata_source", "updated_at"), located, NOW)
 
 
+_RECORDS = """select p_partkey as place, case when p_partkey % 3 = 1 then 'anilist' else 'mal' end as provider,
+    concat(case when p_partkey % 3 = 1 then 'a' when p_partkey % 3 = 2 and (p_partkey // 3) % 5 = 0 then 'n' else 'm' end, p_partkey // 3) as external_id, p_partkey // 3 as grp from part"""
+_STORED_IDS = "select distinct 'kitsu' as provider, concat('t', p_partkey // 3) as external_id, 1000000 + p_partkey // 3 as series_id from part where (p_partkey // 3) % 4 = 0"
+
+
+@query(f"""with recursive records as ({_RECORDS}), mapping as ({_STORED_IDS}),
+    ids as (select place, provider as p, external_id as e from records union all select place, 'kitsu', concat('t', grp) from records where place % 3 < 2 union all select place, 'mu', concat('u', grp) from records where place % 3 > 0),
+    edges as (select distinct a.place as x, b.place as y from ids a join ids b on a.p = b.p and a.e = b.e),
+    reach as (select place, place as r from records union select reach.place, edges.y from reach join edges on edges.x = reach.r),
+    comp as (select place, min(r) as comp from reach group by place),
+    held as (select comp, min(series_id) as series_id from comp join ids using (place) join mapping m on m.provider = ids.p and m.external_id = ids.e group by comp),
+    firsts as (select comp, provider, arg_min(external_id, place) as first from comp join records using (place) group by comp, provider)
+    select r.place, case when r.external_id = f.first then h.series_id end as series_id,
+      case when r.external_id <> f.first then min(r.place) over (partition by c.comp, r.provider, r.external_id) when h.series_id is null then c.comp end as founder
+    from records r join comp c using (place) join firsts f on f.comp = c.comp and f.provider = r.provider left join held h on h.comp = c.comp""")
+def entities_assigned(part: DataFrame) -> DataFrame:
+    grp = F.expr("cast(p_partkey div 3 as string)")
+    pair = lambda p, v: F.struct(F.lit(p).alias("provider"), F.concat(F.lit(v), grp).alias("id"))
+    at = F.col("p_partkey") % 3
+    lists = F.when(at == 0, F.array(pair("kitsu", "t"))).when(at == 1, F.array(pair("kitsu", "t"), pair("mu", "u"))).otherwise(F.array(pair("mu", "u")))
+    own = F.when(at == 1, "a").when((at == 2) & F.expr("(p_partkey div 3) % 5 = 0"), "n").otherwise("m")
+    records = part.select(F.col("p_partkey").alias("place"), F.when(at == 1, "anilist").otherwise("mal").alias("provider"), F.concat(own, grp).alias("external_id"), lists.alias("foreign_ids"))
+    stored = part.where("(p_partkey div 3) % 4 = 0").select(F.lit("kitsu").alias("provider"), F.concat(F.lit("t"), grp).alias("external_id"), F.expr("1000000 + p_partkey div 3").alias("series_id")).distinct()
+    return entities.assign(records, stored)[0]
+
+
 @query("""with q as (select p_partkey as request, case when p_partkey % 5 in (0, 4) then p_partkey + case when p_partkey % 2 = 0 then 0 else 100000000 end end as sid,
       case when p_partkey % 5 in (1, 2, 4) then 'mal' end as provider, case when p_partkey % 5 in (1, 2) then concat('m', p_partkey) end as ext from part),
     r as (select q.*, s.id is not null as there, e.series_id as held, q.ext is not null and q.request % 4 <> 0 as listed from q left join series s on s.id = q.sid left join external_ids e on e.provider = q.provider and e.external_id = q.ext)

@@ -10,7 +10,8 @@ from quillspark.functions import ids, spans, titles
 from quillspark.functions import values as va
 from quillspark.functions.similarity import best_dice, dice
 from quillspark.operators import aggregates as ag
-from quillspark.operators import joins, search
+from quillspark.operators import joins, search, text_index
+from quillspark.operators.lineage import shared_path
 from quillspark.plans.registry import query
 from quillspark.sources import feeds, walks
 from quillspark.sources import pages as pages_
@@ -142,13 +143,13 @@ def similar_title_pairs(series: DataFrame) -> DataFrame:
     return pairs.select("left_id", "right_id", F.round(F.col("score").cast("double"), 5).alias("score"))
 
 
-@query(f"""with q as (select {_grams("'green almond'")} as g),
+@query(f"""with q as (select {_grams("'cold widget'")} as g),
     r as (select id, title, regexp_split_to_array(lower(title || ' ' || alternate), '[^a-z0-9]+') as tok, greatest({_DICE.format(a="q.g", b=_grams("title"))}, {_DICE.format(a="q.g", b=_grams("alternate"))}) as d from series, q),
-    s as (select id, list_contains(tok, 'green') and len(list_filter(tok, lambda t: starts_with(t, 'almond'))) > 0 as hit, d from r)
+    s as (select id, list_contains(tok, 'cold') and len(list_filter(tok, lambda t: starts_with(t, 'widget'))) > 0 as hit, d from r)
     select id, hit, round(d + case when hit then 0.5 else 0 end, 4) as score from s where hit or d >= 0.3""")
 def catalog_search(series: DataFrame) -> DataFrame:
     rows = series.select("id", "title", F.array("alternate").alias("alternates"), F.lit(None).cast("string").alias("description"), F.col("updated_at").alias("last_release_at"))
-    out = search.catalog_search(rows, "Green almond", "green almond")
+    out = search.catalog_search(rows, "Cold widget", "cold widget")
     return out.select("id", "hit", F.round(F.col("score").cast("double"), 4).alias("score"))
 
 
@@ -167,41 +168,56 @@ def text_search_phrase(queue: DataFrame) -> DataFrame:
     return queue.where(search.phrase_match(search.tokens(F.col("text")), "of-the")).select("id")
 
 
-#: Titles of which every third has an accent that the query lacks, or the other way round.
-_ACCENTED = "case when id % 3 = 0 then replace(title, 'a', 'á') when id % 3 = 1 then replace(title, 'o', 'ö') else title end"
+#: Titles of which two thirds have letters with marks that the query lacks, or the other way round.
+_ACCENTED = "case when id % 3 = 0 then replace(replace(title, 'o', 'ộ'), 'd', 'ḍ') when id % 3 = 1 then replace(replace(title, 'l', 'ľ'), 'e', 'ě') else title end"
 
 
-@query(f"""select id from (select id, {_TOKENS.format(x=_ACCENTED)} as t from series) where list_contains(t, 'almond') and len(list_filter(t, lambda x: starts_with(x, 'c'))) > 0""")
+@query(f"""select id from (select id, {_TOKENS.format(x=_ACCENTED)} as t from series) where list_contains(t, 'cold') and len(list_filter(t, lambda x: starts_with(x, 'wid'))) > 0""")
 def text_search_accents(series: DataFrame) -> DataFrame:
-    return series.where(search.text_match(search.tokens(F.expr(_ACCENTED)), "Álmönd Ç")).select("id")
+    return series.where(search.text_match(search.tokens(F.expr(_ACCENTED)), "Cǒld Ẅịd")).select("id")
 
 
-@query(f"""with q as (select {_grams("'green almond'")} as g),
+@query(f"""with q as (select {_grams("'cold widget'")} as g),
     r as (select id, title, updated_at, {_TOKENS.format(x="title || ' ' || alternate")} as tok, greatest({_DICE.format(a="q.g", b=_grams("title"))}, {_DICE.format(a="q.g", b=_grams("alternate"))}) as d from series, q),
-    s as (select id, title, updated_at, list_contains(tok, 'green') and len(list_filter(tok, lambda t: starts_with(t, 'almond'))) > 0 as hit, d from r),
+    s as (select id, title, updated_at, list_contains(tok, 'cold') and len(list_filter(tok, lambda t: starts_with(t, 'widget'))) > 0 as hit, d from r),
     o as (select id, title, row_number() over (order by (d + case when hit then 0.5 else 0 end)::float desc, updated_at desc nulls last, id)::int as rank from s where hit or d::float >= 0.3::float)
     select id, title, rank from o where rank between 21 and 40""")
 def catalog_search_page(series: DataFrame) -> DataFrame:
     rows = series.select("id", "title", F.array("alternate").alias("alternates"), F.lit(None).cast("string").alias("description"), F.col("updated_at").alias("last_release_at"))
-    found = search.catalog_search(rows, "Green almond", "green almond")
+    found = search.catalog_search(rows, "Cold widget", "cold widget")
     return search.search_page(found, series, 2, 20).select("id", "title", "rank")
 
 
 _BM25 = """with t as (select id, title, tokens as t from (select id, title, {tokens} as tokens from series)),
-    f as (select id, title, len(t) as n, len(list_filter(t, lambda x: x = 'green')) as a, len(list_filter(t, lambda x: x = 'almond')) as b from t),
+    f as (select id, title, len(t) as n, len(list_filter(t, lambda x: x = 'cold')) as a, len(list_filter(t, lambda x: x = 'widget')) as b from t),
     e as (select count(*) as n, avg(n) as mean, count_if(a > 0) as da, count_if(b > 0) as db from f),
     s as (select f.id, f.title, greatest(ln((e.n - da + 0.5) / (da + 0.5)), 1e-6) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * f.n / mean)) + greatest(ln((e.n - db + 0.5) / (db + 0.5)), 1e-6) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * f.n / mean)) as score from f, e where a > 0 and b > 0)""".format(tokens=_TOKENS.format(x="title"))
 
 
 @query(f"{_BM25} select id, round(score, 5) as rank_score from s order by score desc, id limit 2000")
 def relevance_pool(series: DataFrame) -> DataFrame:
-    return search.relevance(series.select("id", "title"), "title", "green Almond").select("id", F.round("rank_score", 5).alias("rank_score"))
+    return search.relevance(series.select("id", "title"), "title", "cold Widget").select("id", F.round("rank_score", 5).alias("rank_score"))
 
 
-@query(f"""{_BM25}, p as (select id, title from s order by score desc, id limit 2000), q as (select {_grams("'green Almond'")} as g), d as (select id, {_DICE.format(a="q.g", b=_grams("title"))} as d from p, q)
+@query(f"{_BM25} select id, round(score, 5) as rank_score from s order by score desc, id limit 2000")
+def indexed_relevance(spark, series: DataFrame) -> DataFrame:
+    path = shared_path(spark, "index")
+    text_index.build(series, "id", "title", path)
+    return text_index.ranked(spark, path, "cold Widget").select("id", F.round("rank_score", 5).alias("rank_score"))
+
+
+@query(f"""select id, (len(' ' || array_to_string({_TOKENS.format(x="text")}, '  ') || ' ') - len(replace(' ' || array_to_string({_TOKENS.format(x="text")}, '  ') || ' ', ' of  the ', ''))) // 9 as times
+    from queue where contains(' ' || array_to_string({_TOKENS.format(x="text")}, '  ') || ' ', ' of  the ')""")
+def indexed_phrase(spark, queue: DataFrame) -> DataFrame:
+    path = shared_path(spark, "index")
+    text_index.build(queue, "id", "text", path)
+    return text_index.phrase(spark, path, ["of", "the"]).select("id", F.col("times").cast("bigint").alias("times"))
+
+
+@query(f"""{_BM25}, p as (select id, title from s order by score desc, id limit 2000), q as (select {_grams("'cold Widget'")} as g), d as (select id, {_DICE.format(a="q.g", b=_grams("title"))} as d from p, q)
     select id, round(d, 5) as dice from d order by d desc, id limit 10""")
 def fuzzy_candidates(series: DataFrame) -> DataFrame:
-    return search.fuzzy_candidates(series.select("id", "title"), "title", "green Almond", 10).select("id", F.round(F.col("dice").cast("double"), 5).alias("dice"))
+    return search.fuzzy_candidates(series.select("id", "title"), "title", "cold Widget", 10).select("id", F.round(F.col("dice").cast("double"), 5).alias("dice"))
 
 
 @query("""with w as (select id, list_distinct(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]+'), lambda x: x <> '')) as t from series),
@@ -212,10 +228,10 @@ def search_candidates(series: DataFrame) -> DataFrame:
     return search.candidates(asked, search.token_index(series, "id", "title"))
 
 
-@query(f"""with q as (select {_grams("'almond antique'")} as g), r as (select id, {_DICE.format(a="q.g", b=_grams("title"))} as d from series, q)
-    select id, round(d, 5) as score from r order by d desc, id limit 25""")
+@query(f"""with q as (select {_grams("'small ring'")} as g), r as (select id, {_DICE.format(a="q.g", b=_grams("title"))} as d from series, q)
+    select id, round(d, 5) as score from r order by d desc, id limit 100""")
 def provider_search(series: DataFrame) -> DataFrame:
-    rows = series.select("id", best_dice(F.lit("almond antique"), F.array("title")).alias("d")).orderBy(F.col("d").desc(), "id").limit(25)
+    rows = series.select("id", best_dice(F.lit("small ring"), F.array("title")).alias("d")).orderBy(F.col("d").desc(), "id").limit(100)
     return rows.select("id", F.round(F.col("d").cast("double"), 5).alias("score"))
 
 

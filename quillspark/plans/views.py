@@ -109,6 +109,8 @@ def duck_sql(sql: str) -> str:
     if not parts:
         return sql
     sql = sql.strip()
+    if sql.lower().startswith("with recursive "):
+        return f"with recursive {', '.join(parts)}, {sql[15:]}"
     if sql.lower().startswith("with "):
         return f"with {', '.join(parts)}, {sql[5:]}"
     return f"with {', '.join(parts)} {sql}"

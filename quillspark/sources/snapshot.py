@@ -34,6 +34,31 @@ def _read_pointer(spark: SparkSession, path: str) -> str | None:
         source.close()
 
 
+def _write(spark: SparkSession, path: str, text: str) -> None:
+    file, fs = _fs(spark, path)
+    out = fs.create(file)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def _rename_pointer(spark: SparkSession, base: str, name: str) -> None:
+    """Let the pointer file of ``base`` name something else, by one rename."""
+    staged = f"{base}/.CURRENT-{uuid.uuid4().hex}"
+    _write(spark, staged, name)
+    path, fs = _fs(spark, staged)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    overwrite = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    overwrite[0] = hadoop.Options.Rename.OVERWRITE
+    files = hadoop.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    files.rename(fs.makeQualified(path), fs.makeQualified(_fs(spark, f"{base}/CURRENT")[0]), overwrite)
+
+
+def point_to(spark: SparkSession, base: str, name: str, text: str) -> None:
+    """Write a small file below ``base`` and let the pointer name it."""
+    _write(spark, f"{base}/{name}", text)
+    _rename_pointer(spark, base, name)
+
+
 def current(spark: SparkSession, path: str) -> DataFrame | None:
     """The published table, null if nothing was published yet."""
     version = _read_pointer(spark, path)
@@ -59,15 +84,7 @@ def publish(df: DataFrame, path: str, least: int = LEAST_ROWS, keep: int = 2) ->
     if rows < least:
         fs.delete(made, True)
         raise BrokenSnapshot(f"{rows} rows, at least {least} expected")
-    staged, _ = _fs(spark, f"{base}/.CURRENT-{uuid.uuid4().hex}")
-    out = fs.create(staged)
-    out.write(bytearray(version.encode()))
-    out.close()
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    overwrite = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
-    overwrite[0] = hadoop.Options.Rename.OVERWRITE
-    files = hadoop.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    files.rename(fs.makeQualified(staged), fs.makeQualified(_fs(spark, f"{base}/CURRENT")[0]), overwrite)
+    _rename_pointer(spark, base, version)
     versions = sorted(f.getPath().getName() for f in fs.listStatus(made.getParent()) if f.getPath().getName().startswith("version-") and int(f.getPath().getName().split("-")[1]) <= number)
     for name in versions[:-keep]:
         fs.delete(_fs(spark, f"{base}/{name}")[0], True)

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.sources import feeds, pages, snapshot
+from quillspark.sources.tables import TableSet
 from quillspark.streaming import jobs
 
 BASE = "https://feed.example"
@@ -126,35 +127,23 @@ def test_lookups_in_a_dump(spark):
     assert {r["id"] for r in snapshot.by_id(dump, wanted).collect()} == {1677, 3}
 
 
-def test_polled_feeds_are_merged_once(spark, tmp_path):
-    incoming, table, state = (f"file://{tmp_path}/{x}" for x in ("in", "table", "state"))
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in/1.xml").write_text(rss(item(1), item(2)))
-    jobs.poll_feeds(spark, incoming, table, state, "src").awaitTermination()
-    assert {r["title"] for r in snapshot.current(spark, table).collect()} == {"Name v01", "Name v02"}
-    (tmp_path / "in/2.xml").write_text(rss(item(2, title="Renamed"), item(3)))
-    for _ in range(2):  # the second run finds nothing new
-        jobs.poll_feeds(spark, incoming, table, state, "src").awaitTermination()
-    assert {r["external_id"]: r["title"] for r in snapshot.current(spark, table).collect()} == {"1": "Name v01", "2": "Renamed", "3": "Name v03"}
-
-
 def test_change_feed_is_followed(spark, tmp_path):
     changes, target, state = (f"file://{tmp_path}/{x}" for x in ("changes", "target", "state"))
     kind = "id bigint, name string, updated_at bigint"
+    tables = TableSet(spark, target)
     spark.createDataFrame([(1, "a", 5), (2, "hidden", 0), (1, "older", 3)], kind).coalesce(1).write.mode("append").parquet(changes)
-    jobs.follow_changes(spark, changes, kind, target, state).awaitTermination()
+    jobs.follow_changes(spark, changes, kind, tables, "rows", state).awaitTermination()
     spark.createDataFrame([(1, "late", 4), (3, "c", 6)], kind).coalesce(1).write.mode("append").parquet(changes)
-    jobs.follow_changes(spark, changes, kind, target, state).awaitTermination()
-    assert {r["id"]: r["name"] for r in snapshot.current(spark, target).collect()} == {1: "a", 3: "c"}
+    jobs.follow_changes(spark, changes, kind, tables, "rows", state).awaitTermination()
+    assert {r["id"]: r["name"] for r in tables.read("rows").collect()} == {1: "a", 3: "c"}
 
 
-def test_late_details_and_drain(spark):
+def test_late_details(spark):
     now = 1_000_000
     rows = [(i, None if i % 2 else ["x"], now - i * 3600) for i in range(20)] + [(99, None, now - 100 * 3600)]
     releases = spark.createDataFrame(rows, "id int, files array<string>, observed_at bigint")
     tried = spark.createDataFrame([(1,)], "id int")
     assert [r["id"] for r in jobs.late_details(releases, tried, now).collect()] == [3, 5, 7, 9, 11]
-    assert jobs.refresh_batches(releases, 5) == 7 and jobs.refresh_batches(releases.limit(0), 5) == 2
 
 
 def test_windowed_counts_and_first_sightings(spark, tmp_path):
