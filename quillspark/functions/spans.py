@@ -8,14 +8,11 @@ from pyspark.sql import functions as F
 SPANS = "array<struct<start:double,end:double>>"
 
 # The markers that introduce numbers, and how ranges are written.
-_NUM = r"(\d+(?:\.\d+)?)"
-_V = r"v(?:ol(?:ume)?s?)?\.?"
-_C = r"(?:chapters?|chaps?|ch|c)"
 GROUPS = r"\([^)]*\)|\[[^\]]*\]"
-VOLUME = rf"(?i)\b{_V}\s*{_NUM}(?:[-–](?:{_V})?{_NUM}|\s*[-–]\s*{_V}\s*{_NUM})?"
-VOLUME_WORD = rf"(?i)\bvol(?:ume)?s?\.?\s+{_NUM}\s*[-–]\s*(?:{_V}\s*)?{_NUM}"
-CHAPTER = rf"(?i)(?:\b{_C}|#)\.?\s*{_NUM}(?:[-–](?:(?:chapters?|chaps?|ch|c|#)\.?)?{_NUM}|\s*[-–]\s*(?:\b{_C}|#)\.?\s*{_NUM})?"
-PLUS = rf"\+\s*{_NUM}(?:\s*[-–]\s*{_NUM})?"
+VOLUME = r"(?i)\bv(?:ol(?:ume)?s?)?\.?\s*(\d+(?:\.\d+)?)(?:[-–](?:v(?:ol(?:ume)?s?)?\.?)?(\d+(?:\.\d+)?)|\s*[-–]\s*v(?:ol(?:ume)?s?)?\.?\s*(\d+(?:\.\d+)?))?"
+VOLUME_WORD = r"(?i)\bvol(?:ume)?s?\.?\s+(\d+(?:\.\d+)?)\s*[-–]\s*(?:v(?:ol(?:ume)?s?)?\.?\s*)?(\d+(?:\.\d+)?)"
+CHAPTER = r"(?i)(?:\b(?:chapters?|chaps?|ch|c)|#)\.?\s*(\d+(?:\.\d+)?)(?:[-–](?:(?:chapters?|chaps?|ch|c|#)\.?)?(\d+(?:\.\d+)?)|\s*[-–]\s*(?:\b(?:chapters?|chaps?|ch|c)|#)\.?\s*(\d+(?:\.\d+)?))?"
+PLUS = r"\+\s*(\d+(?:\.\d+)?)(?:\s*[-–]\s*(\d+(?:\.\d+)?))?"
 
 
 def without_groups(text: Column) -> Column:
@@ -44,7 +41,8 @@ def merge_spans(spans: Column) -> Column:
     most 1 after the end so far.  Null gives null.
 
     Starts and ends are sorted apart: there is a gap after the first i spans
-    exactly if the i-th smallest end is more than 1 below the next start.
+    exactly if the i-th smallest end is more than 1 below the next start.  A
+    single span needs none of that, and most titles have no more.
     """
     starts = F.array_sort(F.transform(spans, lambda s: F.least(s["start"], s["end"])))
     ends = F.array_sort(F.transform(spans, lambda s: F.greatest(s["start"], s["end"])))
@@ -55,7 +53,9 @@ def merge_spans(spans: Column) -> Column:
         closed = F.filter(b, lambda v, i: (i == F.size(b) - 1) | (F.get(a, i + 1) > v + 1))
         return F.arrays_zip(opened.alias("start"), closed.alias("end")).cast(SPANS)
 
-    return F.when(spans.isNotNull(), F.get(F.transform(F.array(F.struct(starts.alias("starts"), ends.alias("ends"))), joined), F.lit(0)))
+    turned = F.transform(spans, lambda s: F.struct(F.least(s["start"], s["end"]).alias("start"), F.greatest(s["start"], s["end"]).alias("end")))
+    many = F.get(F.transform(F.array(F.struct(starts.alias("starts"), ends.alias("ends"))), joined), F.lit(0))
+    return F.when(F.size(spans) <= 1, turned.cast(SPANS)).when(spans.isNotNull(), many)
 
 
 def detect(text: Column) -> Column:

@@ -45,21 +45,30 @@ def histogram(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("n"))
 
 
-def nearest_rank(rows: DataFrame, value: str, shares: dict[str, float], keys: list[str] | None = None, buckets: int = 1024) -> DataFrame:
+#: Borders between the values of a group, and equal steps between two borders.
+BORDERS, STEPS = 32, 32
+
+
+def nearest_rank(rows: DataFrame, value: str, shares: dict[str, float], keys: list[str] | None = None) -> DataFrame:
     """Nearest-rank percentiles at rank floor(p n + 0.5), with count and maximum.
 
-    Values are counted first, on the map side, then summed by bucket: equal
-    steps between a group's least and greatest value.  Only the values of the
-    one bucket that holds a rank are ordered, so no task sees all the values of
-    a group, or of a table without ``keys``.  Without keys and values: one row, n = 0.
+    Values are counted first, on the map side, then summed by bucket.  Borders
+    are approximate percentiles of a group's different values, so that an
+    outlier does not gather the others in one bucket, and each cell between two
+    borders has equal steps.  Only the values of the one bucket that holds a
+    rank are ordered, so no task sees all the values of a group, or of a table
+    without ``keys``.  Without keys and values: one row, n = 0.
     """
     keys = keys or []
     counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    ends = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("max"))
+    cuts = F.percentile_approx(F.col(value).cast("double"), [i / BORDERS for i in range(BORDERS + 1)], 1000)
+    ends = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.max(value).alias("max"), cuts.alias("_cuts"))
     joined = (counts.join(ends, keys) if keys else counts.crossJoin(F.broadcast(ends))).withColumn("_v", F.col(value).cast("double"))
-    step = (F.col("max").cast("double") - F.col("_lo").cast("double")) / buckets
-    place = F.when(step > 0, F.least(F.floor((F.col("_v") - F.col("_lo").cast("double")) / step), F.lit(buckets - 1))).otherwise(0)
-    placed = joined.withColumn("_b", place.cast("int"))
+    cell = F.size(F.filter("_cuts", lambda x: x <= F.col("_v")))
+    placed = joined.withColumn("_cell", cell)
+    low, high = F.get("_cuts", F.col("_cell") - 1), F.get("_cuts", F.col("_cell"))
+    step = F.when((F.col("_cell") > 0) & (high > low), F.least(F.floor((F.col("_v") - low) / (high - low) * STEPS), F.lit(STEPS - 1))).otherwise(0)
+    placed = placed.withColumn("_b", (F.col("_cell") * STEPS + step).cast("int"))
     sums = placed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_s"), F.first("_n").alias("_n"))
     by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = sums.withColumn("_before", F.sum("_s").over(by.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_s"))
@@ -129,22 +138,55 @@ def with_derived_spans(releases: DataFrame) -> DataFrame:
     return out.drop("_found")
 
 
-def coverage(releases: DataFrame) -> DataFrame:
-    """Per series the merged volume and chapter spans of its releases, their ends, and last times.
+#: Unit cells of one block: no group gathers more.
+BLOCK = 1024
+
 
-    The union of spans is merged once per series; spans are made distinct on
-    the map side first, as many releases repeat the same ones.
+def union_of_spans(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` and ``spans``: the merged spans of rows with ``start`` and ``end``; adjoining ones join as in ``spans.merge_spans``.
+
+    Spans that start within one unit always join, so a least start and a
+    greatest end stand for all of them, combined on the map side.  Those are
+    merged within blocks of neighbouring units, and what is left of the blocks
+    is merged at last: a group never holds more than :data:`BLOCK` spans, or
+    the result's own.
     """
+    low, high = F.least("start", "end"), F.greatest("start", "end")
+    cells = rows.groupBy(*keys, F.floor(low).cast("bigint").alias("_cell")).agg(F.min(low).alias("start"), F.max(high).alias("end"))
+    gathered = F.collect_list(F.struct("start", "end"))
+    blocks = cells.groupBy(*keys, F.expr(f"_cell div {BLOCK}").alias("_block")).agg(spans.merge_spans(gathered.cast(spans.SPANS)).alias("spans"))
+    return blocks.groupBy(*keys).agg(spans.merge_spans(F.flatten(F.collect_list("spans"))).alias("spans"))
+
+
+def coverage(releases: DataFrame) -> DataFrame:
+    """Per series the merged volume and chapter spans of its releases, their ends, and last times."""
     rows = releases.where(F.col("series_id").isNotNull())
-    out = rows.groupBy("series_id").agg(
-        spans.merge_spans(F.flatten(F.collect_set(F.coalesce("volume_span", F.array().cast(spans.SPANS))))).alias("volumes"),
-        spans.merge_spans(F.flatten(F.collect_set(F.coalesce("chapter_span", F.array().cast(spans.SPANS))))).alias("chapters"),
-        F.max("observed_at").alias("last_discovered_at"),
-        F.max("posted_at").alias("last_release_at"),
-    )
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{k}_span").cast(spans.SPANS).alias("spans")) for k in ("volume", "chapter")])
+    each = rows.select("series_id", F.explode(kinds).alias("k")).select("series_id", "k.kind", F.explode("k.spans").alias("s")).select("series_id", "kind", "s.start", "s.end")
+    union = union_of_spans(each, ["series_id", "kind"])
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("spans")))
+    found = union.groupBy("series_id").agg(of("volume").alias("volumes"), of("chapter").alias("chapters"))
+    times = rows.groupBy("series_id").agg(F.max("observed_at").alias("last_discovered_at"), F.max("posted_at").alias("last_release_at"))
+    out = times.join(found, "series_id", "left")
+    empty = F.array().cast(spans.SPANS)
+    out = out.select("series_id", F.coalesce("volumes", empty).alias("volumes"), F.coalesce("chapters", empty).alias("chapters"), "last_discovered_at", "last_release_at")
     return out.withColumn("highest_volume", spans.max_end(F.col("volumes"))).withColumn("highest_chapter", spans.max_end(F.col("chapters")))
 
 
+def rewritten_spans(releases: DataFrame) -> DataFrame:
+    """``releases`` with spans anew from files and title (null where there are none), and ``rewritten`` where they differ."""
+    found = releases.withColumn("_found", spans.detect_spans(F.col("files"), F.col("title")))
+    new = {k: F.when(F.size(F.col("_found").getField(f"{k}s")) > 0, F.col("_found").getField(f"{k}s")) for k in ("volume", "chapter")}
+    same = new["volume"].eqNullSafe(F.col("volume_span").cast(spans.SPANS)) & new["chapter"].eqNullSafe(F.col("chapter_span").cast(spans.SPANS))
+    return found.withColumn("rewritten", ~same).withColumn("volume_span", new["volume"]).withColumn("chapter_span", new["chapter"]).drop("_found")
+
+
+def rewrite_counts(releases: DataFrame, series: DataFrame) -> DataFrame:
+    """One row: releases read and rewritten, series read and changed, of :func:`rewritten_spans` and :func:`recompute_coverage`."""
+    of_releases = releases.agg(F.count("*").alias("releases_read"), F.count_if("rewritten").alias("releases_rewritten"))
+    return of_releases.crossJoin(F.broadcast(series.agg(F.count("*").alias("series_read"), F.count_if("changed").alias("series_changed"))))
+
+
 def recompute_coverage(series: DataFrame, releases: DataFrame, now: int) -> DataFrame:
     """``series`` (``id`` and the coverage columns) with coverage anew and ``changed``.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.similarity import bigrams, dice_of
+from quillspark.functions.similarity import bigrams, dice_of, folded
 
 
 def carried_by(releases: DataFrame, bridge: DataFrame, sources: list[str]) -> DataFrame:
@@ -84,6 +84,28 @@ def latest_item(items: DataFrame, mapping: DataFrame) -> DataFrame:
     return best.select("series_id", "b.item", "b.provider", "b.external_id")
 
 
+def title_classes(rows: DataFrame, id: str = "id", title: str = "title") -> DataFrame:
+    """Titles that fold to the same letters and digits as one class: ``id`` (the smallest), ``title`` (folded), ``n`` (members)."""
+    return rows.groupBy(folded(F.coalesce(F.col(title), F.lit(""))).alias("title")).agg(F.min(id).alias("id"), F.count("*").alias("n"))
+
+
+def title_members(rows: DataFrame, id: str = "id", title: str = "title") -> DataFrame:
+    """``id``, ``class_id``: the class of :func:`title_classes` of each row."""
+    named = rows.select(F.col(id).alias("id"), folded(F.coalesce(F.col(title), F.lit(""))).alias("title"))
+    return named.join(title_classes(rows, id, title).select("title", F.col("id").alias("class_id")), "title").select("id", "class_id")
+
+
+def similar_title_classes(left: DataFrame, right: DataFrame, threshold: float, id: str = "id", title: str = "title") -> DataFrame:
+    """Pairs of classes of titles with a Dice score at or above ``threshold``: ``left_id``, ``right_id``, ``left_n``, ``right_n``, ``score``.
+
+    Copies are one class on either side before anything is compared, so the
+    work and the result don't grow with them.
+    """
+    a, b = title_classes(left, id, title), title_classes(right, id, title)
+    pairs = similar_titles(a, b, threshold)
+    return pairs.join(a.select(F.col("id").alias("left_id"), F.col("n").alias("left_n")), "left_id").join(b.select(F.col("id").alias("right_id"), F.col("n").alias("right_n")), "right_id")
+
+
 def similar_titles(left: DataFrame, right: DataFrame, threshold: float, left_id: str = "id", right_id: str = "id", title: str = "title") -> DataFrame:
     """All pairs of titles with a Dice score at or above ``threshold`` (above 0), without a cross join.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.ids import cursor
 from quillspark.operators.filters import after_key
+from quillspark.operators.lineage import settled
 
 #: Page sizes: of lists and of the change feed.
 DEFAULT_SIZE, MAX_SIZE = 50, 200
@@ -56,3 +57,28 @@ def reranked(df: DataFrame, rough: Column, pool: int, score: Column, n: int, id:
     """The n best by ``score`` of the ``pool`` best by a rough one; ties keep the rough order."""
     first = df.withColumn("_rough", rough).orderBy(F.col("_rough").desc(), F.col(id)).limit(pool)
     return first.withColumn("score", score).orderBy(F.col("score").desc(), F.col("_rough").desc(), F.col(id)).limit(n).drop("_rough")
+
+
+def ranked_page(rows: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
+    """Page ``page`` (from 1) of ``rows`` with ``rank`` and the ``total`` of all rows; ``order`` ends in a key.
+
+    Rows are sorted by ranges, and the counts of the ranges give the rank that
+    each one begins with; one number for each range reaches the driver.  Only
+    the ranges that the page lies in are numbered, so a late page costs as much
+    as the first.  ``rows`` should be narrow: what is shown is joined to the page.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = settled(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    counts = dict(map(tuple, ranged.groupBy("_part").count().collect()))
+    total, first, last = sum(counts.values()), (page - 1) * size, page * size
+    before, begins = 0, []
+    for part, n in sorted(counts.items()):
+        if before < last and before + n > first:
+            begins.append((part, before))
+        before += n
+    within = ranged.where(F.col("_part").isin([p for p, _ in begins]) if begins else F.lit(False))
+    start = F.lit(0)
+    for part, n in begins:
+        start = F.when(F.col("_part") == part, F.lit(n)).otherwise(start)
+    ranked = within.withColumn("rank", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + start)
+    return ranked.where((F.col("rank") > first) & (F.col("rank") <= last)).withColumn("total", F.lit(total).cast("bigint")).drop("_part")

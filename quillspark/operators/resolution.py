@@ -68,13 +68,16 @@ def fuzzy_hits(releases: DataFrame, catalog: DataFrame, limit: int = HITS) -> Da
     return top_per_group(best, ["rid"], limit, F.col("score").desc(), F.col("entry")).withColumnRenamed("rid", "id")
 
 
-def resolve(releases: DataFrame, mapping: DataFrame, foreign: DataFrame, catalog: DataFrame, id_map: DataFrame, rules=fm.RULES) -> tuple[DataFrame, DataFrame]:
+def resolve(releases: DataFrame, mapping: DataFrame, foreign: DataFrame, catalog: DataFrame, id_map: DataFrame, rules=fm.RULES, records: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Outcomes (``id``, ``path``, ``status``, ``entry``, ``series_id``, ``confidence``) and review candidates.
 
     ``mapping``: known ids of series (``provider``, ``external_id``, ``series_id``,
     ``kind``); ``foreign``: ids that catalog entries hold (``provider``,
     ``external_id``, ``entry``); ``catalog``: ``entry``, ``title``, ``kind``.
     Steps in order, each on what the steps before left open; see the module.
+    With ``records`` (``entry``), a title match whose entry has no record is
+    not accepted: the release is put up for review like one without a strong
+    match, with those entries that have one.
     """
     rows = settled(features(releases))
     links = normalised_links(releases, id_map)
@@ -103,9 +106,11 @@ def resolve(releases: DataFrame, mapping: DataFrame, foreign: DataFrame, catalog
     anyone = rest.groupBy("id").agg(F.max("fits").alias("some_fit"))
     usable = rest.join(anyone, "id").where(F.col("fits") | ~F.col("some_fit"))
     top = usable.groupBy("id").agg(F.max(F.struct("score", (-F.col("entry")).alias("neg"), "kind", "fits")).alias("b")).select("id", (-F.col("b.neg")).alias("entry"), F.col("b.score").alias("score"), F.col("b.fits").alias("fits"))
-    taken = top.where(F.col("score") >= accept)
-    low = usable.join(taken, "id", "left_anti").where(F.col("score") >= review)
-    low = top_per_group(low, ["id"], REVIEW_ROWS, F.col("score").desc(), F.col("entry"))
+    there = lambda df: df if records is None else df.join(records.select("entry"), "entry", "left_semi")
+    taken = there(top.where(F.col("score") >= accept)).select(*top.columns)
+    # candidates for review are of all formats
+    low = rest.join(taken, "id", "left_anti").where(F.col("score") >= review)
+    low = there(top_per_group(low, ["id"], REVIEW_ROWS, F.col("score").desc(), F.col("entry")))
     lows = low.groupBy("id").agg(F.max("score").alias("confidence"))
 
     none = F.lit(None).cast("bigint")
@@ -118,7 +123,8 @@ def resolve(releases: DataFrame, mapping: DataFrame, foreign: DataFrame, catalog
         .unionByName(taken.select("id", F.lit("fuzzy_title").alias("path"), F.when(F.col("fits"), F.lit("resolved")).otherwise(F.lit("ambiguous")).alias("status"), F.col("entry").cast("bigint").alias("entry"), none.alias("series_id"), F.col("score").alias("confidence")))
         .unionByName(lows.select("id", F.lit("fuzzy_title").alias("path"), F.lit("review_pending").alias("status"), none.alias("entry"), none.alias("series_id"), "confidence"))
     )
-    open_ = left.select("id").join(done.select("id"), "id", "left_anti").join(top.select("id", "score"), "id", "left")
+    best = hits.groupBy("id").agg(F.max("score").alias("score"))
+    open_ = left.select("id").join(done.select("id"), "id", "left_anti").join(best, "id", "left")
     outcomes = done.unionByName(open_.select("id", F.lit(None).cast("string").alias("path"), F.lit("unresolved").alias("status"), none.alias("entry"), none.alias("series_id"), F.col("score").alias("confidence")))
     put_up = split.unionByName(low.select("id", "entry", "score")).select("id", F.col("entry").cast("bigint").alias("entry"), "score", reason(F.col("score")).alias("reason"))
     return outcomes, put_up

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.similarity import best_dice
+from quillspark.operators.paging import ranked_page
 
 #: Keep a title that is no text hit from this score; what a text hit adds.
 LEAST_SCORE, TEXT_BONUS = 0.30, 0.5
@@ -90,18 +91,17 @@ def catalog_search(series: DataFrame, query: str, cleaned: str, descriptions: bo
     return rows.withColumn("score", score)
 
 
-def search_page(found: DataFrame, series: DataFrame, page: int, size: int) -> DataFrame:
-    """Page ``page`` (from 1) of what :func:`catalog_search` found: ``rank``, ``score`` and the columns of ``series``.
+def search_page(found: DataFrame, series: DataFrame, page: int, size: int, allowed: DataFrame | None = None) -> DataFrame:
+    """Page ``page`` (from 1) of what :func:`catalog_search` found: ``rank``, ``score``, ``total`` and the columns of ``series``.
 
-    By score, then the last release (none last), then id.  Only ids and sort keys
-    are ordered, as a top-n; the columns of ``series`` are fetched for one page.
+    By score, then the last release (none last), then id.  With ``allowed``,
+    only rows whose ``id`` is there count, in the ranks and in the total.  Only
+    ids and sort keys are sorted; the columns of ``series`` are fetched for one page.
     """
-    last = page * size
-    order = [F.col("score").desc(), F.col("last_release_at").desc_nulls_last(), F.col("id")]
-    top = found.select("id", "score", "last_release_at").orderBy(*order).limit(last)
-    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-    chosen = ranked.where(F.col("rank") > last - size).select("id", "score", "rank")
-    return series.join(F.broadcast(chosen), "id")
+    rows = found.select("id", "score", "last_release_at")
+    rows = rows if allowed is None else rows.join(allowed.select("id").distinct(), "id", "left_semi")
+    chosen = ranked_page(rows, [F.col("score").desc(), F.col("last_release_at").desc_nulls_last(), F.col("id")], page, size)
+    return series.join(F.broadcast(chosen.select("id", "score", "rank", "total")), "id")
 
 
 def relevance(titles: DataFrame, title: str, query: str, limit: int = POOL) -> DataFrame:

@@ -53,8 +53,8 @@ def open_releases(releases: DataFrame) -> DataFrame:
     asked as (select p_partkey as id, p_name as text, list_distinct(regexp_split_to_array(p_name, '[^a-z0-9]+')) as t, {_grams("p_name")} as g from part where p_partkey % 20 = 0),
     hits as (select a.id, e.entry, e.fits, cast({_DICE.format(a="a.g", b="e.g")} as float) as score from asked a join e on len(list_intersect(a.t, e.t)) = len(a.t)),
     best as (select * from (select *, row_number() over (partition by id order by score desc, entry) as rank from hits) where rank <= 10),
-    usable as (select *, max(score) over (partition by id) as top from (select *, bool_or(fits) over (partition by id) as any_fit from best) where fits or not any_fit),
-    low as (select *, row_number() over (partition by id order by score desc, entry) as place from usable where score >= 0.55::float and top < 0.85::float)
+    usable as (select id, max(score) as top from (select *, bool_or(fits) over (partition by id) as any_fit from best) where fits or not any_fit group by id),
+    low as (select b.*, row_number() over (partition by id order by score desc, entry) as place from best b join usable using (id) where score >= 0.55::float and top < 0.85::float)
     select id, entry, round(score::double, 5) as score from low where place <= 5""")
 def review_candidates(spark, part: DataFrame) -> DataFrame:
     given = _inputs(spark, part)

@@ -135,12 +135,17 @@ def title_dice(titles: DataFrame) -> DataFrame:
     return titles.select("id", F.round(dice(F.col("title"), F.col("base")).cast("double"), 5).alias("score"))
 
 
-@query(f"""with g as (select id, title, {_grams("title")} as g from series),
-    p as (select a.id as left_id, b.id as right_id, {_DICE.format(a="a.g", b="b.g")} as score from g a join g b on a.id % 20 = 0)
-    select left_id, right_id, round(score, 5) as score from p where score >= 0.8""")
+@query(f"""with g as (select regexp_replace(lower(title), '[^a-z0-9]', '', 'g') as f, min(id) as id, count(*) as n, min(id) filter (id % 20 = 0) as left_id, count(*) filter (id % 20 = 0) as left_n, any_value({_grams("title")}) as g from series group by f),
+    p as (select a.left_id, b.id as right_id, a.left_n, b.n as right_n, {_DICE.format(a="a.g", b="b.g")} as score from g a join g b on a.left_n > 0)
+    select left_id, right_id, left_n, right_n, round(score, 5) as score from p where score >= 0.8""")
 def similar_title_pairs(series: DataFrame) -> DataFrame:
-    pairs = joins.similar_titles(series.where("id % 20 = 0"), series, 0.8)
-    return pairs.select("left_id", "right_id", F.round(F.col("score").cast("double"), 5).alias("score"))
+    pairs = joins.similar_title_classes(series.where("id % 20 = 0"), series, 0.8)
+    return pairs.select("left_id", "right_id", "left_n", "right_n", F.round(F.col("score").cast("double"), 5).alias("score"))
+
+
+@query("""select id, min(id) over (partition by regexp_replace(lower(title), '[^a-z0-9]', '', 'g')) as class_id from series""")
+def title_members(series: DataFrame) -> DataFrame:
+    return joins.title_members(series)
 
 
 @query(f"""with q as (select {_grams("'cold widget'")} as g),
@@ -188,6 +193,18 @@ def catalog_search_page(series: DataFrame) -> DataFrame:
     return search.search_page(found, series, 2, 20).select("id", "title", "rank")
 
 
+@query(f"""with q as (select {_grams("'cold widget'")} as g),
+    r as (select id, title, kind, year, updated_at, {_TOKENS.format(x="title || ' ' || alternate")} as tok, greatest({_DICE.format(a="q.g", b=_grams("title"))}, {_DICE.format(a="q.g", b=_grams("alternate"))}) as d from series, q),
+    s as (select *, list_contains(tok, 'cold') and len(list_filter(tok, lambda t: starts_with(t, 'widget'))) > 0 as hit from r where kind in ('manga', 'novel') and year >= 2000),
+    o as (select id, title, count(*) over () as total, row_number() over (order by (d + case when hit then 0.5 else 0 end)::float desc, updated_at desc nulls last, id)::int as rank from s where hit or d::float >= 0.3::float)
+    select id, title, rank, total from o where rank between 6 and 10""")
+def filtered_search_page(series: DataFrame) -> DataFrame:
+    rows = series.select("id", "title", F.array("alternate").alias("alternates"), F.lit(None).cast("string").alias("description"), F.col("updated_at").alias("last_release_at"))
+    found = search.catalog_search(rows, "Cold widget", "cold widget")
+    allowed = series.where(F.col("kind").isin("manga", "novel") & (F.col("year") >= 2000))
+    return search.search_page(found, series, 2, 5, allowed).select("id", "title", "rank", "total")
+
+
 _BM25 = """with t as (select id, title, tokens as t from (select id, title, {tokens} as tokens from series)),
     f as (select id, title, len(t) as n, len(list_filter(t, lambda x: x = 'cold')) as a, len(list_filter(t, lambda x: x = 'widget')) as b from t),
     e as (select count(*) as n, avg(n) as mean, count_if(a > 0) as da, count_if(b > 0) as db from f),

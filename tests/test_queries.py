@@ -13,9 +13,15 @@ def con(sf_dir):
     return connect(sf_dir)
 
 
+#: Queries that find nothing, and why.
+EMPTY = {"series_with_all_genres_repeated": "a name that is asked for twice is never held twice"}
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLE))
 def test_same_rows_as_sql(spark, sf_dir, con, name):
-    assert spark_rows(registry.QUERIES[name](spark, sf_dir)) == sql_rows(con, registry.ORACLE[name])
+    got = spark_rows(registry.QUERIES[name](spark, sf_dir))
+    assert got == sql_rows(con, registry.ORACLE[name])
+    assert got[1] or name in EMPTY
 
 
 def test_every_query_has_sql():
