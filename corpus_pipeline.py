@@ -12,12 +12,22 @@ from pyspark.sql import functions as F
 from quillspark.llm import graph, langid, lines, mixing, pieces, simhash
 from quillspark.llm.queries import WEIGHTS, piece_model
 
+#: Rows that go to a Python worker at once: it holds a batch whole, and texts may be long.
+BATCH_ROWS = 1000
 #: Share of the tokens that reach the mixing stage which it hands on.
 TOKEN_SHARE = 0.9
 
 
+def _in_small_batches(spark: SparkSession) -> None:
+    """Bound the batches of the session's Python workers, unless they are smaller already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a recognised language; null texts and texts without a letter go."""
+    _in_small_batches(spark)
     return langid.keep_identified(docs)
 
 
@@ -28,6 +38,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of near copies."""
+    _in_small_batches(spark)
     return simhash.drop_near_copies(docs)
 
 
@@ -38,6 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, with their number."""
+    _in_small_batches(spark)
     coded = pieces.encode_documents(docs, piece_model())
     return coded.select("doc_id", "lang", "source", F.size("piece_ids").cast("bigint").alias("n_tokens"), "piece_ids")
 
