@@ -23,6 +23,11 @@ SENTENCES = {
     "MIT-liability": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "MIT-released": "Released under the MIT License.",
     "MIT-licensed": "Licensed under the MIT License.",
+    "MIT-file": "This file is licensed under MIT.",
+    "MIT-code": "This code is licensed under the MIT license.",
+    "Dual-Apache-MIT": "Licensed under either of Apache License, Version 2.0 or MIT license at your option.",
+    "Dual-MIT-Apache": "This project is dual-licensed under the MIT license and the Apache License, Version 2.0.",
+    "Dual-MIT-Apache-short": "Dual licensed under MIT or Apache-2.0.",
     "MIT-project": "This project is licensed under the MIT License.",
     "ISC-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "ISC-warranty": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
@@ -221,6 +226,8 @@ RULES = [
     ("GPL-3.0-only", ["GPL-terms", "GNU-only-3"]),
     ("GPL-3.0-only", ["GPL-terms-v3"]),
     ("GPL-3.0-only", ["GPL-terms-only-v3"]),
+    ("GPL-2.0-or-later", ["GPL-v2"]),
+    ("GPL-3.0-or-later", ["GPL-v3"]),
     ("GPL-3.0", ["GPL-work-v3"]),
     ("GPL-3.0", ["GPL-project-v3"]),
     ("GPL-3.0", ["GPL-licensed-v3"]),
@@ -282,8 +289,38 @@ RULES = [
     ("CC0-1.0", ["CC0"]),
     ("CC0-1.0", ["CC0-dedicated"]),
     ("Unlicense", ["Unlicense"]),
+    ("Apache-2.0 OR MIT", ["Dual-Apache-MIT"]),
+    ("Apache-2.0 OR MIT", ["Dual-MIT-Apache"]),
+    ("Apache-2.0 OR MIT", ["Dual-MIT-Apache-short"]),
+    ("MIT", ["MIT-file"]),
+    ("MIT", ["MIT-code"]),
 ]
 
+# fixed values: licence expressions as files name them in one line
+TAGS = (
+    "MIT MIT-0 ISC 0BSD BSD-2-Clause BSD-3-Clause BSD-4-Clause Apache-1.1 Apache-2.0 GPL-1.0-or-later GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later "
+    "LGPL-2.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later MPL-1.1 MPL-2.0 EPL-1.0 EPL-2.0 CDDL-1.0 EUPL-1.2 "
+    "Artistic-2.0 Zlib BSL-1.0 PostgreSQL WTFPL OFL-1.1 UPL-1.0 CC0-1.0 CC-BY-3.0 CC-BY-4.0 CC-BY-SA-4.0 Unlicense GPL-2.0 GPL-2.0+ GPL-3.0 GPL-3.0+"
+).split()
+EXPRESSIONS = [
+    *TAGS,
+    "MIT OR Apache-2.0",
+    "Apache-2.0 OR MIT",
+    "GPL-2.0-only WITH Classpath-exception-2.0",
+    "GPL-2.0-only WITH Linux-syscall-note",
+    "GPL-2.0 WITH Linux-syscall-note",
+    "GPL-2.0-or-later WITH Classpath-exception-2.0",
+    "Apache-2.0 WITH LLVM-exception",
+    "GPL-2.0-only OR BSD-3-Clause",
+    "GPL-2.0-only OR MIT",
+    "(GPL-2.0-only OR BSD-2-Clause)",
+]
+for _said in EXPRESSIONS:
+    # "+" is no letter, so GPL-2.0+ reads as GPL-2.0: the same sentence, which names the licence alone
+    if f"Tag-{_said.rstrip('+')}" not in SENTENCES:
+        SENTENCES[f"Tag-{_said}"] = f"SPDX-License-Identifier {_said}"
+        RULES.append((_said.strip("()"), [f"Tag-{_said}"]))
+
 #: A sentence ends after these marks before white space or the end.
 _END = r"([.!?;:]+)(\s+|$)"
 _BREAK = "\x01"
@@ -306,6 +343,9 @@ def cues(sentences: dict[str, str]) -> list[str]:
     return chosen
 
 
+#: What is put right before a text is cut: the colon of a licence tag, which would end a sentence, and words that mark a comment line.
+_BEFORE = [(r"(?i)(spdx-license-identifier):[ \t]*", "$1 "), (r"(?i)(^|\n)[ \t]*(dnl|rem)[ \t]+", "$1")]
+
 #: A blank line, with or without comment marks.
 _BLANK = r"(\r\n?|\n)([ \t\f\x0b]|[*#/;>|-])*(\r\n?|\n)\s*"
 
@@ -333,7 +373,10 @@ def known_sentences(docs: DataFrame, id: str = "doc_id", text: str = "text", sen
     table = docs.sparkSession.createDataFrame([(normal(v), k) for k, v in sentences.items()], "said string, sentence string")
     cue = F.col("text").rlike("(?i)" + "|".join(cues(sentences)))
     hits = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).where(cue)
-    segments = hits.select("id", F.posexplode(F.split(F.regexp_replace("text", _END, f"$1{_BREAK}"), _BREAK)).alias("segment", "text"))
+    plain = F.col("text")
+    for pattern, kept in _BEFORE:
+        plain = F.regexp_replace(plain, pattern, kept)
+    segments = hits.select("id", F.posexplode(F.split(F.regexp_replace(plain, _END, f"$1{_BREAK}"), _BREAK)).alias("segment", "text"))
     cut = segments.select("id", "segment", F.explode(_sentences(F.col("text"))).alias("s")).select("id", "s.way", F.struct("segment", "s.part", "s.row").alias("at"), "s.said")
     return cut.join(F.broadcast(table), "said").select(F.col("id").alias(id), "way", "at", "sentence")
 
@@ -379,7 +422,10 @@ def scan_sql() -> str:
         return "'" + x.replace("'", "''") + "'"
 
     table = ", ".join(f"({quoted(normal(v))}, {quoted(k)})" for k, v in SENTENCES.items())
-    end = r"regexp_replace(text, '([.!?;:]+)([ \t\n\r\f\v]+|$)', '\1' || chr(1), 'g')"
+    plain = "text"
+    for pattern, kept in _BEFORE:
+        plain = f"regexp_replace({plain}, {quoted(pattern)}, {quoted(kept.replace('$', chr(92)))}, 'g')"
+    end = f"regexp_replace({plain}, " + r"'([.!?;:]+)([ \t\n\r\f\v]+|$)', '\1' || chr(1), 'g')"
     steps = ["left0 as (select doc_id, n, said as s, [] as names from runs)"]
     for i, (name, ids) in enumerate(RULES):
         pattern, gaps = quoted(rule_pattern(ids).replace(r"\-", "-")), quoted("".join(f"\\{k}" for k in range(1, len(ids))))

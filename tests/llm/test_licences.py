@@ -15,7 +15,9 @@ KNOWN = {" ".join(re.findall("[a-z0-9]+", v.lower())): k for k, v in licences.SE
 def brute(text):
     """Known sentences in order, then the rules one by one on the list of them."""
     placed = {}
-    for i, segment in enumerate(re.split(r"(?<=[.!?;:])\s+", text or "")):
+    text = re.sub(r"(?i)(spdx-license-identifier):[ \t]*", r"\1 ", text or "")
+    text = re.sub(r"(?i)(^|\n)[ \t]*(dnl|rem)[ \t]+", r"\1", text)
+    for i, segment in enumerate(re.split(r"(?<=[.!?;:])\s+", text)):
         cuts = [((i, 0, 0), segment)]
         for j, part in enumerate(re.split(r"(?:\r\n?|\n)(?:[ \t\f\v]|[*#/;>|-])*(?:\r\n?|\n)\s*", segment)):
             cuts.append(((i, j, 0), part))
@@ -110,6 +112,24 @@ def test_wrapped_notices_below_title_and_copyright(spark):
     assert want | {(100, "MIT")} <= found(spark.createDataFrame(rows, KIND))
 
 
+def test_tags_and_short_notices(spark):
+    s = licences.SENTENCES
+    gpl = textwrap.fill(s["GPL-free"] + " " + s["GPL-v3"], 70)
+    texts = {
+        "// SPDX-License-Identifier: Apache-2.0\nint x;": "Apache-2.0",
+        "#!/bin/sh\n# SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0\n": "GPL-2.0-only WITH Classpath-exception-2.0",
+        "/* SPDX-License-Identifier:GPL-2.0+ */": "GPL-2.0",
+        "/* spdx-license-identifier: (GPL-2.0-only OR BSD-2-Clause) */": "GPL-2.0-only OR BSD-2-Clause",
+        "Licensed under either of Apache License, Version 2.0 or MIT license at your option.": "Apache-2.0 OR MIT",
+        "Words.\n\nThis file is licensed under MIT.": "MIT",
+        f"Name\n\n{gpl}\n": "GPL-3.0-or-later",
+        "\n".join("dnl " + x for x in gpl.split("\n")): "GPL-3.0-or-later",
+    }
+    rows = list(enumerate(texts))
+    assert found(spark.createDataFrame(rows, KIND)) == {(i, texts[t]) for i, t in rows}
+    assert found(spark.createDataFrame([(1, "mit Apache-2.0 und SPDX-License-Identifier"), (2, "SPDX-License-Identifier: Mine")], KIND)) == set()
+
+
 def test_cues_cover_every_sentence():
     words = licences.cues(licences.SENTENCES)
     assert all(any(w in licences.normal(s).split() for w in words) for s in licences.SENTENCES.values())
