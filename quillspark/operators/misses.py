@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import ids
 from quillspark.functions.similarity import dice
+from quillspark.operators.lineage import settled
 from quillspark.operators.paging import top_per_group
 from quillspark.operators.search import candidates, token_index
 
@@ -58,9 +59,10 @@ def routed(queries: DataFrame, provider: str) -> DataFrame:
     filled = lambda c: F.nullif(F.trim(F.coalesce(F.col(c), F.lit(""))), F.lit(""))
     rows = queries.select("query_id", filled("q").alias("text"), filled("external_id").alias("given"), filled("foreign_provider").alias("named"))
     own = F.coalesce(ids.extract_id(F.col("named"), F.col("given")), F.col("given"))
-    rows = rows.withColumn("seen", F.when(F.col("named").isNull(), ids.detect(F.col("given"))))
+    # settled, as what follows names it several times and the optimizer would copy it into each place
+    rows = settled(rows.withColumn("own", own).withColumn("seen", F.when(F.col("named").isNull(), ids.detect(F.col("given")))))
     source = F.coalesce("named", "seen.provider", F.lit(provider))
-    rows = rows.withColumn("id_provider", F.when(F.col("given").isNotNull(), source)).withColumn("id", F.when(F.col("named").isNotNull(), own).otherwise(F.coalesce("seen.id", "given")))
+    rows = rows.withColumn("id_provider", F.when(F.col("given").isNotNull(), source)).withColumn("id", F.when(F.col("named").isNotNull(), F.col("own")).otherwise(F.coalesce("seen.id", "given")))
     route = F.when(F.col("given").isNull(), F.when(F.col("text").isNotNull(), "title").otherwise("none")).when(F.col("id_provider") == ids.LEGACY, "none").when(F.col("id_provider") == provider, "direct").otherwise("foreign")
     return rows.select("query_id", route.alias("route"), "id_provider", "id", "text")
 
@@ -73,7 +75,7 @@ def answered(queries: DataFrame, provider: str, dump: DataFrame, foreign: DataFr
     hold all words of a query are scored by Dice, the ``limit`` best stay.
     """
     limit = min(max(limit, 1), MOST_HITS)
-    ways = routed(queries, provider)
+    ways = settled(routed(queries, provider))
     direct = ways.where("route = 'direct'").select("query_id", "id").join(dump.select("id"), "id")
     by_foreign = ways.where("route = 'foreign'").select("query_id", F.col("id_provider").alias("provider"), F.col("id").alias("external_id")).join(foreign, ["provider", "external_id"])
     sure = direct.select("query_id", "id").unionByName(by_foreign.select("query_id", "id")).distinct()

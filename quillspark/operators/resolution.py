@@ -14,6 +14,7 @@ from quillspark.functions import formats as fm
 from quillspark.functions.similarity import dice
 from quillspark.functions.titles import clean_title
 from quillspark.functions.values import reason
+from quillspark.operators import entities
 from quillspark.operators.lineage import settled
 from quillspark.operators.joins import first_match
 from quillspark.operators.paging import top_per_group
@@ -138,3 +139,39 @@ def resolve_to_fixed_point(releases: DataFrame, mapping: DataFrame, foreign: Dat
     again, _ = resolve(releases.join(outcomes.where("status = 'unresolved'").select("id"), "id", "left_semi"), mapping.select("provider", "external_id", F.col("series_id").cast("bigint"), "kind").unionByName(more), foreign, catalog, id_map, rules)
     gained = again.where("status = 'resolved'")
     return outcomes.join(gained.select("id"), "id", "left_anti").unionByName(gained), put_up
+
+
+def resolve_and_persist(
+    releases: DataFrame, series: DataFrame, mapping: DataFrame, foreign: DataFrame, catalog: DataFrame, id_map: DataFrame, provider: str, now: int, rules=fm.RULES, max_passes: int = 20
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Resolve releases, and make series of the entries that they lead to, until nothing more is resolved.
+
+    ``catalog`` holds the provider's records: ``entry``, ``title``, ``kind``,
+    ``foreign_ids`` and columns of ``series``.  Entries that a release is
+    linked to or that are put up for its review get a series, new or stored
+    (``entities.persist``); the ids that they bring are known to the next pass
+    over the releases that are still open.  Returns the outcomes and review
+    candidates, each with ``series_id``, and the series and mapping.
+    """
+    kinds = mapping.groupBy("series_id").agg(F.first("kind").alias("kind"))
+    known, left = mapping.select("provider", "external_id", F.col("series_id").cast("bigint").alias("series_id")), settled(releases)
+    done, candidates_of = None, None
+    for _ in range(max_passes):
+        outcomes, put_up = resolve(left, known.join(kinds, "series_id"), foreign, catalog, id_map, rules)
+        outcomes, put_up = settled(outcomes), settled(put_up)
+        wanted = outcomes.select("entry").unionByName(put_up.select("entry")).where("entry is not null").distinct()
+        records = settled(catalog.join(wanted, "entry").select(F.col("entry").cast("bigint").alias("place"), F.lit(provider).alias("provider"), F.col("entry").cast("string").alias("external_id"), *[c for c in catalog.columns if c != "entry"]))
+        series, known, assigned = entities.persist(series, known, records, now)
+        series, known, assigned = settled(series), settled(known), settled(assigned)
+        made = assigned.join(records.select("place", "kind"), "place").select("series_id", "kind")
+        kinds = settled(kinds.unionByName(made.join(kinds, "series_id", "left_anti")).groupBy("series_id").agg(F.first("kind").alias("kind")))
+        of_entry = assigned.select(F.col("place").alias("entry"), F.col("series_id").alias("_made"))
+        outcomes = settled(outcomes.join(of_entry, "entry", "left").withColumn("series_id", F.coalesce("series_id", "_made")).select("id", "path", "status", "entry", "series_id", "confidence"))
+        put_up = settled(put_up.join(of_entry, "entry").select("id", "entry", F.col("_made").alias("series_id"), "score", "reason"))
+        gained = outcomes.where("status <> 'unresolved'")
+        done = outcomes if done is None else settled(done.join(gained.select("id"), "id", "left_anti").unionByName(gained))
+        candidates_of = put_up if candidates_of is None else settled(candidates_of.unionByName(put_up))
+        left = settled(left.join(outcomes.where("status = 'unresolved'").select("id"), "id", "left_semi"))
+        if not gained.limit(1).count() or not left.limit(1).count():
+            break
+    return done, candidates_of, series, known

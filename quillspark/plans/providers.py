@@ -11,6 +11,7 @@ from quillspark.functions import values as va
 from quillspark.operators import aggregates as ag
 from quillspark.operators import merges, misses, paging
 from quillspark.plans.registry import query
+from quillspark.sources import feeds
 from quillspark.plans.text import _CHAPTERS, _DICE, _VOLUMES, _grams, _merged_sql, _q
 
 NOW = 1_800_000_000
@@ -156,6 +157,20 @@ def span_rewrite_counts(titles: DataFrame) -> DataFrame:
     return ag.rewrite_counts(made, ag.recompute_coverage(stored, linked, NOW))
 
 
+_BODY = """case when p_partkey % 6 = 0 then concat('{"data":{"id":', p_partkey, ',"title":"', p_name, '","type":"manga","final_volume":"', p_size, '"}}')
+    when p_partkey % 6 = 1 then concat('{"id":', p_partkey, ',"title":"', p_name, '","type":"novel"}') when p_partkey % 6 = 2 then concat('{"data":[{"id":', p_partkey, ',"title":"', p_name, '"},{"id":', p_partkey + 1000000, ',"title":"second"},{"title":"none"}]}')
+    when p_partkey % 6 = 3 then '{"data":null}' when p_partkey % 6 = 4 then 'gateway' else concat('{"id":', p_partkey, ',"title":"', p_name, '"}') end"""
+
+
+@query(f"""with r as (select p_partkey as k, {_BODY} as body from part where p_partkey % 6 in (0, 1, 2))
+    select (body::json ->> '$.data.id') as external_id, (body::json ->> '$.data.title') as canonical_title, (body::json ->> '$.data.final_volume')::int as total_volumes from r where k % 6 = 0
+    union all select body::json ->> '$.id', body::json ->> '$.title', null from r where k % 6 = 1
+    union all select body::json ->> '$.data[0].id', body::json ->> '$.data[0].title', null from r where k % 6 = 2 union all select body::json ->> '$.data[1].id', body::json ->> '$.data[1].title', null from r where k % 6 = 2""")
+def client_answers(part: DataFrame) -> DataFrame:
+    responses = part.select(F.when(F.col("p_partkey") % 6 == 5, 404).otherwise(200).alias("status"), F.expr(_BODY).alias("body"))
+    return feeds.answers_of(responses).select("external_id", "canonical_title", "total_volumes")
+
+
 # --- rows and records --------------------------------------------------------------
 
 

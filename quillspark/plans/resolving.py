@@ -25,9 +25,21 @@ def _inputs(spark, part: DataFrame) -> dict[str, DataFrame]:
     return {"releases": releases, "mapping": mapping, "foreign": foreign, "catalog": catalog, "id_map": id_map}
 
 
-_EXPECTED = """select p_partkey as id, case when p_partkey % 10 in (0) then 'known_external_id' when p_partkey % 10 = 1 then 'foreign_id_lookup' when p_partkey % 10 = 9 then null else 'fuzzy_title' end as path,
-    case when p_partkey % 10 = 9 then 'unresolved' when p_partkey % 2 = 1 then 'ambiguous' else 'resolved' end as status,
-    case when p_partkey % 10 in (0, 9) then null else p_partkey end as entry, case when p_partkey % 10 = 0 then p_partkey * 10 end as series_id from part"""
+#: The steps of the resolution over the same inputs, each from its own table.
+_EXPECTED = f"""with entries as (select p_partkey as entry, concat(p_name, ' saga q', p_partkey, 'z') as title, case when p_partkey % 2 = 0 then 'manga' else 'novel' end as kind from part),
+    mapped as (select 'mal' as provider, concat('m', p_partkey) as external_id, p_partkey * 10 as series_id, case when p_partkey % 2 = 0 then 'manga' else 'novel' end as kind from part where p_partkey % 5 = 0),
+    listed as (select 'anilist' as provider, concat('a', p_partkey) as external_id, p_partkey as entry from part),
+    asked as (select p_partkey as id, case when p_partkey % 10 = 9 then concat('nothing like it ', p_partkey, 'k') else concat(p_name, ' saga q', p_partkey, 'z v01-03 (2019) (Digital).cbz') end as title from part),
+    links as (select p_partkey as id, 0 as pos, 'anilist' as provider, concat('a', p_partkey) as external_id from part where p_partkey % 10 in (0, 1) union all select p_partkey, 1, 'mal', concat('m', p_partkey) from part where p_partkey % 10 = 0),
+    known as (select id, arg_min(series_id, pos) as series_id, arg_min(kind, pos) as kind from links join mapped using (provider, external_id) group by id),
+    looked as (select id, arg_min(entry, pos) as entry from links join listed using (provider, external_id) where id not in (select id from known) group by id),
+    cleaned as (select id, trim(regexp_replace(title, ' v01-03 \\(2019\\) \\(Digital\\)\\.cbz$', '')) as text from asked where id not in (select id from known) and id not in (select id from looked)),
+    e as (select *, list_distinct(regexp_split_to_array(lower(title), '[^a-z0-9]+')) as t, {_grams("title")} as g from entries),
+    c as (select *, list_distinct(regexp_split_to_array(lower(text), '[^a-z0-9]+')) as t, {_grams("text")} as g from cleaned),
+    hits as (select c.id, e.entry, e.kind, cast({_DICE.format(a="c.g", b="e.g")} as float) as score from c join e on list_contains(e.t, c.t[-1]) and len(list_intersect(c.t, e.t)) = len(c.t)),
+    best as (select * from (select *, row_number() over (partition by id order by score desc, entry) as place from hits) where place = 1 and score >= 0.85::float),
+    decided as (select id, 'known_external_id' as path, kind, null as entry, series_id from known union all select id, 'foreign_id_lookup', kind, entry, null from looked join entries using (entry) union all select id, 'fuzzy_title', kind, entry, null from best)
+    select a.id, d.path, case when d.id is null then 'unresolved' when d.kind = 'novel' then 'ambiguous' else 'resolved' end as status, d.entry, d.series_id from asked a left join decided d using (id)"""
 
 
 @query(_EXPECTED)
@@ -43,6 +55,17 @@ def resolve_tally(spark, part: DataFrame) -> DataFrame:
     return ag.outcome_tally(outcomes.select(F.col("path").alias("resolution_path"), F.col("status").alias("resolution_status")))
 
 
+@query(f"""with outcome as ({_EXPECTED}), founded as (select entry, row_number() over (order by entry) + 10000000 as series_id from (select distinct entry from outcome where entry is not null))
+    select o.id, o.path, o.status, coalesce(o.series_id, f.series_id)::bigint as series_id from outcome o left join founded f using (entry)""")
+def resolved_to_series(spark, part: DataFrame) -> DataFrame:
+    given = _inputs(spark, part)
+    none = F.array().cast("array<struct<provider:string,id:string>>")
+    series = spark.createDataFrame([(10_000_000, "Stored", "manual", 1)], "id bigint, title string, metadata_source string, updated_at bigint")
+    catalog = given.pop("catalog").withColumn("foreign_ids", F.when(F.col("entry") % 10 == 3, F.array(F.struct(F.lit("anilist").alias("provider"), F.concat(F.lit("a"), F.col("entry").cast("string")).alias("id")))).otherwise(none))
+    outcomes, _, _, _ = resolution.resolve_and_persist(series=series, catalog=catalog, provider="mangabaka", now=5, **given)
+    return outcomes.select("id", "path", "status", "series_id")
+
+
 @query("select id from releases where resolution_status in ('unresolved', 'ambiguous') and resolution_status not in ('rejected', 'standalone') and (resolution_path <> 'manual' or resolution_path is null)")
 def open_releases(releases: DataFrame) -> DataFrame:
     return resolution.open_releases(releases, ["unresolved", "ambiguous"]).select("id")

@@ -271,8 +271,10 @@ _LISTING = """concat('<table class="torrent-list"><tbody><tr><td><a href="/view/
     upper(md5(p_name)), '&amp;dn=x">m</a></td><td class="text-center">', p_size, ' KiB</td>', case when p_partkey % 7 = 0 then '' else concat('<td data-timestamp="', 1700000000 + p_partkey, '"></td>') end, '</tr></tbody></table>')"""
 
 
-@query("""select p_partkey::varchar as external_id, concat(p_name, ' & more') as title, concat('https://feed.example/view/', p_partkey) as link, md5(p_name) as info_hash, concat('https://feed.example/download/', p_partkey, '.torrent') as torrent_url,
-    p_size::bigint * 1024 as size_bytes, 1700000000 + p_partkey as posted from part where p_partkey % 7 <> 0""")
+@query(rf"""with listed as (select {_LISTING} as html from part)
+    select regexp_extract(html, '/view/(\d+)"', 1) as external_id, replace(regexp_extract(html, 'title="([^"]*)"', 1), '&amp;', '&') as title, 'https://feed.example' || regexp_extract(html, 'href="(/view/\d+)"', 1) as link,
+      lower(regexp_extract(html, 'btih:([0-9A-Fa-f]+)', 1)) as info_hash, 'https://feed.example' || regexp_extract(html, 'href="(/download/[^"]+)"', 1) as torrent_url,
+      regexp_extract(html, '>(\d+) KiB<', 1)::bigint * 1024 as size_bytes, regexp_extract(html, 'data-timestamp="(\d+)"', 1)::bigint as posted from listed where html like '%data-timestamp="%'""")
 def listing_rows(part: DataFrame) -> DataFrame:
     rows = pages_.parse_listing(part.select(F.expr(_LISTING).alias("html")), "feed", "https://feed.example")
     return rows.select("external_id", "title", "link", "info_hash", "torrent_url", "size_bytes", F.unix_timestamp("posted_at").alias("posted"))
@@ -282,19 +284,22 @@ _DETAIL = """concat('<h3 class="panel-title"> ', p_name, '</h3><div class="col-m
     '<div id="torrent-description">', p_type, ' https://anilist.co/manga/', p_partkey, '</div><div class="torrent-file-list"><ul><li><a class="folder">d</a><ul><li>', p_brand, '.cbz<span>1</span></li></ul></li></ul></div><div id="comments">https://myanimelist.net/manga/', p_size, '</div>')"""
 
 
-@query("""select p_partkey as id, p_name as title, md5(p_name) as info_hash, p_size::bigint * 1000000 as size_bytes, concat(p_brand, '.cbz') as files, concat(p_type, ' https://anilist.co/manga/', p_partkey) as description_html,
-    concat('https://anilist.co/manga/', p_partkey) as own, concat('https://myanimelist.net/manga/', p_size) as suggested from part where p_partkey % 5 <> 0""")
+@query(rf"""with shown as (select p_partkey as id, {_DETAIL} as html from part), parts as (select *, regexp_extract(html, 'torrent-description">([^<]*)<', 1) as description, regexp_extract(html, 'id="comments">([^<]*)<', 1) as comments from shown)
+    select id, trim(regexp_extract(html, '<h3 class="panel-title">([^<]*)<', 1)) as title, lower(regexp_extract(html, '<kbd>([^<]*)<', 1)) as info_hash, regexp_extract(html, '>(\d+) MB<', 1)::bigint * 1000000 as size_bytes,
+      regexp_extract(html, '<li>([^<>]+)<span>', 1) as files, description as description_html, regexp_extract(description, 'https://anilist\S+', 0) as own, regexp_extract(comments, 'https://myanimelist\S+', 0) as suggested
+    from parts where html like '%<kbd>%'""")
 def detail_pages(part: DataFrame) -> DataFrame:
     rows = pages_.parse_detail(part.select(F.col("p_partkey").alias("id"), F.expr(_DETAIL).alias("html")), "https://feed.example")
     return rows.select("id", "title", "info_hash", "size_bytes", F.array_join("files", ";").alias("files"), "description_html", F.col("external_links.anilist").alias("own"), F.col("comment_suggested_links.mal").alias("suggested"))
 
 
-_ITEM = """concat('<item><title><![CDATA[', p_name, ' <b>]]></title><link>https://feed.example/download/', p_partkey, '.torrent</link><guid>https://feed.example/view/', p_partkey, '</guid><pubDate>', case when p_partkey % 6 = 0 then 'never' else 'Tue, 02 Jan 2024 03:04:05 -0000' end,
+_ITEM = """concat('<item><title><![CDATA[', p_name, ' <b>]]></title><link>https://feed.example/download/', p_partkey, '.torrent</link><guid>https://feed.example/view/', p_partkey, '</guid><pubDate>', case when p_partkey % 6 = 0 then 'never' else concat('Tue, 02 Jan 2024 ', case when p_partkey % 24 < 10 then '0' else '' end, p_partkey % 24, ':04:05 -0', p_partkey % 5, '00') end,
     '</pubDate><x:size>', p_size, ' GiB</x:size><x:infoHash>', upper(md5(p_name)), '</x:infoHash></item>')"""
 
 
-@query("""select p_partkey::varchar as external_id, concat(p_name, ' <b>') as title, p_size::bigint * 1073741824 as size_bytes, md5(p_name) as info_hash, concat('https://feed.example/download/', p_partkey, '.torrent') as torrent_url, 1704164645::bigint as posted
-    from part where p_partkey % 6 <> 0""")
+@query(rf"""with items as (select {_ITEM} as x from part), fields as (select x, regexp_extract(x, '<pubDate>(.*?)</pubDate>', 1) as said from items)
+    select regexp_extract(x, '/view/(\d+)</guid>', 1) as external_id, regexp_extract(x, 'CDATA\[(.*?)\]\]>', 1) as title, regexp_extract(x, '<x:size>(\d+) GiB', 1)::bigint * 1073741824 as size_bytes, lower(regexp_extract(x, '<x:infoHash>(\w+)<', 1)) as info_hash,
+      regexp_extract(x, '<link>(.*?)</link>', 1) as torrent_url, epoch(strptime(said, '%a, %d %b %Y %H:%M:%S %z'))::bigint as posted from fields where said <> 'never'""")
 def feed_items(part: DataFrame) -> DataFrame:
     bodies = part.groupBy((F.col("p_partkey") % 50).alias("feed")).agg(F.array_join(F.collect_list(F.expr(_ITEM)), "").alias("items"))
     items = feeds.items_of(bodies.select(F.concat(F.lit("<rss><channel>"), F.col("items"), F.lit("</channel></rss>")).alias("body")))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import ids
@@ -104,8 +105,18 @@ INDEX = "data array<struct<id:string,externalIds:array<struct<source:string,exte
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """Items of paged JSON index files, in page order, with known provider names."""
+    """Items of paged JSON index files, in page order, with known provider names.
+
+    Pages after the one with which as many items as the total are there, and
+    after an empty one, are left out, as a walk over them would not ask for them.
+    """
     pages = spark.read.schema(INDEX).option("multiLine", True).json(path)
+    # one short row for each page
+    sizes = pages.select("page", F.size("data").alias("n"), "total")
+    before = Window.partitionBy(F.lit(0)).orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    walked = sizes.withColumn("have", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("ended", F.coalesce(F.max(F.col("n") <= 0).over(before), F.lit(False)))
+    walked = walked.where((F.col("have") < F.coalesce("total", F.lit(2**62))) & ~F.col("ended")).select("page")
+    pages = pages.join(F.broadcast(walked), "page", "left_semi")
     items = pages.select("page", F.posexplode("data").alias("pos", "d"))
     named = F.filter(F.transform("d.externalIds", lambda x: F.struct(ids.source_name(x["source"]).alias("provider"), x["externalId"].alias("external_id"))), lambda x: x["provider"].isNotNull())
     return items.select((F.col("page") * 1_000_000 + F.col("pos")).alias("place"), F.col("d.id").alias("item"), named.alias("ids"), F.col("d.localMaxVolume").alias("have_volume"), F.col("d.localMaxChapter").alias("have_chapter"), F.col("d.volumesOwned").alias("volumes_owned"))
@@ -114,11 +125,30 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 PROVIDER = "id bigint, state string, title string, native_title string, romanized_title string, secondary_titles map<string,array<struct<title:string>>>, type string, status string, year int, rating double, final_volume string, total_chapters string, description string, genres array<string>, tags array<string>, source map<string,struct<id:string>>"
 
 
+_AS_STRUCT = re.sub(r"(^|, )(\w+) ", r"\1\2:", PROVIDER)
+
+
 def read_provider(spark: SparkSession, path: str) -> DataFrame:
     """Provider records from JSON lines, mapped to the catalog's vocabulary."""
+    return provider_records(spark.read.schema(PROVIDER).json(path))
+
+
+def answers_of(responses: DataFrame) -> DataFrame:
+    """Provider records in responses (``status``, ``body``), mapped to the catalog's vocabulary.
+
+    A body is a record or a list of records, bare or as ``data`` of an
+    envelope.  Other statuses than 200, as 404 for an unknown id, give no
+    rows, and so do bodies that are no JSON and records without an id.
+    """
+    said = responses.where("status = 200").select(F.coalesce(F.get_json_object("body", "$.data"), "body").alias("data"))
+    each = said.select(F.explode(F.when(F.ltrim("data").startswith("["), F.from_json("data", f"array<struct<{_AS_STRUCT}>>")).otherwise(F.array(F.from_json("data", PROVIDER)))).alias("r"))
+    return provider_records(each.where("r.id is not null").select("r.*"))
+
+
+def provider_records(rows: DataFrame) -> DataFrame:
+    """Rows as the provider has them (:data:`PROVIDER`), mapped to the catalog's vocabulary."""
     from quillspark.functions import values as va
 
-    rows = spark.read.schema(PROVIDER).json(path)
     other = F.flatten(F.transform(F.map_values("secondary_titles"), lambda t: F.transform(t, lambda x: x["title"])))
     every = F.concat(F.array("native_title", "romanized_title"), F.coalesce(other, F.array().cast("array<string>")))
     provider = lambda k: F.when(k == "manga_updates", "mangaupdates").when(k == "my_anime_list", "mal").otherwise(k)

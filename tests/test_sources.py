@@ -106,6 +106,16 @@ def test_index_and_provider_files(spark, tmp_path):
     assert [tuple(x) for x in row["foreign_ids"]] == [("mal", "5")]
 
 
+def test_index_is_read_up_to_its_total(spark, tmp_path):
+    page = lambda n, items, total: json.dumps({"data": [{"id": i} for i in items], "page": n, "pageSize": 2, "total": total})
+    for folder, pages in (("a", [(1, "ab", 3), (2, "c", 3), (3, "d", 3)]), ("b", [(1, "ab", 9), (2, "", 9), (3, "c", 9)]), ("c", [(1, "a", None), (2, "b", None)])):
+        (tmp_path / folder).mkdir()
+        for n, items, total in pages:
+            (tmp_path / folder / f"{n}.json").write_text(page(n, items, total))
+    got = {f: "".join(r["item"] for r in feeds.read_index(spark, f"{tmp_path}/{f}").orderBy("place").collect()) for f in "abc"}
+    assert got == {"a": "abc", "b": "ab", "c": "ab"}
+
+
 def test_snapshots(spark, tmp_path):
     path = f"file://{tmp_path}/dump"
     assert snapshot.current(spark, path) is None
