@@ -135,3 +135,11 @@ def cursor_parts(text: Column) -> Column:
     stamp = F.regexp_extract(F.decode(plain, "UTF-8"), r"^(-?\d+):(-?\d+)$", 1).try_cast("bigint")
     id = F.regexp_extract(F.decode(plain, "UTF-8"), r"^(-?\d+):(-?\d+)$", 2).try_cast("bigint")
     return F.when(stamp.isNotNull() & id.isNotNull(), F.struct(stamp.alias("stamp"), id.alias("id")))
+
+
+def imported_id(address: Column, base: str) -> Column:
+    """Post id of a page on the feed's own host (``view`` or ``download``, then digits); null for other hosts and paths."""
+    home = base.split("://", 1)[-1].split("/", 1)[0].lower()
+    url = F.trim(address)
+    own = F.lower(F.regexp_extract(url, r"^https?://([^/?#]*)", 1)) == home
+    return F.when(own, F.nullif(F.regexp_extract(url, r"^https?://[^/?#]*/+(?:view|download)/+([0-9]+)", 1), F.lit("")))

@@ -92,6 +92,11 @@ def replace_for_keys(stored: DataFrame, incoming: DataFrame, touched: DataFrame,
     return stored.join(touched.select(key), key, "left_anti").unionByName(incoming.select(*stored.columns))
 
 
+def appended(history: DataFrame, snapshot: DataFrame, stamp: str) -> DataFrame:
+    """A history with one more snapshot; one of the same time is there already and stays."""
+    return history.unionByName(snapshot.join(history.select(stamp), stamp, "left_anti").select(*history.columns))
+
+
 def run_history(opened: DataFrame, closed: DataFrame, id: str = "id") -> DataFrame:
     """Runs from open and close events: a run without a close event is ``running``."""
     ends = latest(closed, [id], F.col("finished_at"))

@@ -36,4 +36,4 @@ def query(sql: str | None = None):
     return register
 
 
-from quillspark.plans import catalog, edits, metrics, providers, resolving, text  # noqa: E402, F401  (they register their queries)
+from quillspark.plans import catalog, edits, metrics, providers, reruns, resolving, text  # noqa: E402, F401  (they register their queries)

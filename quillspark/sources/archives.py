@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators.lineage import settled
+from quillspark.sources.tables import Change, TableSet, replaced
 
 #: Bytes of a chunk, lines of a batch.
 CHUNK, LINES = 1 << 20, 10_000
@@ -75,6 +76,33 @@ def member_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(work, "line string")
 
 
+def refresh(tables: TableSet, number: int, provider: str, path: str, schema: str, target: str, now: int, least: int = 1) -> bool:
+    """Refresh a provider's table from its dump: publish it below ``target``, and commit its state and a run row.
+
+    A broken dump leaves the published table, and its run row says so.  A
+    number that was committed is skipped; if the run failed between publishing
+    and committing, the same content is published again.
+    """
+    from quillspark.sources import snapshot
+
+    spark, stream = tables.spark, f"refresh:{provider}"
+    if tables.done(stream, number):
+        return False
+    version, rows, error = None, None, None
+    try:
+        records = load_dump(spark, path, schema, least=least)
+        version = digest_of(spark, path)
+        rows = snapshot.publish(records, target, least)
+    except snapshot.BrokenSnapshot as broken:
+        error = str(broken)
+    run = spark.createDataFrame([(f"{provider}/{number}", provider, now, "failure" if error else "success", rows, error)], "run string, provider string, started_at bigint, status string, records bigint, error string")
+    changes = {"provider_refreshes": Change(["run"], run, replaced(["run"]))}
+    if error is None:
+        state = spark.createDataFrame([(provider, now, version, rows)], "provider string, refreshed_at bigint, version string, records bigint")
+        changes["provider_cache_state"] = Change(["provider", "refreshed_at"], state, replaced(["provider", "refreshed_at"]))
+    return tables.commit(stream, number, changes)
+
+
 def load_dump(spark: SparkSession, path: str, schema: str, side: str | None = None, least: int = 1) -> DataFrame:
     """Records of a packed dump of JSON lines, after its checks.
 

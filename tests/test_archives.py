@@ -67,6 +67,22 @@ def test_a_dump_becomes_a_published_table_with_its_index(spark, tmp_path):
     assert sorted((r["external_id"], r["id"]) for r in index.collect()) == [("0", 0), ("1", 1), ("2", 2), ("3", 7)]
 
 
+def test_refreshes_keep_the_last_good_dump(spark, tmp_path):
+    from quillspark.sources.tables import TableSet
+
+    tables, target, path = TableSet(spark, f"file://{tmp_path}/t"), f"file://{tmp_path}/target", tmp_path / "d.tgz"
+    again = lambda n: archives.refresh(tables, n, "p", str(path), "id bigint", target, 100 + n, least=2)
+    with pytest.warns(archives.DigestWarning):
+        version = pack(path, [("a", LINES)])
+        assert again(0) and not again(0)
+        pack(path, [("a", '{"id": 5}')])
+        assert again(1)
+    assert sorted(r["id"] for r in snapshot.current(spark, target).collect()) == [1, 2]
+    runs = {r["run"]: (r["status"], r["records"], r["error"]) for r in tables.read("provider_refreshes").collect()}
+    assert runs == {"p/0": ("success", 2, None), "p/1": ("failure", None, "1 records, at least 2 expected")}
+    assert [tuple(r) for r in tables.read("provider_cache_state").collect()] == [("p", 100, version, 2)]
+
+
 ROWS = [(1, 'A, "b"', True, ["x", "y"]), (2, "C|d\ne", False, []), (3, None, None, None)]
 
 
