@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,30 +47,26 @@ def histogram(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("n"))
 
 
-#: Borders between the values of a group, and equal steps between two borders.
-BORDERS, STEPS = 32, 32
-
-
-def nearest_rank(rows: DataFrame, value: str, shares: dict[str, float], keys: list[str] | None = None) -> DataFrame:
+def nearest_rank(rows: DataFrame, value: str, shares: dict[str, float], keys: list[str] | None = None, buckets: int = 1024) -> DataFrame:
     """Nearest-rank percentiles at rank floor(p n + 0.5), with count and maximum.
 
     Values are counted first, on the map side, then summed by bucket.  Borders
     are approximate percentiles of a group's different values, so that an
     outlier does not gather the others in one bucket, and each cell between two
-    borders has equal steps.  Only the values of the one bucket that holds a
+    borders has equal steps, as many as there are cells.  Only the values of the one bucket that holds a
     rank are ordered, so no task sees all the values of a group, or of a table
     without ``keys``.  Without keys and values: one row, n = 0.
     """
-    keys = keys or []
+    keys, steps = keys or [], max(1, math.isqrt(buckets))
     counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    cuts = F.percentile_approx(F.col(value).cast("double"), [i / BORDERS for i in range(BORDERS + 1)], 1000)
+    cuts = F.percentile_approx(F.col(value).cast("double"), [i / steps for i in range(steps + 1)], 1000)
     ends = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.max(value).alias("max"), cuts.alias("_cuts"))
     joined = (counts.join(ends, keys) if keys else counts.crossJoin(F.broadcast(ends))).withColumn("_v", F.col(value).cast("double"))
     cell = F.size(F.filter("_cuts", lambda x: x <= F.col("_v")))
     placed = joined.withColumn("_cell", cell)
     low, high = F.get("_cuts", F.col("_cell") - 1), F.get("_cuts", F.col("_cell"))
-    step = F.when((F.col("_cell") > 0) & (high > low), F.least(F.floor((F.col("_v") - low) / (high - low) * STEPS), F.lit(STEPS - 1))).otherwise(0)
-    placed = placed.withColumn("_b", (F.col("_cell") * STEPS + step).cast("int"))
+    step = F.when((F.col("_cell") > 0) & (high > low), F.least(F.floor((F.col("_v") - low) / (high - low) * steps), F.lit(steps - 1))).otherwise(0)
+    placed = placed.withColumn("_b", (F.col("_cell") * steps + step).cast("int"))
     sums = placed.groupBy(*keys, "_b").agg(F.sum("_c").alias("_s"), F.first("_n").alias("_n"))
     by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = sums.withColumn("_before", F.sum("_s").over(by.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_s"))

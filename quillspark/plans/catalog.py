@@ -42,9 +42,9 @@ def title_words(series: DataFrame) -> DataFrame:
     return series.where(fi.token_filter("title", " AN  l_e ")).select("id", "title")
 
 
-@query("select id, link from releases where link in ('https://feed.example/view/9', 'https://feed.example/view/9/')")
+@query("select id, link from releases where link in ('https://feed.example/view/11', 'https://feed.example/view/11/')")
 def release_by_link(releases: DataFrame) -> DataFrame:
-    return releases.where(fi.free_text_filter("https://feed.example/view/9/ ", title="source_name")).select("id", "link")
+    return releases.where(fi.free_text_filter("https://feed.example/view/11/ ", title="source_name")).select("id", "link")
 
 
 @query("select id, external_id from releases where external_id = 'x7-1' or (source_name ilike '%EED%' and source_name ilike '%d5%')")
