@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Words remembered by one Python worker, and the longest of them; only a speed and memory matter.
-CACHE_WORDS = 80_000
+CACHE_WORDS = 160_000
+#: Pairs of pieces of which a worker remembers whether they stay apart.
+CACHE_PAIRS = 320_000
 LONG_WORD = 64
 
 
@@ -81,13 +83,13 @@ class PieceCoder:
                 self.automaton.add_word(p, len(p))
         self.automaton.make_automaton()
         self.fits: dict[tuple[str, str], bool] = {}
-        #: ids and ids as text of each piece, and of unknown characters as they come
-        self.known = {p: ((i,), str(i)) for p, i in self.ids.items()}
+        #: each id as text
+        self.said = list(map(str, range(len(self.strings))))
         #: what each id stands for in UTF-8: a byte piece is its byte, a control piece nothing
         self.bytes = [b"" if p.type == kind.CONTROL else bytes([int(p.piece[3:5], 16)]) if p.type == kind.BYTE else " \u2047 ".encode() if p.type == kind.UNKNOWN else p.piece.replace(MARK, " ").encode() for p in model.pieces]
         #: words seen lately and before that: a full cache becomes the older one
-        self.words: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.older: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def merge(self, text: str, stop: int = 1) -> list[str]:
         """Merge the characters of a short string down to ``stop`` parts: best score first, leftmost of equals."""
@@ -112,7 +114,7 @@ class PieceCoder:
         pair = (first, second)
         known = self.fits.get(pair)
         if known is None:
-            if len(self.fits) > 4 * CACHE_WORDS:
+            if len(self.fits) > CACHE_PAIRS:
                 self.fits.clear()
             if first in self.odd or second in self.odd:
                 known = self.merge(first + second) == [first, second]
@@ -171,13 +173,17 @@ class PieceCoder:
                 last = out[-1] if out else None
             piece = shorter
 
-    def word(self, word: str) -> tuple[tuple[int, ...], str]:
-        """Ids of a word, and the same as text."""
+    def word(self, word: str) -> tuple[int, ...]:
+        """Ids of a word."""
         made = self.older.get(word)
         if made is None:
-            known = self.known
-            pieces = [known.get(p) or self.spelled(p) for p in self.split(word)]
-            made = (tuple([i for p in pieces for i in p[0]]), ",".join([p[1] for p in pieces]))
+            known, found = self.ids, []
+            for p in self.split(word):
+                if (i := known.get(p)) is not None:
+                    found.append(i)
+                else:  # an unknown character as byte pieces
+                    found += [self.byte_id[b] for b in p.encode("utf-8")]
+            made = tuple(found)
         if len(word) > LONG_WORD:
             return made
         if len(self.words) >= CACHE_WORDS:
@@ -185,21 +191,15 @@ class PieceCoder:
         self.words[word] = made
         return made
 
-    def spelled(self, char: str) -> tuple[tuple[int, ...], str]:
-        """An unknown character as byte pieces."""
-        ids = tuple(self.byte_id[b] for b in char.encode("utf-8"))
-        return ids, ",".join(map(str, ids))
-
-    def parts(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        """For each word of a text: ids, ids as text."""
+    def encode(self, text: str) -> list[int]:
         if not text:
             return []
-        get = self.word
-        found = _WORD.findall(self.prefix + text.replace(" ", MARK))
-        return [self.words.get(w) or get(w) for w in found]
-
-    def encode(self, text: str) -> list[int]:
-        return [i for ids, _ in self.parts(text) for i in ids]
+        seen, get = self.words, self.word
+        out: list[int] = []
+        for w in _WORD.findall(self.prefix + text.replace(" ", MARK)):
+            out += seen.get(w) or get(w)
+            seen = self.words
+        return out
 
     def surface(self, ids) -> str:
         """The text of ids before the first mark is taken off."""
@@ -268,8 +268,7 @@ def piece_ids(text: Column, path: str) -> Column:
         it = coder(path)
         flat, ends = array("i"), [0]
         for t in texts.to_pylist():
-            for ids, _ in it.parts(t or ""):
-                flat.extend(ids)
+            flat.extend(it.encode(t or ""))
             ends.append(len(flat))
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
 
@@ -297,12 +296,12 @@ def piece_digest(text: Column, path: str) -> Column:
     @F.arrow_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
     def digest(texts: pa.Array) -> pa.Array:
         it = coder(path)
+        said = it.said
         n, ids, back = [], [], []
         for t in texts.to_pylist():
-            parts = it.parts(t or "")
-            found = [i for p in parts for i in p[0]]
+            found = it.encode(t or "")
             n.append(len(found))
-            ids.append(hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest())
+            ids.append(hashlib.sha256(",".join([said[i] for i in found]).encode()).hexdigest())
             back.append(hashlib.sha256(it.decode(found).encode()).hexdigest())
         return pa.StructArray.from_arrays(
             [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())],
