@@ -83,6 +83,7 @@ class PieceCoder:
                 self.automaton.add_word(p, len(p))
         self.automaton.make_automaton()
         self.fits: dict[tuple[str, str], bool] = {}
+        self.own = {p: p for p in self.ids}
         #: each id as text
         self.said = list(map(str, range(len(self.strings))))
         #: what each id stands for in UTF-8: a byte piece is its byte, a control piece nothing
@@ -120,7 +121,8 @@ class PieceCoder:
                 known = self.merge(first + second) == [first, second]
             else:
                 known = self._unmerged(first, second)
-            self.fits[pair] = known
+            # with the model's own strings, not the slices of a word that the pair came as
+            self.fits[self.own.get(first, first), self.own.get(second, second)] = known
         return known
 
     def _unmerged(self, left: str, right: str) -> bool:
