@@ -71,7 +71,7 @@ def leaf_quotas(leaves: DataFrame, weights: dict[str, dict[str, int]], budget: i
 
     ``leaves`` has the token sum of each leaf.  Quotas are whole tokens, so
     they can fall short of the budget by less than one token a node.  Nodes of
-    weight 0 get nothing and are left out.
+    weight 0 or less get nothing and are left out.
     """
     top = leaves.withColumn("cap", F.col("tokens") * max_epochs)
     domains = top.groupBy("domain").agg(F.sum("cap").alias("cap"))

@@ -121,8 +121,9 @@ def following(keys: DataFrame, bits: int = WINDOW_BITS) -> DataFrame:
 def with_next(docs: DataFrame, id: str, carry: list[str]) -> DataFrame:
     """``docs`` with ``next_<c>`` for each column of ``carry``: its value in the next row by ``id``.
 
-    Ascending id, null first, ties by the carried columns; the last row is
-    followed by the first.  Rows are dealt to windows of neighbouring ids, and
+    Ascending id (a whole number within the longs; a text that is none is an
+    error), null first, ties by the carried columns; the last row is followed
+    by the first.  Rows are dealt to windows of neighbouring ids, and
     the first row of each window is also dealt to the window before, so each
     row moves once and no window is longer than its ids.  Rows without an id
     are a window of their own, before all others.

@@ -81,8 +81,9 @@ def link_vectors(vectors: DataFrame, id: str = "vec_id", vector: str = "embeddin
     with nothing.  A row whose id is null is left out of linking and keeps a
     null component.  Empty tables give no rows.
 
-    Buckets are dealt out as numbers; the vectors themselves move once, to the
-    pairs of blocks in which they are compared.
+    Buckets are dealt out as numbers; a vector itself moves to each pair of
+    blocks in which it is compared, so once for each table that it meets
+    another one in.
     """
     kind = vectors.schema[vector].dataType.elementType
     code = "<f4" if isinstance(kind, T.FloatType) else "<f8"
