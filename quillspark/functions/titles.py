@@ -10,15 +10,14 @@ FALLBACK_WEIGHT = 0.9
 
 # The words and patterns that are stripped, in this order.
 FORMAT_WORDS = ["Digital", "Raw", "Color", "Colored", "Omnibus", "Premium", "Complete", "Decensored", "Uncensored", "Webtoon", "WN", "LN"]
-_N = r"\d{1,4}(?:\.\d{1,2})?"
 STRIP_RULES = [
     ("strip_brackets", r"\[[^\]]*\]"),
     ("strip_parens", r"\([^)]*\)"),
     ("strip_braces", r"\{[^}]*\}"),
-    ("strip_vol_compact", rf"(?i)\b(?:v|vol\.?|c|ch\.?)\s*{_N}(?:v\d+)?(?:\s*[-+,&]\s*{_N})*\b"),
-    ("strip_vol_word", rf"(?i)\b(?:volumes?|chapters?)\s+{_N}(?:v\d+)?(?:\s*[-–]\s*{_N})?\b"),
+    ("strip_vol_compact", r"(?i)\b(?:v|vol\.?|c|ch\.?)\s*\d{1,4}(?:\.\d{1,2})?(?:v\d+)?(?:\s*[-+,&]\s*\d{1,4}(?:\.\d{1,2})?)*\b"),
+    ("strip_vol_word", r"(?i)\b(?:volumes?|chapters?)\s+\d{1,4}(?:\.\d{1,2})?(?:v\d+)?(?:\s*[-–]\s*\d{1,4}(?:\.\d{1,2})?)?\b"),
     ("strip_parts", r"(?i)\bparts\s+\d{1,4}(?:\s*[-–]\s*\d{1,4})?\b"),
-    ("strip_chapter_range", rf"(?i)\b{_N}\s*-\s*{_N}(?:\s+as\b)?"),
+    ("strip_chapter_range", r"(?i)\b\d{1,4}(?:\.\d{1,2})?\s*-\s*\d{1,4}(?:\.\d{1,2})?(?:\s+as\b)?"),
     ("strip_year", r"\b(?:19|20)\d{2}\b"),
     ("strip_ext", r"(?i)\.(?:zip|cbz|cbr|epub|pdf|rar|7z)\b"),
 ]
