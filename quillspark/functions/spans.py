@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspark.functions.bound import let
+
 SPANS = "array<struct<start:double,end:double>>"
 
 # The markers that introduce numbers, and how ranges are written.
@@ -44,6 +46,11 @@ def merge_spans(spans: Column) -> Column:
     exactly if the i-th smallest end is more than 1 below the next start.  A
     single span needs none of that, and most titles have no more.
     """
+    return let(spans, _merged)
+
+
+def _merged(spans: Column) -> Column:
+    """:func:`merge_spans` of a bound value."""
     starts = F.array_sort(F.transform(spans, lambda s: F.least(s["start"], s["end"])))
     ends = F.array_sort(F.transform(spans, lambda s: F.greatest(s["start"], s["end"])))
 
@@ -54,13 +61,16 @@ def merge_spans(spans: Column) -> Column:
         return F.arrays_zip(opened.alias("start"), closed.alias("end")).cast(SPANS)
 
     turned = F.transform(spans, lambda s: F.struct(F.least(s["start"], s["end"]).alias("start"), F.greatest(s["start"], s["end"]).alias("end")))
-    many = F.get(F.transform(F.array(F.struct(starts.alias("starts"), ends.alias("ends"))), joined), F.lit(0))
+    many = let(F.struct(starts.alias("starts"), ends.alias("ends")), joined)
     return F.when(F.size(spans) <= 1, turned.cast(SPANS)).when(spans.isNotNull(), many)
 
 
 def detect(text: Column) -> Column:
     """Struct of unmerged ``volumes`` and ``chapters`` of one text."""
-    stem = without_groups(text)
+    return let(without_groups(text), _of_stem)
+
+
+def _of_stem(stem: Column) -> Column:
     volumes = F.concat(_found(stem, VOLUME, 3), _found(stem, VOLUME_WORD, 2))
     chapters = F.concat(_found(stem, CHAPTER, 3), _found(stem, PLUS, 2))
     return F.struct(volumes.cast(SPANS).alias("volumes"), chapters.cast(SPANS).alias("chapters"))
@@ -69,10 +79,13 @@ def detect(text: Column) -> Column:
 def detect_spans(files: Column, title: Column) -> Column:
     """Merged ``volumes`` and ``chapters`` of all file names and the title."""
     texts = F.concat(F.coalesce(files, F.array().cast("array<string>")), F.array(F.coalesce(title, F.lit(""))))
-    found = F.transform(texts, detect)
-    volumes = merge_spans(F.flatten(F.transform(found, lambda f: f["volumes"])))
-    chapters = merge_spans(F.flatten(F.transform(found, lambda f: f["chapters"])))
-    return F.struct(volumes.alias("volumes"), chapters.alias("chapters"))
+
+    def merged(found: Column) -> Column:
+        volumes = merge_spans(F.flatten(F.transform(found, lambda f: f["volumes"])))
+        chapters = merge_spans(F.flatten(F.transform(found, lambda f: f["chapters"])))
+        return F.struct(volumes.alias("volumes"), chapters.alias("chapters"))
+
+    return let(F.transform(texts, detect), merged)
 
 
 def max_end(spans: Column) -> Column:

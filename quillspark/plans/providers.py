@@ -10,6 +10,7 @@ from quillspark.functions import ids, records, spans, titles
 from quillspark.functions import values as va
 from quillspark.operators import aggregates as ag
 from quillspark.operators import merges, misses, paging
+from quillspark.operators.lineage import dealt
 from quillspark.plans.registry import query
 from quillspark.sources import feeds
 from quillspark.plans.text import _CHAPTERS, _DICE, _VOLUMES, _grams, _merged_sql, _q
@@ -96,7 +97,7 @@ def foreign_id_lists(part: DataFrame) -> DataFrame:
 def capped_query_sets(part: DataFrame) -> DataFrame:
     given = F.transform(F.sequence(F.lit(1), F.col("p_size")), lambda i: F.concat("p_name", F.lit(" "), i.cast("string")))
     made = titles.query_set(F.concat(given, F.transform(given, lambda t: F.upper(t))))
-    return part.select(F.col("p_partkey").alias("id"), F.size(made["queries"]).alias("asked"), made["dropped"].cast("int").alias("dropped"))
+    return dealt(part, "p_partkey").select(F.col("p_partkey").alias("id"), F.size(made["queries"]).alias("asked"), made["dropped"].cast("int").alias("dropped"))
 
 
 #: Units of sizes with their bytes.
@@ -136,7 +137,7 @@ def _text(column: str):
 
 @query(f"with {_FILE_SPANS} select t.id, coalesce(vol.t, '') as volumes, coalesce(cha.t, '') as chapters from titles t left join vol on vol.id = t.id left join cha on cha.id = t.id")
 def file_spans(titles: DataFrame) -> DataFrame:
-    rows = _with_files(titles).select("id", spans.detect_spans(F.col("files"), F.col("title")).alias("s"))
+    rows = _with_files(dealt(titles, "id")).select("id", spans.detect_spans(F.col("files"), F.col("title")).alias("s"))
     return rows.select("id", _text("s.volumes").alias("volumes"), _text("s.chapters").alias("chapters"))
 
 
@@ -144,7 +145,7 @@ def file_spans(titles: DataFrame) -> DataFrame:
     now as (select o.*, coalesce(vol.t, '') as v, coalesce(cha.t, '') as c from old o left join vol using (id) left join cha using (id))
     select count(*) as releases_read, count(*) filter (v <> coalesce(was, '') or (not kept and c <> '')) as releases_rewritten, (select count(distinct id % 50) from titles) as series_read, (select count(distinct id % 50) from titles where id % 50 % 2 = 0) as series_changed from now""")
 def span_rewrite_counts(titles: DataFrame) -> DataFrame:
-    rows = _with_files(titles)
+    rows = _with_files(dealt(titles, "id"))
     now = spans.detect_spans(F.col("files"), F.col("title"))
     one = F.array(F.struct((F.col("id") % 7 + 1).cast("double").alias("start"), (F.col("id") % 7 + 1).cast("double").alias("end")))
     kind = F.col("id") % 3

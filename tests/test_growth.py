@@ -15,3 +15,19 @@ def test_borders_of_percentiles_are_drawn_once(spark, capsys):
     assert "percentile_approx" not in capsys.readouterr().out
     want = rows.groupBy("k").agg(F.expr("percentile_disc(0.5) within group (order by v)").alias("p50"))
     assert {(r["k"], r["p50"]) for r in out.collect()} == {(r["k"], r["p50"]) for r in want.collect()}
+
+
+def test_values_are_worked_out_once_within_lambdas():
+    text = F.col("x")
+    assert str(titles.query_set(text)).count("regexp_replace") == 1
+    assert str(similarity.bigrams(text)).count("regexp_replace") == 1
+    assert str(spans.detect(text)).count("regexp_replace") == 1
+    assert str(spans.detect_spans(F.col("files"), F.col("said"))).count("said") == 1
+
+
+def test_costly_expressions_are_dealt_over_all_tasks(spark, sf_dir):
+    from quillspark.plans.registry import QUERIES
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for name in ("title_dice", "title_spans", "cleaned_titles", "search_query_set", "capped_query_sets", "file_spans", "listing_rows", "detail_pages"):
+        assert QUERIES[name](spark, sf_dir).rdd.getNumPartitions() == parts, name
