@@ -31,3 +31,42 @@ def test_costly_expressions_are_dealt_over_all_tasks(spark, sf_dir):
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for name in ("title_dice", "title_spans", "cleaned_titles", "search_query_set", "capped_query_sets", "file_spans", "listing_rows", "detail_pages"):
         assert QUERIES[name](spark, sf_dir).rdd.getNumPartitions() == parts, name
+
+
+def _titles(spark):
+    names = ["cold widget", "widget cold", "Cold  Widget!", "cold widgets", "small ring", "", None]
+    return spark.createDataFrame([(i, names[i % len(names)]) for i in range(70)], "id long, title string")
+
+
+def test_all_copies_are_candidates(spark):
+    from quillspark.operators import search
+
+    rows = _titles(spark)
+    asked = spark.createDataFrame([(1, "widget cold"), (2, "cold"), (3, "cold cold"), (4, "no such"), (5, "")], "query_id long, text string")
+    got = sorted(map(tuple, search.candidate_pairs(asked, rows, "id", "title").collect()))
+    assert got == sorted(map(tuple, search.candidates(asked, search.token_index(rows, "id", "title")).collect()))
+    assert len(got) == 30 + 40 + 40
+
+
+def test_all_copies_are_similar_pairs(spark, sf_dir):
+    from quillspark.operators import joins
+    from quillspark.plans.registry import QUERIES
+
+    rows = _titles(spark)
+    got = sorted(map(tuple, joins.similar_title_rows(rows.where("id % 20 = 0"), rows, 0.8).collect()))
+    cross = rows.where("id % 20 = 0").selectExpr("id as left_id", "coalesce(title, '') as a").crossJoin(rows.selectExpr("id as right_id", "coalesce(title, '') as b"))
+    want = cross.select("left_id", "right_id", similarity.dice(F.col("a"), F.col("b")).alias("score")).where("score >= cast(0.8 as float)")
+    assert got == sorted(map(tuple, want.collect()))
+    assert QUERIES["similar_title_pairs"](spark, sf_dir).columns == ["left_id", "right_id", "score"]
+
+
+def test_first_records_of_a_title_answer(spark):
+    from quillspark.operators import misses
+
+    dump = _titles(spark).selectExpr("cast(id as string) as id", "title").where("title is not null")
+    asked = spark.createDataFrame([(1, "widget cold"), (2, "widget cold"), (3, "ring")], "query_id long, text string")
+    got = misses.titled_hits(asked, dump, 3)
+    assert {r["query_id"]: [] for r in got.collect()}.keys() == {1, 2, 3}
+    both = dump.crossJoin(asked).where("(query_id < 3 and lower(title) like '%cold%' and lower(title) not like '%widgets%') or (query_id = 3 and title = 'small ring')")
+    ranked = both.select("query_id", "id", similarity.dice(F.col("text"), F.col("title")).alias("score")).selectExpr("*", "row_number() over (partition by query_id order by score desc, id) as rank").where("rank <= 3")
+    assert sorted(map(tuple, got.select("query_id", "id", "score", "rank").collect())) == sorted(map(tuple, ranked.collect()))
