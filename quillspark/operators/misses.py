@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import ids
 from quillspark.functions.similarity import dice
-from quillspark.operators.lineage import settled
+from quillspark.operators.lineage import dealt, settled
 from quillspark.operators.paging import top_per_group
 from quillspark.operators.search import candidates, token_index
 
@@ -81,6 +81,21 @@ def answered(queries: DataFrame, provider: str, dump: DataFrame, foreign: DataFr
     sure = direct.select("query_id", "id").unionByName(by_foreign.select("query_id", "id")).distinct()
     sure = sure.select("query_id", "id", F.lit(1.0).cast("float").alias("score"), F.lit(1).alias("rank"))
     titled = ways.where("route = 'title'").select("query_id", "text")
-    met = candidates(titled, token_index(dump, "id", "title"))
-    scored = met.join(titled, "query_id").join(dump.select("id", "title"), "id").select("query_id", "id", dice(F.col("text"), F.col("title")).alias("score"))
-    return sure.unionByName(top_per_group(scored, ["query_id"], limit, F.col("score").desc(), F.col("id")))
+    return sure.unionByName(titled_hits(titled, dump, limit))
+
+
+def titled_hits(queries: DataFrame, dump: DataFrame, limit: int) -> DataFrame:
+    """``query_id``, ``id``, ``score``, ``rank``: the ``limit`` best titles that hold all words of a query.
+
+    Equal texts and equal titles are compared once.  Of records with one title
+    only the first ``limit`` can be among the best of any query, as they are
+    ranked by score and id.
+    """
+    texts = queries.select("text").distinct()
+    first = settled(top_per_group(dealt(dump.select("id", "title"), "title"), ["title"], limit, F.col("id")))
+    names = first.select("title").distinct()
+    met = candidates(texts.select(F.col("text").alias("query_id"), "text"), token_index(names, "title", "title"))
+    scored = met.select(F.col("query_id").alias("text"), F.col("id").alias("title"), dice(F.col("query_id"), F.col("id")).alias("score"))
+    hits = scored.join(first.select("title", "id").hint("merge"), "title").select("text", "id", "score")
+    best = top_per_group(hits, ["text"], limit, F.col("score").desc(), F.col("id"))
+    return queries.join(best.hint("merge"), "text").select("query_id", "id", "score", "rank")
