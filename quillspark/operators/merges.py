@@ -81,7 +81,8 @@ def insert_ignore(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> Da
 
 def insert_external_ids(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Mappings (provider, external_id, series_id): an id keeps its series, a series its first id of a provider."""
-    fresh = incoming.join(stored.select("provider", "external_id"), ["provider", "external_id"], "left_anti").join(stored.select("provider", "series_id"), ["provider", "series_id"], "left_anti")
+    held = stored.hint("merge")  # a union of settled tables is estimated by their files, so it might be broadcast
+    fresh = incoming.join(held.select("provider", "external_id"), ["provider", "external_id"], "left_anti").join(held.select("provider", "series_id"), ["provider", "series_id"], "left_anti")
     by_id = fresh.groupBy("provider", "external_id").agg(F.min_by("series_id", "place").alias("series_id"), F.min("place").alias("place"))
     by_series = by_id.groupBy("provider", "series_id").agg(F.min_by("external_id", "place").alias("external_id"))
     return stored.select("provider", "external_id", "series_id").unionByName(by_series.select("provider", "external_id", "series_id"))

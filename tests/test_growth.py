@@ -70,3 +70,13 @@ def test_first_records_of_a_title_answer(spark):
     both = dump.crossJoin(asked).where("(query_id < 3 and lower(title) like '%cold%' and lower(title) not like '%widgets%') or (query_id = 3 and title = 'small ring')")
     ranked = both.select("query_id", "id", similarity.dice(F.col("text"), F.col("title")).alias("score")).selectExpr("*", "row_number() over (partition by query_id order by score desc, id) as rank").where("rank <= 3")
     assert sorted(map(tuple, got.select("query_id", "id", "score", "rank").collect())) == sorted(map(tuple, ranked.collect()))
+
+
+def test_what_was_settled_is_not_sent_through_the_driver(spark, capsys):
+    from quillspark.operators.lineage import settled
+
+    rows = settled(spark.range(100).selectExpr("id", "id * 2 as double"))
+    rows.where("id > 3").join(spark.range(50).hint("broadcast").withColumnRenamed("id", "other"), F.col("double") == F.col("other")).explain()
+    assert "BroadcastHashJoin" in capsys.readouterr().out
+    rows.where("id > 3").join(spark.range(50), "id").explain()
+    assert "SortMergeJoin" in capsys.readouterr().out
