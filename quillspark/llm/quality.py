@@ -1,11 +1,17 @@
 """Quality classifier: Bradley-Terry ranking of documents, cut at a quantile of the scores.
 
 A document is a vector of bounded features of its whole text.  Every pair of a
-good and a bad document of a bounded labelled sample is a preference, and the
+good and a bad labelled document is a preference, and the
 probability that the good one is preferred is the logistic function of the
 difference of their scores: a logistic loss on feature differences, which has
 no intercept and so no notion of a threshold.  That is drawn afterwards, at a
 quantile of the scores of the labelled rows.
+
+All labelled rows take part, and all their pairs, without listing them: what a
+row gives to the sums over pairs depends on its score alone, smoothly.  So rows
+are dealt to the nodes of a grid of scores around theirs, by the weights of
+polynomial interpolation, and the nodes are paired.  Spark sums up nodes and
+slopes over blocks of rows, twice a round; the work grows with the rows.
 """
 
 from __future__ import annotations
@@ -13,23 +19,30 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections import Counter
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The ranking is fitted on about this many labelled rows of each kind, chosen by a hash; at most twice as many are taken.
-SAMPLE_PER_LABEL = 1500
+from quillspark.llm.graph import cut
+
 #: Weight of the penalty on squared coefficients, a pair being one.
 PENALTY = 1e-3
 ROUNDS = 30
 #: Score of a document right at the cutoff.
 CUTOFF = 0.3
-_SALT = 4099
-#: Knots of each feature, as quantiles of the sample.
+#: Knots of each feature, as quantiles of the labelled rows, and the ends of its range.
 _KNOTS = (0.1, 0.3, 0.5, 0.7, 0.9)
+_ENDS = (0.005, 0.995)
+#: Width of the grid of scores, and nodes a row is dealt to: sums over pairs are right to about 1e-11 of their number.
+_WIDTH, _NODES = 0.125, 10
+#: Entries of a block of rows by nodes at once.
+_BLOCK = 1_000_000
+#: Bins that quantiles are narrowed by.
+_BINS = 1024
 
 FEATURES = [
     "log_words", "word_length", "upper", "digits", "marks", "symbols", "caps_words", "plain_words", "marked_words", "bare_words",
@@ -125,7 +138,7 @@ class Ranking:
     unit: float = 1.0
 
     def expand(self, rows: np.ndarray) -> np.ndarray:
-        """Features within the range of the sample, with what exceeds each knot."""
+        """Features within their range, with what exceeds each knot."""
         x = np.clip((rows - self.low) / self.span, -0.5, 1.5)
         return np.concatenate([x, np.maximum(0, x[:, :, None] - self.knots[None]).reshape(len(x), -1)], axis=1)
 
@@ -139,34 +152,152 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def rank_pairs(good: np.ndarray, bad: np.ndarray, penalty: float = PENALTY, rounds: int = ROUNDS) -> Ranking:
-    """Fit on all pairs of a good and a bad row by Newton's method, in matrix form."""
-    every = np.concatenate([good, bad])
-    low, high = np.quantile(every, 0.005, axis=0), np.quantile(every, 0.995, axis=0)
+def _unfitted(low: np.ndarray, high: np.ndarray, knots: np.ndarray) -> Ranking:
+    """``knots``: an array of features by knots, on the features' own scale."""
     span = np.where(high > low, high - low, 1.0)
-    knots = np.quantile(np.clip((every - low) / span, 0, 1), _KNOTS, axis=0).T
-    found = Ranking(low, span, knots, np.zeros(low.shape[0] * (1 + len(_KNOTS))))
-    a, b = found.expand(good), found.expand(bad)
-    pairs, w = len(a) * len(b), found.weights
+    return Ranking(low, span, np.clip((knots - low[:, None]) / span[:, None], 0, 1), np.zeros(len(low) * (1 + len(_KNOTS))))
+
+
+def _dealt(strengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First node of each row, and the weights of that and the next nodes (Lagrange's)."""
+    x = strengths / _WIDTH
+    first = np.floor(x).astype(np.int64) - (_NODES // 2 - 1)
+    off = (x - first)[:, None] - np.arange(_NODES)
+    parts = np.ones((len(x), _NODES))
+    for k in range(_NODES):
+        for m in range(_NODES):
+            if m != k:
+                parts[:, k] *= off[:, m] / (k - m)
+    return first, parts
+
+
+def _masses(strengths: np.ndarray) -> tuple[int, np.ndarray]:
+    """Rows on the grid: the first node, and the sum of weights at each from there on."""
+    first, parts = _dealt(strengths)
+    low = int(first.min())
+    return low, np.bincount(((first - low)[:, None] + np.arange(_NODES)).ravel(), parts.ravel())
+
+
+def _joined(found: Iterable[tuple[int, int, np.ndarray]]) -> tuple[int, np.ndarray]:
+    """Sums of (kind, first node, masses) as one array of both kinds by nodes, with the first node."""
+    found = list(found)
+    # a node more on either side, as a score may be rounded otherwise when it is worked out again
+    low = min(at for _, at, _ in found) - 1
+    total = np.zeros((2, max(at + len(mass) for _, at, mass in found) + 1 - low))
+    for kind, at, mass in found:
+        total[kind, at - low : at - low + len(mass)] += mass
+    return low, total
+
+
+def _sums_of(ranking: Ranking, low: int, pull: np.ndarray, bend: np.ndarray, kind: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Flat sums over rows: slope, curvature of the rows, and features dealt to the nodes for either kind."""
+    wide, nodes = len(ranking.weights), pull.shape[1]
+    slope, curve, placed = np.zeros(wide), np.zeros((wide, wide)), np.zeros((2, nodes, wide))
+    size = max(1, _BLOCK // nodes)
+    for of, sign in ((0, 1.0), (1, -1.0)):
+        mine = rows[kind == of]
+        for at in range(0, len(mine), size):
+            x = ranking.expand(mine[at : at + size])
+            first, parts = _dealt(x @ ranking.weights)
+            dealt = np.zeros((len(x), nodes))
+            dealt[np.arange(len(x))[:, None], (first - low)[:, None] + np.arange(_NODES)] = parts
+            slope += sign * (x.T @ (dealt @ pull[of]))
+            curve += x.T @ (x * (dealt @ bend[of])[:, None])
+            placed[of] += dealt.T @ x
+    return np.concatenate([slope, curve.ravel(), placed.ravel()])
+
+
+def _descend(
+    ranking: Ranking,
+    pairs: float,
+    masses: Callable[[Ranking], Iterable[tuple[int, int, np.ndarray]]],
+    sums: Callable[[Ranking, int, np.ndarray, np.ndarray], np.ndarray],
+    penalty: float,
+    rounds: int,
+) -> Ranking:
+    """Newton's method on the mean loss of all pairs.
+
+    ``masses`` gives what :func:`_masses` says of blocks of rows, with the
+    kind, and ``sums`` the sum of :func:`_sums_of` over all rows.
+    """
+    wide = len(ranking.weights)
 
-    def loss(w: np.ndarray) -> float:
-        return float(np.logaddexp(0, (b @ w)[None, :] - (a @ w)[:, None]).sum() / pairs + penalty * w @ w)
+    def looked_at(w: np.ndarray) -> tuple[float, int, np.ndarray]:
+        low, mass = _joined(masses(replace(ranking, weights=w)))
+        apart = _WIDTH * np.arange(1 - mass.shape[1], mass.shape[1])
+        return float(mass[0] @ np.convolve(np.logaddexp(0, apart), mass[1], "valid") / pairs + penalty * w @ w), low, mass
 
-    now = loss(w)
+    w = ranking.weights
+    now, low, mass = looked_at(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(np.clip((a @ w)[:, None] - (b @ w)[None, :], -40, 40)))
-        slope = (-(a.T @ p.sum(1)) + b.T @ p.sum(0)) / pairs + 2 * penalty * w
+        apart = _WIDTH * np.arange(1 - mass.shape[1], mass.shape[1])
+        p = 1 / (1 + np.exp(-np.clip(apart, -700, 700)))
         q = p * (1 - p)
-        mixed = a.T @ q @ b
-        curve = (a.T @ (a * q.sum(1)[:, None]) + b.T @ (b * q.sum(0)[:, None]) - mixed - mixed.T) / pairs
-        step, size = np.linalg.solve(curve + 2 * penalty * np.eye(len(w)), slope), 1.0
-        while (then := loss(w - size * step)) > now and size > 1e-4:
+        # of a node of one kind, summed over the nodes of the other
+        pull = np.stack([np.convolve(p, mass[1], "valid"), np.convolve(p[::-1], mass[0], "valid")])
+        bend = np.stack([np.convolve(q, mass[1], "valid"), np.convolve(q, mass[0], "valid")])
+        slope, curve, placed = np.split(sums(replace(ranking, weights=w), low, pull, bend), [wide, wide + wide * wide])
+        placed = placed.reshape(2, -1, wide)
+        near = np.stack([np.convolve(q, column, "valid") for column in placed[0].T], axis=1)
+        mixed = placed[1].T @ near
+        curve = (curve.reshape(wide, wide) - mixed - mixed.T) / pairs + 2 * penalty * np.eye(wide)
+        step, size = np.linalg.solve(curve, slope / pairs + 2 * penalty * w), 1.0
+        # weights whose penalty alone exceeds the loss are no improvement
+        while penalty * np.sum((w - size * step) ** 2) > now and size > 1e-4:
             size /= 2
-        if then >= now - 1e-10:
+        while (then := looked_at(w - size * step))[0] > now and size > 1e-4:
+            size /= 2
+        if then[0] >= now - 1e-10:
             break
-        w, now = w - size * step, then
-    found.weights = w
-    return found
+        w, (now, low, mass) = w - size * step, then
+    return replace(ranking, weights=w)
+
+
+def rank_pairs(good: np.ndarray, bad: np.ndarray, penalty: float = PENALTY, rounds: int = ROUNDS) -> Ranking:
+    """Fit on all pairs of a good and a bad row that are at hand; :func:`fit` does so for those of a table."""
+    every, kind = np.concatenate([good, bad]), np.repeat([1, 0], [len(good), len(bad)])
+    low, high = np.quantile(every, _ENDS, axis=0)
+    start = _unfitted(low, high, np.quantile(every, _KNOTS, axis=0).T)
+    masses = lambda r: [(k, *_masses(r.strength(rows))) for k, rows in ((0, bad), (1, good))]
+    return _descend(start, len(good) * len(bad), masses, lambda r, *grid: _sums_of(r, *grid, kind, every), penalty, rounds)
+
+
+def _rows_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    kind = batch.column("label").to_numpy(zero_copy_only=False)
+    return kind, batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(len(kind), -1)
+
+
+def _rank_rows(rows: DataFrame, start: Ranking, pairs: float) -> Ranking:
+    """:func:`_descend` on all ``rows`` (``label``, ``features``): each task sums up its rows."""
+
+    def masses(ranking: Ranking) -> Iterable[tuple[int, int, np.ndarray]]:
+        def laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = []
+            for kind, x in map(_rows_of, batches):
+                for at in range(0, len(x), _BLOCK // 100):
+                    strengths, of = ranking.strength(x[at : at + _BLOCK // 100]), kind[at : at + _BLOCK // 100]
+                    found += [(k, *_masses(strengths[of == k])) for k in (0, 1) if (of == k).any()]
+                    low, total = _joined(found)
+                    found = [(k, low + 1, total[k, 1:-1]) for k in (0, 1)]
+            if found:
+                yield pa.RecordBatch.from_pydict({"kind": pa.array([f[0] for f in found], pa.int32()), "low": pa.array([f[1] for f in found], pa.int64()), "mass": pa.array([f[2] for f in found], pa.list_(pa.float64()))})
+
+        for r in rows.mapInArrow(laid, "kind int, low bigint, mass array<double>").toArrow().to_pylist():
+            yield r["kind"], r["low"], np.array(r["mass"])
+
+    def sums(ranking: Ranking, low: int, pull: np.ndarray, bend: np.ndarray) -> np.ndarray:
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for kind, x in map(_rows_of, batches):
+                own = _sums_of(ranking, low, pull, bend, kind, x)
+                total = own if total is None else total + own
+            if total is not None:
+                yield pa.RecordBatch.from_pydict({"sums": pa.array([total], pa.list_(pa.float64()))})
+
+        found = rows.mapInArrow(summed, "sums array<double>").toArrow().column("sums")
+        return sum(x.values.to_numpy() for x in found)
+
+    return _descend(start, pairs, masses, sums, PENALTY, ROUNDS)
 
 
 def weighted_quantile(values: np.ndarray, weights: np.ndarray, share: float) -> float:
@@ -178,35 +309,85 @@ def weighted_quantile(values: np.ndarray, weights: np.ndarray, share: float) ->
     return float((values[order[min(at, len(order) - 1)]] + values[order[min(at + 1, len(order) - 1)]]) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", sample: int = SAMPLE_PER_LABEL, share: float | None = None) -> Ranking | None:
-    """Learn from the documents that ``labels`` marks 1 (good) or 0 (bad).
+def quantiles(values: DataFrame, shares: dict[int, list[float]]) -> dict[tuple[int, float], tuple[float, float]]:
+    """For each group ``of`` and share the value at that quantile and the next greater one (itself if there is none), exactly.
+
+    ``values`` has ``of``, ``value`` and ``weight``.  A group's range is cut
+    into bins, of which only those that hold a quantile are cut further, until
+    each holds one value: the driver gets sums by bin.
+    """
+    ends = values.groupBy("of").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("weight").alias("total")).collect()
+    totals = {r["of"]: r["total"] for r in ends}
+    # the span that holds a quantile, the weight below it, and the next value beyond
+    left = {(r["of"], share): (r["lo"], r["hi"], 0.0, r["hi"]) for r in ends for share in shares[r["of"]]}
+    found = {}
+    while left:
+        spans = values.sparkSession.createDataFrame(sorted({(of, *span[:2]) for (of, _), span in left.items()}), "of int, lo double, hi double")
+        inside = values.join(F.broadcast(spans), "of").where((F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi")))
+        step = F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * _BINS)
+        bin = F.when(F.col("hi") > F.col("lo"), F.least(step, F.lit(_BINS - 1))).otherwise(0)
+        bins = inside.groupBy("of", "lo", "hi", bin.alias("bin")).agg(F.min("value").alias("first"), F.max("value").alias("last"), F.sum("weight").alias("weight"))
+        held: dict[tuple, list] = {}
+        for r in sorted(bins.collect(), key=lambda r: (r["of"], r["lo"], r["bin"])):
+            held.setdefault((r["of"], r["lo"], r["hi"]), []).append((r["first"], r["last"], r["weight"]))
+        for (of, share), (lo, hi, below, beyond) in list(left.items()):
+            row = held[of, lo, hi]
+            upto = below + np.cumsum([weight for *_, weight in row])
+            # a share that is met up to rounding lies between two values
+            at = min(int(np.searchsorted(upto, (share - 1e-9) * totals[of])), len(row) - 1)
+            first, last, weight = row[at]
+            beyond = row[at + 1][0] if at + 1 < len(row) else beyond
+            if first < last:
+                left[of, share] = (first, last, float(upto[at]) - weight, beyond)
+            else:
+                found[of, share] = (first, beyond)
+                del left[of, share]
+    return found
+
 
-    About ``sample`` rows of each kind are used, chosen by a hash of ``key``;
-    what reaches the driver is their features.  ``share`` is the quantile of
+def labelled(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality") -> DataFrame:
+    """``label`` (1 or 0), ``times`` (how often it comes) and ``features`` of all documents that ``labels`` marks.
+
+    Features are few bytes, so they are taken before the join and no text is shuffled.
+    """
+    marked = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
+    counted = marked.groupBy("label", "key").agg(F.count("*").alias("times"))
+    measured = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), features_of(F.col(text)).alias("features"))
+    return measured.join(counted, "key").select("label", "times", "features")
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", share: float | None = None) -> Ranking | None:
+    """Learn from all documents that ``labels`` marks 1 (good) or 0 (bad).
+
+    What reaches the driver are sums over rows.  ``share`` is the quantile of
     the labelled rows' scores that is the cutoff; by default the share of bad
     ones.  ``None`` if there are no labelled documents of both kinds.
     """
-    marked = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
+    marked = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("label"))
     sizes = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
     if len(sizes) < 2:
         return None
-    position = F.pmod(F.xxhash64("key", F.lit(_SALT)), F.lit(1_000_000)) / F.lit(1_000_000.0)
-    rate = F.when(F.col("label") == 1, sample / sizes[1]).otherwise(sample / sizes[0])
-    chosen = marked.where(position < rate).groupBy("label", "key").agg(F.count("*").alias("times")).orderBy(F.xxhash64("key", F.lit(_SALT)), "label").limit(4 * sample)
-    measured = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key")
-    taken = measured.select("key", "label", "times", features_of(F.col("text")).alias("features")).orderBy("key", "label", F.xxhash64("features")).limit(4 * sample)
-    rows = taken.drop("key").toArrow()
-    kind, x = rows["label"].to_numpy(), np.array(rows["features"].to_pylist()).reshape(-1, len(FEATURES))
-    if len(set(kind.tolist())) < 2:
+    rows = cut(labelled(docs, labels, text, key, label))
+    taken = {r["label"]: r for r in rows.groupBy("label").agg(F.count("*").alias("n"), F.sum("times").alias("times")).collect()}
+    if len(taken) < 2:
         return None
-    order = np.lexsort((*x.T, kind))
-    kind, x, times = kind[order], x[order], rows["times"].to_numpy()[order]
-    found = rank_pairs(x[kind == 1], x[kind == 0])
-    strengths = found.strength(x)
-    weights = times * np.where(kind == 1, sizes[1] / times[kind == 1].sum(), sizes[0] / times[kind == 0].sum())
-    found.cutoff = weighted_quantile(strengths, weights, sizes[0] / (sizes[0] + sizes[1]) if share is None else share)
+    values = rows.select(F.posexplode("features").alias("of", "value"), F.lit(1.0).alias("weight"))
+    at = quantiles(values, {f: [*_ENDS, *_KNOTS] for f in range(len(FEATURES))})
+    low, high, *knots = (np.array([at[f, share][0] for f in range(len(FEATURES))]) for share in (*_ENDS, *_KNOTS))
+    found = _rank_rows(rows, _unfitted(low, high, np.stack(knots, axis=1)), taken[0]["n"] * taken[1]["n"])
+
+    @F.arrow_udf("double")
+    def strength(measured: pa.Array) -> pa.Array:
+        return pa.array(found.strength(measured.flatten().to_numpy(zero_copy_only=False).reshape(len(measured), -1)), pa.float64())
+
+    weight = F.col("times") * F.when(F.col("label") == 1, sizes[1] / taken[1]["times"]).otherwise(sizes[0] / taken[0]["times"])
+    scored = cut(rows.select("label", strength(F.col("features")).alias("value"), weight.alias("weight")))
+    kinds = scored.select((F.col("label") + 1).alias("of"), "value", F.lit(1.0).alias("weight"))
+    share = sizes[0] / (sizes[0] + sizes[1]) if share is None else share
+    at = quantiles(scored.select(F.lit(0).alias("of"), "value", "weight").unionByName(kinds), {0: [share], 1: [0.5], 2: [0.5]})
+    found.cutoff = (at[0, share][0] + at[0, share][1]) / 2
     # half the way between the kinds' middles is two log odds
-    found.unit = max(1e-9, float(np.median(strengths[kind == 1]) - np.median(strengths[kind == 0])) / 8)
+    found.unit = max(1e-9, (at[2, 0.5][0] - at[1, 0.5][0]) / 8)
     return found
 
 

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.llm import quality as q
 from quillspark.llm import queries
@@ -69,3 +70,33 @@ def test_odd_rows(spark, odd_docs, no_docs):
         assert {r["quality_score"] for r in q.rate_documents(odd_docs, nothing).collect()} == {q.CUTOFF}
         assert q.keep_good(odd_docs, nothing).count() == odd_docs.count()
     assert q.keep_good(odd_docs, labels).columns == odd_docs.columns
+
+
+def test_fit_takes_all_labelled_rows(spark):
+    draw = np.random.default_rng(7)
+    words = np.array(["the", "meeting", "of", "ABC", "!!", "12", "x9#", "harbour", "a"])
+    texts = [" ".join(draw.choice(words, draw.integers(3, 12), p=p / p.sum())) for i in range(7600) for p in [np.where(np.arange(9) % 4 == 3, 1 + (i < 3400), 2.0)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") >= 3400).cast("int").alias("quality"))
+    found = q.fit(docs, labels)
+    x = found.expand(np.array([q.features(t) for t in texts]))
+    bad, good = x[:3400], x[3400:]
+    # at the least loss over all pairs its slope is zero
+    p = 1 / (1 + np.exp((good @ found.weights)[:, None] - (bad @ found.weights)[None, :]))
+    slope = (bad.T @ p.sum(0) - good.T @ p.sum(1)) / p.size + 2 * q.PENALTY * found.weights
+    assert np.abs(slope).max() < 1e-6
+    below = np.sum(x @ found.weights < found.cutoff)
+    assert abs(below - 3400) <= 7600 * 0.01 and np.sum(np.abs(x @ found.weights - found.cutoff) < 1e-9) == 0
+
+
+def test_quantiles_of_a_table(spark):
+    draw = np.random.default_rng(3)
+    groups = {0: np.round(draw.exponential(1, 900), 2), 1: np.concatenate([np.zeros(500), 10.0 ** draw.uniform(-30, 9, 400)]), 2: np.ones(7)}
+    rows = spark.createDataFrame([(of, float(v), 1.0) for of, vs in groups.items() for v in vs], "of int, value double, weight double")
+    shares = [0.005, 0.3, 0.5, 0.9, 0.995, 1.0]
+    got = q.quantiles(rows, dict.fromkeys(groups, shares))
+    for of, values in groups.items():
+        distinct = np.unique(values)
+        for share in shares:
+            at = np.sort(values)[int(np.ceil(share * len(values) - 1e-6)) - 1]
+            assert got[of, share] == (at, distinct[min(np.searchsorted(distinct, at) + 1, len(distinct) - 1)]), (of, share)
