@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.operators import aggregates as ag
 from quillspark.operators import filters as fi
 from quillspark.operators import joins, paging
+from quillspark.operators.lineage import dealt
 from quillspark.plans.registry import query
 
 NOW = 1700004000
@@ -122,7 +123,9 @@ def bulk_targets(releases: DataFrame, release_formats: DataFrame) -> DataFrame:
     where r.series_id is not null group by rs.source_name""")
 def source_facet(releases: DataFrame, release_sources: DataFrame) -> DataFrame:
     linked = releases.where("series_id is not null").select(F.col("id").alias("release_id"), "series_id")
-    return release_sources.join(linked, "release_id").groupBy("source_name").agg(F.count_distinct("series_id").alias("series"))
+    # rows of few bytes: dealt, so that no task gets millions of them, and merged, as files of few bytes look fit for a broadcast
+    joined = dealt(release_sources, "release_id").join(dealt(linked, "release_id").hint("merge"), "release_id")
+    return joined.groupBy("source_name").agg(F.count_distinct("series_id").alias("series"))
 
 
 @query("select g.genre, count(s.id) as n from (select distinct genre from series_genres) g left join series_genres x on x.genre = g.genre left join series s on s.id = x.series_id and s.owned group by g.genre")
