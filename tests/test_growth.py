@@ -88,3 +88,19 @@ def test_places_are_gathered_within_a_row(spark):
     rows = spark.createDataFrame([(["b", "a", "b", "c", "a", "b"],), (["x"],), ([],)], "words array<string>")
     got = [{p["token"]: list(p["places"]) for p in r["p"] or []} for r in rows.select(text_index.places_of(F.col("words")).alias("p")).collect()]
     assert got == [{"a": [1, 4], "b": [0, 2, 5], "c": [3]}, {"x": [0]}, {}]
+
+
+def test_narrow_rows_are_dealt_before_they_are_distinct(spark, sf_dir, capsys):
+    from quillspark.plans.registry import QUERIES
+    from quillspark.plans.views import VIEWS, spark_view
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for name, table in (("release_sources", "lineitem"), ("series_genres", "part")):
+        rows = spark_view(spark, sf_dir, name)
+        assert rows.rdd.getNumPartitions() == parts, name
+        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+        assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, spark.sql(VIEWS[name]).collect()))
+    assert QUERIES["bridge_insert_ignore"](spark, sf_dir).rdd.getNumPartitions() == parts
+    QUERIES["source_facet"](spark, sf_dir).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("hashpartitioning(release_id") >= 3 and plan.count("REPARTITION_BY_NUM") == 3 and "BroadcastHashJoin" not in plan
