@@ -301,7 +301,7 @@ def _rank_rows(rows: DataFrame, start: Ranking, pairs: float) -> Ranking:
 
 
 def weighted_quantile(values: np.ndarray, weights: np.ndarray, share: float) -> float:
-    """The middle between the two neighbouring values that the quantile falls between."""
+    """The middle between the two neighbouring values that the quantile falls between, of values at hand; :func:`quantiles` finds those of a table."""
     order = np.argsort(values, kind="stable")
     upto = np.cumsum(weights[order]) / weights.sum()
     # a share that is met up to rounding lies between two values
