@@ -13,16 +13,20 @@ from quillspark.llm import graph, langid, lines, mixing, pieces, simhash
 from quillspark.llm.queries import WEIGHTS, piece_model
 
 #: Rows that go to a Python worker at once: it holds a batch whole, and texts may be long.
-BATCH_ROWS = 1000
+BATCH_ROWS = 250
+#: Rows that a task reads at once: their texts are one array.
+READ_ROWS = 512
+#: Words that a Python worker remembers while it encodes; workers live on beside the stages that follow.
+WORDS = 60_000
 #: Share of the tokens that reach the mixing stage which it hands on.
 TOKEN_SHARE = 0.9
 
 
 def _in_small_batches(spark: SparkSession) -> None:
-    """Bound the batches of the session's Python workers, unless they are smaller already."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+    """Bound the batches of the session's readers and Python workers, unless they are smaller already."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)):
+        if not 0 < int(spark.conf.get(key)) <= most:
+            spark.conf.set(key, most)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,6 +37,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their copied lines; those of which nothing stays go."""
+    _in_small_batches(spark)
     return lines.dedup_documents(docs)
 
 
@@ -44,13 +49,14 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents selected so that domains, languages and sources meet their weights; none twice."""
+    _in_small_batches(spark)
     return mixing.mix_documents(docs, WEIGHTS, TOKEN_SHARE, max_epochs=1, seed=42)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, with their number."""
     _in_small_batches(spark)
-    coded = pieces.encode_documents(docs, piece_model())
+    coded = pieces.encode_documents(docs, piece_model(), words=WORDS)
     return coded.select("doc_id", "lang", "source", F.size("piece_ids").cast("bigint").alias("n_tokens"), "piece_ids")
 
 

@@ -91,6 +91,12 @@ class PieceCoder:
         #: words seen lately and before that: a full cache becomes the older one
         self.words: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
+        self.bound()
+
+    def bound(self, words: int | None = None) -> None:
+        """Remember up to ``words`` words (each of two times) and twice as many pairs; by default CACHE_WORDS and CACHE_PAIRS."""
+        self.most_words = CACHE_WORDS if words is None else words
+        self.most_pairs = CACHE_PAIRS if words is None else 2 * words
 
     def merge(self, text: str, stop: int = 1) -> list[str]:
         """Merge the characters of a short string down to ``stop`` parts: best score first, leftmost of equals."""
@@ -115,7 +121,7 @@ class PieceCoder:
         pair = (first, second)
         known = self.fits.get(pair)
         if known is None:
-            if len(self.fits) > CACHE_PAIRS:
+            if len(self.fits) > self.most_pairs:
                 self.fits.clear()
             if first in self.odd or second in self.odd:
                 known = self.merge(first + second) == [first, second]
@@ -188,7 +194,7 @@ class PieceCoder:
             made = tuple(found)
         if len(word) > LONG_WORD:
             return made
-        if len(self.words) >= CACHE_WORDS:
+        if len(self.words) >= self.most_words:
             self.older, self.words = self.words, {}
         self.words[word] = made
         return made
@@ -262,12 +268,16 @@ def coder(path: str) -> PieceCoder:
     return _coders[path]
 
 
-def piece_ids(text: Column, path: str) -> Column:
-    """Ids of a text as ``array<int>``; null is taken as the empty text."""
+def piece_ids(text: Column, path: str, words: int | None = None) -> Column:
+    """Ids of a text as ``array<int>``; null is taken as the empty text.
+
+    ``words`` bounds what a worker remembers, see :meth:`PieceCoder.bound`.
+    """
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
         it = coder(path)
+        it.bound(words)
         flat, ends = array("i"), [0]
         for t in texts.to_pylist():
             flat.extend(it.encode(t or ""))
@@ -298,6 +308,7 @@ def piece_digest(text: Column, path: str) -> Column:
     @F.arrow_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
     def digest(texts: pa.Array) -> pa.Array:
         it = coder(path)
+        it.bound()
         said = it.said
         n, ids, back = [], [], []
         for t in texts.to_pylist():
@@ -313,10 +324,12 @@ def piece_digest(text: Column, path: str) -> Column:
     return digest(text)
 
 
-def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "piece_ids") -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "piece_ids", words: int | None = None) -> DataFrame:
     """All columns of ``docs`` and the ids of its texts.
 
     A column already named ``ids`` is replaced.  Null texts are taken as empty
     and have an empty array; repeated rows and empty tables need no care.
+    With ``words``, workers remember fewer words: the same ids, in less memory
+    and more time.
     """
-    return docs.withColumn(ids, piece_ids(F.col(text), path))
+    return docs.withColumn(ids, piece_ids(F.col(text), path, words))

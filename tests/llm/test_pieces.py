@@ -54,3 +54,14 @@ def test_columns_and_odd_documents(odd_docs, no_docs, library):
     back = out.select("text", pieces.decoded_text(out["piece_ids"], queries.piece_model()).alias("back")).collect()
     assert all(r["back"] == library.decode(library.encode(r["text"] or "")) for r in back)
     assert pieces.encode_documents(no_docs, queries.piece_model()).count() == 0
+
+
+def test_few_remembered_words_give_the_same_ids():
+    coder = pieces.PieceCoder(queries.piece_model())
+    texts = [" ".join(f"word{i * j % 97} {i}x{j}" for j in range(60)) for i in range(20)]
+    want = [coder.encode(t) for t in texts]
+    assert len(coder.words) > 50
+    few = pieces.PieceCoder(queries.piece_model())
+    few.bound(50)
+    assert [few.encode(t) for t in texts] == want
+    assert len(few.words) <= 50 and len(few.older) <= 50 and len(few.fits) <= 101

@@ -115,3 +115,24 @@ def test_each_stage_runs_once_and_leaves_nothing_behind(spark, sf_dir, monkeypat
     assert asked.value == first(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir).count()
     left = graph.written_so_far() - before
     assert len(left) == 1 and graph.drop_written(spark, left) == 1
+
+
+def test_stages_bound_what_a_task_holds(spark, docs, sf_dir):
+    import corpus_pipeline
+
+    bounds = {"spark.sql.execution.arrow.maxRecordsPerBatch": corpus_pipeline.BATCH_ROWS, "spark.sql.parquet.columnarReaderBatchSize": corpus_pipeline.READ_ROWS}
+    before = {k: spark.conf.get(k) for k in bounds}
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            for k in bounds:
+                spark.conf.set(k, 4096)
+            stage(spark, docs.limit(20), sf_dir)
+            assert {k: int(spark.conf.get(k)) for k in bounds} == bounds
+        smaller = {k: str(most - 1) for k, most in bounds.items()}
+        for k, v in smaller.items():
+            spark.conf.set(k, v)
+        corpus_pipeline.encode(spark, docs.limit(20), sf_dir)
+        assert {k: spark.conf.get(k) for k in bounds} == smaller
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
