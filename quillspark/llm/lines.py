@@ -23,6 +23,9 @@ plane count as two.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,12 +43,19 @@ FINE = 16
 FIRST_ROUNDS = 2
 #: Tables of up to so many bytes (numbers of rows and array entries times eight) are broadcast, larger ones joined by shuffle.
 BROADCAST_BYTES = 32_000_000
+_SPACES = " \t\r\x0b\x0c"
 _PLACES = [-(2**63) + 987654321 + i * (2**64 // POINTS) for i in range(POINTS)]
 _KEYS = [f"k{i}" for i in range(max(SMALL, POINTS))]
 
 
+def _trimmed(line: Column) -> Column:
+    """``line`` without the spaces at its ends; trimming a set of characters walks the line, so only where there is one."""
+    ends = [end(line, F.lit(c)) for c in _SPACES for end in (F.startswith, F.endswith)]
+    return F.when(reduce(or_, ends), F.trim(line, F.lit(_SPACES))).otherwise(line)
+
+
 def normal_line(line: Column) -> Column:
-    return F.lower(F.trim(line, F.lit(" \t\r\x0b\x0c")))
+    return F.lower(_trimmed(line))
 
 
 def _let(value: Column, body) -> Column:
@@ -114,7 +124,7 @@ def _small(df: DataFrame, entries: Column | None = None) -> bool:
 def _lines(docs: DataFrame, id: str, text: str) -> DataFrame:
     """``id``, ``said`` (hash of the text), ``pos``, ``line`` (normalised) of all lines that are not blank."""
     cut_up = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("said"), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "raw"))
-    filled = cut_up.where(F.trim(F.col("raw"), F.lit(" \t\r\x0b\x0c")) != "")
+    filled = cut_up.where(_trimmed(F.col("raw")) != "")
     return filled.select("id", "said", "pos", normal_line(F.col("raw")).alias("line"))
 
 

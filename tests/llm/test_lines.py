@@ -71,6 +71,14 @@ def test_similarity_is_exact(spark):
     assert all(abs(r["s"] - len(shingles(r["a"]) & shingles(r["b"])) / len(shingles(r["a"]) | shingles(r["b"]))) < 1e-12 for r in rows)
 
 
+def test_normal_lines_are_trimmed_of_all_spaces(spark):
+    texts = ["", " ", "\t \r\x0b\x0c", "A b", " A b", "A b\r", "\x0c\tÇa  É\x0b ", "\u00a0A\u00a0", "\u2003x", "日本 ", "\r日本語\t\t", "a\tb"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i bigint, text string")
+    got = {r["i"]: r["line"] for r in rows.select("i", lines.normal_line(F.col("text")).alias("line")).collect()}
+    assert got == {i: normal(t) for i, t in enumerate(texts)}
+    assert {r["id"] for r in lines._lines(rows, "i", "text").collect()} == {i for i, t in enumerate(texts) if normal(t)}
+
+
 def similar_pair(draw, length):
     """A random line of about a length and an edited one, similarity 0.8 or little more."""
     while True:
