@@ -60,6 +60,32 @@ def test_all_copies_are_similar_pairs(spark, sf_dir):
     assert QUERIES["similar_title_pairs"](spark, sf_dir).columns == ["left_id", "right_id", "score"]
 
 
+def test_pairs_of_many_copies_take_little_disk(spark, tmp_path):
+    from quillspark.operators import search
+
+    pairs = spark.createDataFrame([("a", "b", 0.9)], "left_class string, right_class string, score double")
+    left = spark.range(40).selectExpr("id * 20 as left_id", "'a' as left_class")
+    right = spark.range(100000).selectExpr("id as right_id", "'b' as right_class")
+    search.expanded(pairs, left, right, "left_id", "right_id").write.parquet(str(tmp_path / "pairs"))
+    files = list((tmp_path / "pairs").glob("*.parquet"))
+    assert spark.read.parquet(str(tmp_path / "pairs")).distinct().count() == 40 * 100000
+    assert sum(f.stat().st_size for f in files) < 40 * 100000 * 0.6
+
+
+def test_members_of_blocks_are_all_paired(spark, monkeypatch):
+    from quillspark.operators import search
+
+    monkeypatch.setattr(search, "STRIP", 20, raising=False)
+    monkeypatch.setattr(search, "BLOCK", 3, raising=False)
+    pairs = spark.createDataFrame([(1, 1, 0.5), (1, 2, None), (2, 2, 1.0), (3, 1, 0.1), (1, 3, 0.1)], "left_class long, right_class long, score double")
+    left = spark.createDataFrame([(i, 1 + i % 2) for i in range(50)] + [(None, 1), (4, 1), (4, 1)], "query_id long, left_class long")
+    right = spark.createDataFrame([(str(i), 1 + i % 2) for i in range(70)] + [(None, 2), ("7", 2), ("x", None)], "id string, right_class long")
+    got = search.expanded(pairs, left, right, "query_id", "id")
+    want = pairs.join(left, "left_class").join(right, "right_class").select("query_id", "id", "score")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert got.columns == ["query_id", "id", "score"]
+
+
 def test_first_records_of_a_title_answer(spark):
     from quillspark.operators import misses
 
